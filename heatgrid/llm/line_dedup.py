@@ -142,10 +142,10 @@ def _pmod(h: np.ndarray, n: int) -> np.ndarray:
     return np.mod(h.view(np.int64), n)
 
 
-def _apply(docs: DataFrame, decide, extra: str | None = None) -> DataFrame:
-    """Rewrite text and add n_lines, n_dropped; decide(texts, extra column) gives for each text the set of lines to drop."""
+def _apply(docs: DataFrame, decide, added: tuple[str, str], extra: str | None = None) -> DataFrame:
+    """Rewrite text and add the numbers of lines and dropped lines; decide(texts, extra column) gives for each text the set of lines to drop."""
     fields = [f for f in docs.schema.fields if f.name != extra]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in added]])
     names = [f.name for f in fields]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _apply(docs: DataFrame, decide, extra: str | None = None) -> DataFrame:
                     dropped.append(len(gone))
                     kept.append("\n".join(x for i, x in enumerate(own) if i not in gone) if gone else text)
                 cols = [pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, *added])
 
     return docs.mapInArrow(rewrite, schema)
 
@@ -179,7 +179,7 @@ def _hashes(texts: list, min_chars: int) -> tuple[list[int], list[int], list[int
     return docs, lines, hs, fps
 
 
-def _by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int) -> DataFrame:
+def _by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int, added: tuple[str, str]) -> DataFrame:
     """For an index whose size was checked: each task holds all shards."""
     dtype = count_type(min_docs)
     rows = {r["shard"]: (bytes(r["levels"]), bytes(r["fps"]), bytes(r["counts"])) for r in index.collect()}
@@ -203,10 +203,10 @@ def _by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: in
                     gone[docs_[k]].add(lines[k])
         return gone
 
-    return _apply(docs, decide)
+    return _apply(docs, decide, added)
 
 
-def _by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int, n_probes: int) -> DataFrame:
+def _by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int, added: tuple[str, str], n_probes: int) -> DataFrame:
     """For an index of any size: probes (hashes, no text) go to the shard's arrays, and what they find returns to the texts.
 
     A shard's probes are dealt over salts, each with a copy of the shard's arrays, so that no group has more than about
@@ -239,26 +239,27 @@ def _by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, m
     hits = sent.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(look, "tk long, line int")
     drops = hits.groupBy("tk").agg(F.collect_set("line").alias("__drop"))
     joined = docs.withColumn("__tk", F.xxhash64("text")).join(drops, F.col("__tk") == F.col("tk"), "left").drop("__tk", "tk")
-    return _apply(joined, lambda texts, gone: [set(x or ()) for x in gone], "__drop")
+    return _apply(joined, lambda texts, gone: [set(x or ()) for x in gone], added, "__drop")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Drop all lines whose key is in at least `min_docs` rows of `docs`; adds n_lines (before) and n_dropped.
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST, lines_column: str = "n_lines", dropped_column: str = "n_dropped") -> DataFrame:
+    """Drop all lines whose key is in at least `min_docs` rows of `docs`; adds the numbers of lines (before) and of dropped lines.
 
     Every row counts as a document (repeated rows each count). A null text is one empty line and stays null; empty keys
     (shorter than min_chars code points) never go; a text may become empty. Other columns pass through; own columns
-    named n_lines or n_dropped are replaced. An empty table gives an empty table.
+    named as those two are replaced. An empty table gives an empty table.
     The index is broadcast only if its measured size is at most max_broadcast bytes; else probes travel to its shards.
     """
-    docs = without(docs, "n_lines", "n_dropped")
+    added = (lines_column, dropped_column)
+    docs = without(docs, *added)
     counts = materialise(key_counts(docs, min_chars), "line-counts")
     size = counts.agg(F.count("*"), F.sum("n")).first()
     n_shards = max(1, -(-size[0] // SHARD_KEYS))
     index = materialise(build_index(counts, n_shards, min_docs), "line-index")
     held = index.agg(F.sum(F.length("levels") + F.length("fps") + F.length("counts"))).first()[0] or 0
     if held <= max_broadcast:
-        return _by_broadcast(docs, index, n_shards, min_docs, min_chars)
-    return _by_shard(docs, index, n_shards, min_docs, min_chars, size[1])
+        return _by_broadcast(docs, index, n_shards, min_docs, min_chars, added)
+    return _by_shard(docs, index, n_shards, min_docs, min_chars, added, size[1])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
