@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgrid.llm import langid, line_dedup, packing, simhash
+from heatgrid.llm import langid, line_dedup, order_minhash, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_language_id": langid.op6_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
