@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgrid.llm import chat, langid, line_dedup, order_minhash, packing, simhash
+from heatgrid.llm import chat, langid, line_dedup, order_minhash, packing, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
+        "op2_warc": warc.op2_warc,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_order_minhash": order_minhash.op5_order_minhash,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op2_warc": warc.ORACLE, "op3_line_dedup": line_dedup.ORACLE}

@@ -31,7 +31,7 @@ def test_random_control_strings_come_back(spark):
 def test_plain_texts_stay_as_they_are(spark):
     got = run(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "yo")])[1]
     assert got.formatted == "<s>user\n[INST] hi [/INST]</s><s>assistant\nyo</s>"
-    assert [tuple(s) for s in got.loss_spans] == [(1, 10, 39, 2)]
+    assert [tuple(s) for s in got.loss_spans] == [(1, 13, 42, 2)]
 
 
 def test_order_nulls_repeats_and_long_conversations(spark):
