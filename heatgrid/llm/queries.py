@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgrid.llm import chat, html_text, langid, line_dedup, order_minhash, packing, pivots, simhash, warc
+from heatgrid.llm import chat, html_text, langid, line_dedup, order_minhash, packing, pivots, simhash, transducer, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_language_id": langid.op6_language_id,
         "op7_embedding_near_dedup": pivots.op7_embedding_near_dedup,
+        "op8_sentencepiece": transducer.op8_sentencepiece,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
