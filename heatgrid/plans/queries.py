@@ -76,10 +76,11 @@ def draw_matrix_wide(spark, d):
     return rounded(health.draw_matrix(totals, [c[0] for c in H.CAUSES]))
 
 
-@query(f"""WITH {B.CELLS}, {CAUSES} SELECT "row", col, cause, round(CASE WHEN pop0 > 0 THEN deaths / pop0 * pop1 END, 12) AS adjusted, round(1 - exp(-beta * (t1 - t0)), 12) AS af,
-round(CASE WHEN pop0 > 0 THEN deaths / pop0 * pop1 END * (1 - exp(-beta * (t1 - t0))), 12) AS excess FROM cells, causes""")
+@query(f"""WITH {B.CELLS}, {CAUSES} SELECT "row", col, cause, round(CASE WHEN pop0 > 0 THEN deaths / pop0 * pop1 END, 12) AS adjusted, round(1 - exp(-beta * (t1 - t0)), 9) AS af,
+round(CASE WHEN pop0 > 0 THEN deaths / pop0 * pop1 END * (1 - exp(-beta * (t1 - t0))), 9) AS excess FROM cells, causes""")
 def health_layers(spark, d):
-    return rounded(health.with_excess(B.cells(spark, d), health.causes(spark)).select("row", "col", "cause", "adjusted", "af", "excess"), 12)
+    own = health.with_excess(B.cells(spark, d), health.causes(spark))
+    return own.select("row", "col", "cause", F.round("adjusted", 12).alias("adjusted"), F.round("af", 9).alias("af"), F.round("excess", 9).alias("excess"))
 
 
 @query(f"""WITH {B.CELLS}, x AS (SELECT CASE WHEN abs(t1 - t0) <= 1.6 THEN t1 - t0 END AS v FROM cells) SELECT count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS largest,
@@ -304,9 +305,9 @@ def points_in_zones_left(spark, d):
     return geometry.polygons_with_points(B.zones(spark, d), B.points(spark, d), "zone", "id")
 
 
-@query(f"WITH {B.CELLS}, {B.ZONES}, {B.POINTS} SELECT c.zone, count(p.id) AS n, round(coalesce(sum(value), 0), 4) AS sum, round(coalesce(avg(value), 0), 4) AS mean FROM corners c LEFT JOIN point_zones USING (zone) LEFT JOIN points p USING (id) GROUP BY 1")
+@query(f"WITH {B.CELLS}, {B.ZONES}, {B.POINTS} SELECT c.zone, count(p.id) AS n, round(coalesce(sum(value), 0), 5) AS sum, round(coalesce(avg(value), 0), 9) AS mean FROM corners c LEFT JOIN point_zones USING (zone) LEFT JOIN points p USING (id) GROUP BY 1")
 def building_zonal(spark, d):
-    return rounded(zonal.by_centroid(B.zones(spark, d), B.points(spark, d), "zone", "id", "value"), 4)
+    return zonal.by_centroid(B.zones(spark, d), B.points(spark, d), "zone", "id", "value").select("zone", "n", F.round("sum", 5).alias("sum"), F.round("mean", 9).alias("mean"))
 
 
 @query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, m AS (SELECT zone, id, nullif(trim(use), '') AS use FROM point_zones JOIN points USING (id)), v AS (SELECT zone, use, count(*) AS n FROM m WHERE use IS NOT NULL GROUP BY 1, 2)

@@ -32,7 +32,7 @@ def csv_after_preamble(spark: SparkSession, path: str, columns: dict[str, str],
     """CSV files whose first `skip` lines (and a header line) say something else; values that do not parse are null."""
     # line numbers are of the file, so a file (a station's year) is one row first
     lines = F.split("value", r"\r?\n")
-    whole = spark.read.option("wholetext", True).text(path).select(F.slice(lines, F.lit(skip + 2), F.greatest(F.size(lines) - skip - 1, F.lit(0))).alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.slice(lines, F.lit(skip + 2), F.greatest(F.size(lines) - skip - 1, F.lit(0))).alias("lines"))
     body = whole.select(F.explode("lines").alias("line")).where("line <> ''")
     fields = F.from_csv("line", ", ".join(f"`{c}` string" for c in columns))
     return body.select(fields.alias("f")).select(*[F.col(f"f.{c}").try_cast(t).alias(c) for c, t in columns.items()])
