@@ -29,7 +29,7 @@ from heatgrid.llm.common import table, without
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-CACHED_CUTS = 800_000  # of a worker; about 200 bytes each
+CACHED_CUTS = 600_000  # of a worker; about 200 bytes each
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -78,12 +78,14 @@ class Transducer:
         self.ids = {self.text[i]: i for i, k in enumerate(kinds) if k == 1}
         self.unknown = kinds.index(2)
         self.bytes = {int(self.text[i][3:5], 16): i for i, k in enumerate(kinds) if k == 6}
-        self.longest = max(map(len, self.ids))
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.sticky = any(b == SPACE != a for a, b in self.pairs)  # a piece goes over the end of a word
         self.low = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0  # an unknown character's score
         self.output = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if k == 1 else b"" if k == 3 else " ⁇ ".encode() for t, k in zip(self.text, kinds, strict=True)]
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.starts = dict.fromkeys((p[:n] for p in self.ids for n in range(1, len(p))), False) | dict.fromkeys(self.ids, True)  # prefix -> is a piece
+        self.fits: dict[str, dict[str, float]] = {}
+        self.n_fits = self.n_composed = 0
+        self.words: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
 
     # ---- compiled parts
@@ -116,28 +118,39 @@ class Transducer:
         """Of an arc with `piece` from a state whose last piece is `last`."""
         if self.kind == UNIGRAM:
             return -self.score[self.ids[piece]] if piece in self.ids else -self.low
-        fit = self.fits.get((last, piece))
-        if fit is None:
-            fit = not last or self.merged(last + piece) == [last, piece]
-            if len(self.fits) < CACHED_CUTS:
-                self.fits[last, piece] = fit
-        return 0.0 if fit else inf
+        row = self.fits.setdefault(last, {})
+        found = row.get(piece)
+        if found is None:
+            found = 0.0 if not last or self.merged(last + piece) == [last, piece] else inf
+            if self.n_fits < CACHED_CUTS:
+                self.n_fits += 1
+                row[piece] = found
+        return found
 
     # ---- composition and shortest path
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces of the lightest path through the lattice of a normalised text, places taken in order."""
-        n = len(text)
+        """Pieces of the lightest path through the lattice of a normalised text, places taken in order.
+
+        From each place the arcs are followed down the pieces' prefixes, so that none is looked for in vain.
+        """
+        n, starts, weight, bpe = len(text), self.starts, self.weight, self.kind == BPE
         dist, last, back = [0.0] + [inf] * n, [""] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        for i in range(n):
+            here = dist[i]
+            if here == inf:
+                continue
+            before = last[i]
+            for j in range(i + 1, n + 1):
                 piece = text[i:j]
-                if dist[i] < inf and (piece in self.ids or j == i + 1):
-                    d = dist[i] + self.weight(last[i], piece)
+                ends = starts.get(piece)
+                # in a BPE model the first path of finite weight to a place is the only one
+                if (ends or j == i + 1) and not (bpe and dist[j] < inf):
+                    d = here + weight(before, piece)
                     if d < dist[j]:
                         dist[j], last[j], back[j] = d, piece, i
-                        if self.kind == BPE:
-                            break  # the only one of finite weight
+                if ends is None:
+                    break
         out, j = [], n
         while j:
             out.append(last[j])
@@ -157,24 +170,41 @@ class Transducer:
                 start = i
         return [*out, text[start:]] if text else []
 
-    def word(self, word: str) -> bytes:
-        """Ids of a stretch of normalised text that begins and ends where it may be cut."""
-        own = self.kept.get(word)
+    def cut(self, cut: str) -> bytes:
+        own = self.kept.get(cut)
         if own is None:
-            cuts = self.cuts(word)
-            own = self.cut_ids(word) if len(cuts) == 1 else b"".join([self.word(c) for c in cuts])
-            if len(self.kept) < CACHED_CUTS and len(word) <= 64:
-                self.kept[word] = own
+            own = self.cut_ids(cut)
+            if len(self.kept) < CACHED_CUTS and len(cut) <= 64:
+                self.kept[cut] = own
+        return own
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word with a space before it, where it may be cut before that space and after it.
+
+        What follows a cut is looked up apart, so that a word is kept once; with punctuation only a part is kept.
+        """
+        own = self.words.get(word)
+        if own is not None:
+            return own
+        if cut := len(word) > 1 and word[-2:] not in self.pairs:
+            own = self.word(word[:-1]) + self.cut(word[-1])
+        else:
+            first, *rest = self.cuts(SPACE + word)
+            if cut := bool(rest):
+                own = b"".join([self.word(first[1:]) if len(first) > 1 else self.cut(first), *map(self.cut, rest)])
+            else:
+                own = self.cut_ids(first)
+        if len(word) <= 64 and len(self.words) < CACHED_CUTS and (not cut or self.n_composed < CACHED_CUTS // 4):
+            self.n_composed += cut
+            self.words[word] = own
         return own
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        text = self.normalise(text)
-        words = text.split(SPACE)
-        if self.sticky or words[0] or words.count("") > 1:
-            return b"".join([self.word(c) for c in self.cuts(text)])
-        got = self.kept.get
-        words = [SPACE + w for w in words[1:]]
+        words = text.split(" ")
+        if not text or self.sticky or self.squeeze or not self.lead or "" in words or SPACE in text:
+            return b"".join(map(self.cut, self.cuts(self.normalise(text))))
+        got = self.words.get
         out = [got(w) for w in words]
         if None in out:
             out = [self.word(w) if o is None else o for w, o in zip(words, out, strict=True)]
