@@ -222,17 +222,17 @@ def extract_text(pages: DataFrame, text_column: str = "text") -> DataFrame:
     white space in a block (line breaks too) is one space. Repeated rows count as pages of their own. Other columns pass through; an
     own column of the text's name is replaced.
     """
-    pages = without(pages, text_column, "__host", "hashes").withColumn("__host", host())
+    pages = without(pages, text_column).withColumn("__host", host())
     found = materialise(templates(pages.select(F.col("__host").alias("host"), "html")), "site-templates")
-    found = found.withColumnRenamed("host", "__site")
-    if (found.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= MAX_BROADCAST_ROWS:  # 8 bytes each; beyond it a shuffled join
+    found = found.withColumnsRenamed({"host": "__site", "hashes": "__hashes"})
+    if (found.agg(F.sum(F.size("__hashes"))).first()[0] or 0) <= MAX_BROADCAST_ROWS:  # 8 bytes each; beyond it a shuffled join
         found = F.broadcast(found)
     joined = pages.join(found, F.col("__host") == F.col("__site"), "left").drop("__host", "__site")
-    names = [c for c in joined.columns if c not in ("html", "hashes")]
+    names = [c for c in joined.columns if c not in ("html", "__hashes")]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist(), strict=True)
+            rows = zip(batch.column("html").to_pylist(), batch.column("__hashes").to_pylist(), strict=True)
             texts = [main_text(parse(html), set(hashes or ())) for html, hashes in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, text_column])
 

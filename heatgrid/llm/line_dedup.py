@@ -237,8 +237,8 @@ def _by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, m
     sent = texts.dropDuplicates(["tk"]).mapInArrow(probes, "shard int, salt int, tk long, line int, h long, fp int")
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = sent.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(look, "tk long, line int")
-    drops = hits.groupBy("tk").agg(F.collect_set("line").alias("__drop"))
-    joined = docs.withColumn("__tk", F.xxhash64("text")).join(drops, F.col("__tk") == F.col("tk"), "left").drop("__tk", "tk")
+    drops = hits.groupBy(F.col("tk").alias("__found")).agg(F.collect_set("line").alias("__drop"))
+    joined = docs.withColumn("__tk", F.xxhash64("text")).join(drops, F.col("__tk") == F.col("__found"), "left").drop("__tk", "__found")
     return _apply(joined, lambda texts, gone: [set(x or ()) for x in gone], added, "__drop")
 
 

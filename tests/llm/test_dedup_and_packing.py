@@ -8,7 +8,7 @@ from public_tokenizers import path
 
 from heatgrid.llm import line_dedup, packing, simhash
 
-DOCS = "doc_id long, text string, lang string, N_Lines int"
+DOCS = "doc_id long, text string, lang string, N_Lines int, tk string, line int"
 
 
 def brute_lines(rows, min_docs):
@@ -33,9 +33,9 @@ def line_rows():
 @pytest.mark.parametrize("bound", [line_dedup.MAX_BROADCAST, 0])
 def test_lines_against_brute_force(spark, bound):
     rows = line_rows()
-    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], DOCS)
+    docs = spark.createDataFrame([(*r, "en", 1, "t", 2) for r in rows], DOCS)
     got = line_dedup.drop_common_lines(docs, min_docs=3, max_broadcast=bound)
-    assert got.columns == ["doc_id", "text", "lang", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "lang", "tk", "line", "n_lines", "n_dropped"]
     own = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()), key=str)
     assert own == brute_lines(rows, 3)
 

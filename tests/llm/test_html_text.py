@@ -3,7 +3,7 @@ import re
 
 from heatgrid.llm import html_text
 
-PAGES = "page_id long, url string, html string, Text int"
+PAGES = "page_id long, url string, html string, Text int, hashes int, host string"
 
 
 def text(page, template=()):
@@ -40,9 +40,9 @@ def pages(hosts):
 
 def test_templates_are_found_by_host(spark):
     rows = [*pages([("a", 8), ("b", 2)]), (100, None, None), (101, "nonsense", "<p>kept</p>")]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], PAGES).repartition(3)
+    frame = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], PAGES).repartition(3)
     got = html_text.extract_text(frame)
-    assert got.columns == ["page_id", "url", "text"]
+    assert got.columns == ["page_id", "url", "hashes", "host", "text"] and {r.hashes for r in got.collect()} == {2}
     found = {r.page_id: r.text for r in got.collect()}
     for i in range(8):
         assert found[i] == f"Title {i}\nOwn text {i} of a.\nA line that all share."
@@ -52,13 +52,13 @@ def test_templates_are_found_by_host(spark):
 
 
 def test_a_share_button_in_every_article_goes(spark):
-    rows = [(i, "http://h/x", f"<article><p>Text {i}</p><div><p>Tell a friend</p></div></article>", 1) for i in range(12)]
+    rows = [(i, "http://h/x", f"<article><p>Text {i}</p><div><p>Tell a friend</p></div></article>", 1, 2, "x") for i in range(12)]
     found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {i: f"Text {i}" for i in range(12)}
 
 
 def test_shuffled_join_agrees(spark, monkeypatch):
-    frame = spark.createDataFrame([(*r, 1) for r in pages([("a", 5), ("c", 4)])], PAGES)
+    frame = spark.createDataFrame([(*r, 1, 2, "x") for r in pages([("a", 5), ("c", 4)])], PAGES)
     one = sorted(html_text.extract_text(frame).collect())
     monkeypatch.setattr(html_text, "MAX_BROADCAST_ROWS", -1)
     assert sorted(html_text.extract_text(frame).collect()) == one
