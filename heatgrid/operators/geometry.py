@@ -245,17 +245,62 @@ def to_national_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
     return _transverse_mercator(phi, lam, a, b, e2)
 
 
-def _transverse_mercator(phi: Column, lam: Column, a: float, b: float, e2: float) -> tuple[Column, Column]:
+def _meridian(phi: Column, a: float, b: float) -> Column:
+    """Arc of the meridian from the projection's latitude."""
     n, lat0 = (a - b) / (a + b), radians(LAT0)
-    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
-    nu = a * SCALE / F.sqrt(1 - e2 * sin * sin)
-    rho = a * SCALE * (1 - e2) / F.pow(1 - e2 * sin * sin, F.lit(1.5))
-    eta = nu / rho - 1
     d, t = phi - lat0, phi + lat0
-    m = b * SCALE * (
+    return b * SCALE * (
         (1 + n + 5 / 4 * n**2 + 5 / 4 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * F.sin(d) * F.cos(t)
         + (15 / 8 * n**2 + 15 / 8 * n**3) * F.sin(2 * d) * F.cos(2 * t) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * t)
     )
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def from_national_grid(east: Column, north: Column) -> Column:
+    """Longitude and latitude (a struct lon, lat) of easting and northing; the inverse of to_national_grid."""
+    a, b = AIRY
+    e2 = 1 - b * b / (a * a)
+    # the footpoint latitude, by a fixed number of steps that each gain three digits
+    foot = F.aggregate(F.sequence(F.lit(1), F.lit(8)), radians(LAT0) + (north - NORTH0) / (a * SCALE), lambda phi, _: phi + (north - NORTH0 - _meridian(phi, a, b)) / (a * SCALE))
+
+    def lat_lon(phi: Column) -> Column:
+        sin, tan, sec = F.sin(phi), F.tan(phi), 1 / F.cos(phi)
+        nu = a * SCALE / F.sqrt(1 - e2 * sin * sin)
+        rho = a * SCALE * (1 - e2) / F.pow(1 - e2 * sin * sin, F.lit(1.5))
+        eta, t2, d = nu / rho - 1, tan * tan, east - EAST0
+        lat = phi - tan / (2 * rho * nu) * d**2 + tan / (24 * rho * nu**3) * (5 + 3 * t2 + eta - 9 * t2 * eta) * d**4 - tan / (720 * rho * nu**5) * (61 + 90 * t2 + 45 * t2 * t2) * d**6
+        lon = radians(LON0) + sec / nu * d - sec / (6 * nu**3) * (nu / rho + 2 * t2) * d**3 + sec / (120 * nu**5) * (5 + 28 * t2 + 24 * t2 * t2) * d**5
+        return F.struct(lat.alias("phi"), lon.alias("lam"))
+
+    def shifted(p: Column) -> Column:
+        phi, lam = p["phi"], p["lam"]
+        nu = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
+        x, y, z = nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), (1 - e2) * nu * F.sin(phi)
+        s = 1 - SHIFT["ppm"] * 1e-6
+        rx, ry, rz = (-radians(SHIFT[k] / 3600) for k in ("rx", "ry", "rz"))
+        return F.struct((-SHIFT["tx"] + s * x - rz * y + ry * z).alias("x"), (-SHIFT["ty"] + rz * x + s * y - rx * z).alias("y"), (-SHIFT["tz"] - ry * x + rx * y + s * z).alias("z"))
+
+    def degrees(c: Column) -> Column:
+        a, b = WGS84
+        e2 = 1 - b * b / (a * a)
+        p = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
+        theta = F.atan2(c["z"] * a, p * b)
+        phi = F.atan2(c["z"] + e2 / (1 - e2) * b * F.pow(F.sin(theta), 3), p - e2 * a * F.pow(F.cos(theta), 3))
+        return F.struct(F.degrees(F.atan2(c["y"], c["x"])).alias("lon"), F.degrees(phi).alias("lat"))
+
+    return _bound(_bound(_bound(foot, lat_lon), shifted), degrees)
+
+
+def _transverse_mercator(phi: Column, lam: Column, a: float, b: float, e2: float) -> tuple[Column, Column]:
+    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+    nu = a * SCALE / F.sqrt(1 - e2 * sin * sin)
+    rho = a * SCALE * (1 - e2) / F.pow(1 - e2 * sin * sin, F.lit(1.5))
+    eta = nu / rho - 1
+    m = _meridian(phi, a, b)
     dl, t2 = lam - radians(LON0), tan * tan
     north = m + NORTH0 + nu / 2 * sin * cos * dl**2 + nu / 24 * sin * F.pow(cos, 3) * (5 - t2 + 9 * eta) * dl**4 + nu / 720 * sin * F.pow(cos, 5) * (61 - 58 * t2 + t2 * t2) * dl**6
     east = EAST0 + nu * cos * dl + nu / 6 * F.pow(cos, 3) * (nu / rho - t2) * dl**3 + nu / 120 * F.pow(cos, 5) * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta) * dl**5

@@ -41,3 +41,8 @@ def match_names(trees: DataFrame, species: DataFrame, resolved: DataFrame, name:
 def union_distinct(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of both tables, missing columns null, one for each key: the first in the order."""
     return first_rows(a.unionByName(b, allowMissingColumns=True), keys, order)
+
+
+def with_risk(records: DataFrame, risks: DataFrame, taxon: str) -> DataFrame:
+    """All tree records with the columns of the risk list of their taxon; each taxon stands once in the list."""
+    return records.join(first_rows(risks, [taxon], [c for c in risks.columns if c != taxon]), taxon, "left").select(*records.columns, *[c for c in risks.columns if c != taxon])

@@ -12,6 +12,8 @@ from heatgrid.functions import health as H
 from heatgrid.operators import geometry, grid, health, landcover, observations, profile, scenario, stats, trees, vulnerability, zonal
 from heatgrid.operators.grid import Grid
 from heatgrid.plans import bridges as B
+from heatgrid.sources import readers
+from heatgrid.sources.sinks import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,3 +848,40 @@ def cleaned_numbers(spark, d):
 def green_view_index(spark, d):
     own = B.table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("pano"), (F.col("l_linenumber") % 6).alias("heading"), (F.col("l_partkey") % 12).alias("class_id"), F.col("l_quantity").alias("n_px"))
     return rounded(zonal.green_view_index(own, "pano", [8, 9]))
+
+
+@query("""WITH m AS (SELECT o_orderdate::DATE AS day, 'E0' || (o_custkey % 12) AS geog, (['I00 Heart', 'j00 Lung', 'X60 Harm', 'C00 Other'])[1 + (o_orderkey % 4)::INT] || ':' || o_orderpriority AS cause, replace(format('{:,}', o_totalprice::BIGINT), ' ', '') AS value FROM orders),
+t AS (SELECT DISTINCT geog, lower(split_part(cause, ' ', 1)) AS code, split_part(cause, ':', 2) AS name, replace(value, ',', '')::DOUBLE AS v FROM m WHERE year(day) = 1997 AND starts_with(geog, 'E01') AND regexp_matches(cause, '^(?i)(i00|j00|x60)'))
+SELECT geog, name, sum(v) FILTER (code = 'i00') AS i00, sum(v) FILTER (code = 'j00') AS j00, sum(v) FILTER (code = 'x60') AS x60 FROM t GROUP BY 1, 2""")
+def mortality_tidy(spark, d):
+    """Filters by year, prefix and case-blind pattern, distinct rows, split names, numbers out of texts, one column a cause."""
+    k = F.col("o_orderkey")
+    names = F.get(F.array(*map(F.lit, ["I00 Heart", "j00 Lung", "X60 Harm", "C00 Other"])), (k % 4).cast("int"))
+    m = B.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), F.concat(F.lit("E0"), F.col("o_custkey") % 12).alias("geog"), F.concat(names, F.lit(":"), "o_orderpriority").alias("cause"), F.format_number(F.rint("o_totalprice").cast("long"), 0).alias("value"))
+    m = m.where((F.year("day") == 1997) & F.col("geog").startswith("E01") & F.col("cause").rlike("(?i)^(i00|j00|x60)"))
+    parts = text.split_parts(F.col("cause"), ":", 2)
+    t = m.select("geog", F.lower(F.split_part(parts[0], F.lit(" "), F.lit(1))).alias("code"), parts[1].alias("name"), text.clean_number(F.col("value")).alias("v")).distinct()
+    return scenario.wide(t.groupBy("geog", "name", "code").agg(F.sum("v").alias("v")), ["geog", "name"], "code", ["v"], ["i00", "j00", "x60"])
+
+
+@query("""WITH r AS (SELECT p_name AS taxon, max(p_size) AS risk FROM part WHERE p_size > 30 GROUP BY 1) SELECT p_partkey AS id, p_name AS taxon, risk FROM part LEFT JOIN r ON r.taxon = p_name""")
+def trees_with_risk(spark, d):
+    p = B.table(spark, d, "part")
+    risk = p.where("p_size > 30").groupBy(F.col("p_name").alias("taxon")).agg(F.max("p_size").alias("risk"))
+    return trees.with_risk(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("taxon")), risk, "taxon")
+
+
+@query()
+def touched_cells(spark, d):
+    own = geometry.cells_touched(_squares(spark, d), "id", Grid(0.0, 0.0, 1.0, 1.0, 100, 100))
+    return own.groupBy("row").agg(F.count("*").alias("n"), F.count_distinct("col").alias("cols"))
+
+
+@query("""SELECT o_orderstatus AS status, substr(o_orderpriority, 1, 1) AS level, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1, 2""")
+def csv_files_tagged(spark, d):
+    """Orders written as CSV by status and priority, read again with tags out of the files' folders."""
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("level"))
+    folder = f"{scratch(spark)}/csv"
+    o.write.partitionBy("status", "level").option("header", True).csv(folder)
+    rows = readers.csv_files(spark, folder, "key long", {"status": (r"status=(\w)", 1), "level": (r"level=(\w)", 1)}, "*.csv", by_path=True)
+    return rows.groupBy("status", "level").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))

@@ -14,11 +14,11 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def csv_files(spark: SparkSession, pattern: str, schema: str, tags: dict[str, tuple[str, int]] | None = None, glob: str | None = None) -> DataFrame:
-    """All CSV files of a pattern in one table, with columns read from their names: tag -> (regular expression, group)."""
-    reader = spark.read.schema(schema).option("header", True)
+def csv_files(spark: SparkSession, pattern: str, schema: str, tags: dict[str, tuple[str, int]] | None = None, glob: str | None = None, by_path: bool = False) -> DataFrame:
+    """All CSV files of a pattern in one table, with columns read from their names (or whole paths): tag -> (pattern, group)."""
+    reader = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", by_path)
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).csv(pattern)
-    rows = rows.withColumn("file", file_name())
+    rows = rows.withColumn("file", F.col("_metadata.file_path") if by_path else file_name())
     return rows.withColumns({t: F.nullif(F.regexp_extract("file", form, group), F.lit("")) for t, (form, group) in (tags or {}).items()})
 
 

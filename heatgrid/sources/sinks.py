@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +34,9 @@ def run_configuration(df: DataFrame, about: dict[str, str], path: str) -> None:
     """A run's settings as one JSON row."""
     row = df.sparkSession.range(1).select(*[F.lit(str(v)).alias(k) for k, v in about.items()])
     row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/heatgrid-{uuid.uuid4().hex}"

@@ -208,6 +208,8 @@ def test_national_grid(spark):
     east, north = geometry.to_national_grid(F.lit(1.716073973), F.lit(52.658007833))
     r = one(spark, e=east, n=north)
     assert r.e == pytest.approx(651409.8, abs=5) and r.n == pytest.approx(313177.3, abs=5)
+    back = spark.range(1).select(geometry.from_national_grid(F.lit(r.e), F.lit(r.n)).alias("p")).first().p
+    assert back.lon == pytest.approx(1.716073973, abs=2e-6) and back.lat == pytest.approx(52.658007833, abs=2e-6)
 
 
 def test_zonal_sums_of_a_partition_are_the_total(spark):
