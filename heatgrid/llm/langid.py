@@ -8,12 +8,13 @@ L1 and L2 penalties) on a bounded sample of labelled rows, then one temperature
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,12 +104,16 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
-    """(lang, buckets, values) of the rows_a_lang labelled rows of each language whose doc_id has the smallest hash."""
+    """(lang, buckets, values) of rows_a_lang labelled rows of each language, those whose doc_id has the smallest hash.
+
+    Each language's share of all hashes is known from its count, so no rows are ranked.
+    """
     h = F.xxhash64(F.col("doc_id"))
-    ranked = labelled.select("lang", h.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    bounds = {r[0]: r[1] for r in ranked.where(F.col("rank") <= rows_a_lang).groupBy("lang").agg(F.max("h")).collect()}
-    if not bounds:
+    counts = labelled.groupBy("lang").agg(F.count("*")).collect()  # a row a language
+    if not counts:
         return []
+    # a tenth more than wanted, as hashes scatter; cut to the bound below
+    bounds = {lang: min((1 << 63) - 1, int((2 * min(1.0, (1.1 * rows_a_lang + 20) / n) - 1) * (1 << 63))) for lang, n in counts}
     limit = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +126,13 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
 
     chosen = labelled.where(h <= F.element_at(limit, F.col("lang"))).select("lang", h.alias("h"), "text")
     rows = chosen.mapInArrow(vectors, "lang string, h long, at binary, tf binary").collect()
-    return [(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.tf, np.float32)) for r in sorted(rows, key=lambda r: (r.h, r.lang))]
+    taken: Counter = Counter()
+    out = []
+    for r in sorted(rows, key=lambda r: (r.h, r.lang, r.at, r.tf)):
+        taken[r.lang] += 1
+        if taken[r.lang] <= rows_a_lang:
+            out.append((r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.tf, np.float32)))
+    return out
 
 
 def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
