@@ -24,7 +24,8 @@ DIM = 1 << 15
 #: Bound of the fitting sample: rows a language.
 ROWS_A_LANG = 1000
 UNKNOWN = "und"
-MIN_SCORE = 0.5
+#: Documents whose best language is less likely than this are rejected; it is kept low, as short texts are seldom sure.
+MIN_SCORE = 1 / 3
 
 _FOLD: list[np.ndarray] = []
 
