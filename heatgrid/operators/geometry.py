@@ -208,14 +208,14 @@ def rasterise_mean(polygons: DataFrame, key: str, grid: Grid, values: list[str])
     return cells_touched(polygons, key, grid).join(polygons.select(key, *values), key).groupBy("row", "col").agg(*[F.avg(v).alias(v) for v in values])
 
 
-def cells_in_circles(points: DataFrame, radius: float, grid: Grid) -> DataFrame:
-    """(row, col) of the cells whose centre is within the radius of any point."""
+def cells_in_circles(points: DataFrame, radius: float, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(row, col) of the cells whose centre is within the radius of any point; by keys such as the scenario."""
     cols = F.sequence(grid.col(F.col("x") - radius), grid.col(F.col("x") + radius))
     rows = F.sequence(grid.row(F.col("y") + radius), grid.row(F.col("y") - radius))
-    near = points.select("x", "y", F.explode(rows).alias("row"), cols.alias("cols")).withColumn("col", F.explode("cols"))
+    near = points.select(*keys, "x", "y", F.explode(rows).alias("row"), cols.alias("cols")).withColumn("col", F.explode("cols"))
     away = F.pow(grid.x(F.col("col")) - F.col("x"), 2) + F.pow(grid.y(F.col("row")) - F.col("y"), 2)
     inside = F.col("row").between(0, grid.nrows - 1) & F.col("col").between(0, grid.ncols - 1)
-    return near.where((away <= radius**2) & inside).select(F.col("row").cast("int"), F.col("col").cast("int")).distinct()
+    return near.where((away <= radius**2) & inside).select(*keys, F.col("row").cast("int"), F.col("col").cast("int")).distinct()
 
 
 # ---- longitude and latitude to the national grid (published formulas)

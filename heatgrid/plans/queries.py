@@ -187,13 +187,11 @@ p AS (SELECT scenario, x, y FROM r JOIN s ON place <= n_trees), c AS (SELECT DIS
 SELECT scenario, new, count(*) AS n FROM (SELECT s.scenario, CASE WHEN c.scenario IS NOT NULL AND lc0 <> 0 THEN 100 ELSE lc0 END AS new FROM cells JOIN s ON true LEFT JOIN c ON c.scenario = s.scenario AND c."row" = cells."row" AND c.col = cells.col) GROUP BY 1, 2""")
 def burn_top_n_trees(spark, d):
     names = spark.createDataFrame([("low", 50), ("mid", 400), ("high", 900)], "scenario string, n_trees int")
-    top = landcover.top_ranked(B.trees(spark, d), names).persist()
-    base, out = B.cells(spark, d).select("row", "col", "lc0"), None
-    for name in ("low", "mid", "high"):
-        covered = geometry.cells_in_circles(top.where(F.col("scenario") == name), 1.5, B.GRID).withColumn("covered", F.lit(True))
-        own = base.join(covered, ["row", "col"], "left").select(F.lit(name).alias("scenario"), landcover.burn_in(F.col("lc0"), F.col("covered")).alias("new"))
-        out = own if out is None else out.union(own)
-    return out.groupBy("scenario", "new").agg(F.count("*").alias("n"))
+    top = landcover.top_ranked(B.trees(spark, d), names)
+    covered = geometry.cells_in_circles(top, 1.5, B.GRID, ("scenario",)).withColumn("covered", F.lit(True))
+    base = B.cells(spark, d).select("row", "col", "lc0").crossJoin(F.broadcast(names.select("scenario")))
+    burnt = base.join(covered, ["scenario", "row", "col"], "left").select("scenario", landcover.burn_in(F.col("lc0"), F.col("covered")).alias("new"))
+    return burnt.groupBy("scenario", "new").agg(F.count("*").alias("n"))
 
 
 # ---- grids
