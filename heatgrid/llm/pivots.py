@@ -33,33 +33,35 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & ~wrong & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
+def _unit(rows: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors in double precision; shorter ones are padded with zeros."""
-    own = [np.frombuffer(r, np.float64) for r in rows]
+    own = [np.frombuffer(r, kind) for r in rows]
     size = max(map(len, own), default=0)
     x = np.zeros((len(own), size))
     for i, v in enumerate(own):
         x[i, : len(v)] = v
-    return x / np.sqrt((x * x).sum(1))[:, None] if len(x) else x
+    if not len(x):
+        return x
+    x /= np.ldexp(1.0, np.frexp(np.abs(x).max(1))[1])[:, None]  # powers of two: squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _packed(columns: list[str]):
-    """Map (.., embedding) batches to the same with the embedding as bytes of doubles, scaled by a power of two."""
+def _packed(columns: list[str], kind: str):
+    """Map (.., embedding) batches to the same with the embedding as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist()]
-            own = [np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])).tobytes() for v in own]  # squares neither overflow nor vanish
+            own = [np.asarray(v, kind).tobytes() for v in batch.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(own, pa.binary())], [*columns, "vector"])
 
     return run
 
 
-def choose_pivots(vectors: DataFrame, total: int) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, total: int, kind: str) -> np.ndarray:
     """Unit pivots, picked one after the other from a bounded sample (those of the smallest hash), far from each other."""
     n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, ceil(2 * sqrt(total)))))
     rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_A_PIVOT * n).collect()
-    sample = _unit([bytes(r[0]) for r in rows])
+    sample = _unit([bytes(r[0]) for r in rows], kind)
     chosen = np.zeros((0, sample.shape[1]))
     for v in sample:
         if len(chosen) < n and (not len(chosen) or (chosen @ v).max() < APART):
@@ -102,7 +104,7 @@ def _list_links(x, lists, weights, nodes, part, key, n_pivots, threshold):
     return out
 
 
-def links(vectors: DataFrame, pivots: np.ndarray, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
+def links(vectors: DataFrame, pivots: np.ndarray, threshold: float, kind: str, list_rows: int = LIST_ROWS) -> DataFrame:
     """(u, v, n) of distinct vectors (node, weight, vector): edges u - v that join all linked ones, and rows without v that
     add n (weights of vectors linked) to the links of u.
 
@@ -112,7 +114,7 @@ def links(vectors: DataFrame, pivots: np.ndarray, threshold: float, list_rows: i
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # MAX_PIVOTS vectors at most
 
     def keys_of(vector_column) -> tuple[np.ndarray, np.ndarray]:
-        near = nearest_pivots(_unit(vector_column.to_pylist()), sent.value)
+        near = nearest_pivots(_unit(vector_column.to_pylist(), kind), sent.value)
         ordered = np.sort(near, axis=1).astype(np.int64)
         pairs = list(combinations(range(ordered.shape[1]), 2))
         return near, np.stack([ordered[:, i] * n_pivots + ordered[:, j] for i, j in pairs], 1) if pairs else np.zeros((len(near), 0), np.int64)
@@ -140,7 +142,7 @@ def links(vectors: DataFrame, pivots: np.ndarray, threshold: float, list_rows: i
             key, i, j = rows[0][:3]
             part = None if i == j else np.array([r[3] for r in rows])
             near = np.stack([np.frombuffer(r[7], np.int32) for r in rows])
-            own = _list_links(_unit([r[6] for r in rows]), near, np.array([r[5] for r in rows]), [r[4] for r in rows], part, key, n_pivots, threshold)
+            own = _list_links(_unit([r[6] for r in rows], kind), near, np.array([r[5] for r in rows]), [r[4] for r in rows], part, key, n_pivots, threshold)
             u, v, n = zip(*own, strict=True) if own else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["u", "v", "n"])
 
@@ -166,13 +168,14 @@ def similar_vectors(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     of different lengths are compared as if padded with zeros. Rows without a vec_id count, but name no component.
     """
     rows = rows.select("vec_id", "embedding")
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"  # as the table has them; the arithmetic is double
     good = rows.where(usable(F.col("embedding")))
     # equal vectors are one node: groups of copies of any size are counted, not paired
     nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     nodes = nodes.withColumn("node", F.coalesce("least", F.xxhash64("embedding").bitwiseOR(-(1 << 63))))
-    vectors = materialise(nodes.mapInArrow(_packed(["node", "least", "weight"]), "node long, least long, weight long, vector binary"), "vectors")
+    vectors = materialise(nodes.mapInArrow(_packed(["node", "least", "weight"], kind), "node long, least long, weight long, vector binary"), "vectors")
     total = vectors.count()
-    found = materialise(links(vectors, choose_pivots(vectors, total), threshold) if total else rows.sparkSession.createDataFrame([], "u long, v long, n long"), "pivot-links")
+    found = materialise(links(vectors, choose_pivots(vectors, total, kind), threshold, kind) if total else rows.sparkSession.createDataFrame([], "u long, v long, n long"), "pivot-links")
     label = connected_components(found.where("v IS NOT NULL").select("u", "v"))
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("others"))
     own = vectors.select("node", "least", "weight").join(label.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
