@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op2_warc": warc.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op2_warc": warc.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op7_embedding_near_dedup": pivots.ORACLE}
