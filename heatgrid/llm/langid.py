@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from heatgrid.llm.common import table, without
 
 DIM = 1 << 15
-#: Bound of the fitting sample: rows a language.
-ROWS_A_LANG = 1000
+#: Bounds of the fitting sample: rows a language, and rows in all (but 20 a language at least).
+ROWS_A_LANG, ROWS_IN_ALL = 1000, 8000
 UNKNOWN = "und"
 #: Documents whose best language is less likely than this are rejected; it is kept low, as short texts are seldom sure.
 MIN_SCORE = 1 / 3
@@ -113,6 +113,7 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
     counts = labelled.groupBy("lang").agg(F.count("*")).collect()  # a row a language
     if not counts:
         return []
+    rows_a_lang = min(rows_a_lang, max(20, ROWS_IN_ALL // len(counts)))
     # a tenth more than wanted, as hashes scatter; cut to the bound below
     bounds = {lang: min((1 << 63) - 1, int((2 * min(1.0, (1.1 * rows_a_lang + 20) / n) - 1) * (1 << 63))) for lang, n in counts}
     limit = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])

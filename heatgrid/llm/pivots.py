@@ -58,15 +58,19 @@ def _packed(columns: list[str], kind: str):
 
 
 def choose_pivots(vectors: DataFrame, total: int, kind: str) -> np.ndarray:
-    """Unit pivots, picked one after the other from a bounded sample (those of the smallest hash), far from each other."""
+    """Unit pivots, picked one after the other from a bounded sample (those of the smallest hash), far from each other.
+
+    Where too few are far apart, as when all vectors are alike, nearer ones fill up to MIN_PIVOTS, in the same order.
+    """
     n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, ceil(2 * sqrt(total)))))
     rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_A_PIVOT * n).collect()
     sample = _unit([bytes(r[0]) for r in rows], kind)
-    chosen = np.zeros((0, sample.shape[1]))
-    for v in sample:
-        if len(chosen) < n and (not len(chosen) or (chosen @ v).max() < APART):
-            chosen = np.vstack([chosen, v])
-    return chosen
+    chosen: list[int] = []
+    for i, v in enumerate(sample):
+        if len(chosen) < n and (not chosen or (sample[chosen] @ v).max() < APART):
+            chosen.append(i)
+    rest = [i for i in range(len(sample)) if i not in set(chosen)]
+    return sample[chosen + rest[: max(0, MIN_PIVOTS - len(chosen))]]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:

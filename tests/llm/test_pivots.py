@@ -71,3 +71,13 @@ def test_few_rows(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in pivots.similar_vectors(frame).collect()), key=str)
     assert got == sorted([(1, 3, 1), (2, 3, 1), (2, 3, 1), (None, 3, 1)], key=str)
     assert pivots.similar_vectors(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_one_cluster(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    for n in (2, 3, 300):
+        rows = [(i, (base + rng.normal(size=16) * 0.35).astype(np.float32).tolist()) for i in range(n)]
+        want = brute(rows)
+        got = {r.vec_id: r.n_links for r in pivots.similar_vectors(spark.createDataFrame([(*r, "") for r in rows], ROWS)).collect()}
+        assert all(got[v] <= want[v][0] for v in want) and sum(got.values()) >= 0.9 * sum(k for k, _ in want.values())
