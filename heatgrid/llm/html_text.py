@@ -48,7 +48,7 @@ _WORDS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "chrome", "main")
+    __slots__ = ("tag", "name", "kids", "chrome", "named", "main", "holds")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -57,7 +57,10 @@ class Node:
         self.main = tag in MAIN or found.get("role") in MAIN
         words = {w for key in ("class", "id") for w in _WORDS.split(found.get(key, ""))} if found else ()
         hidden = found and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
-        self.chrome = not self.main and tag not in ("html", "body") and bool(tag in CHROME or hidden or found.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words))
+        self.chrome = not self.main and tag not in ("html", "body") and bool(tag in CHROME or hidden)
+        # by its name alone; an element that holds the article is none, whatever it is called (class="with-sidebar")
+        self.named = not self.main and tag not in ("html", "body") and (found.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words))
+        self.holds = self.main
 
 
 def parse(html: str | None) -> Node:
@@ -87,6 +90,11 @@ def parse(html: str | None) -> Node:
             _close(stack, own.split(), within.split())
         node = Node(tag, m[3] or m[6] or "")
         stack[-1].kids.append(node)
+        if node.main:
+            for above in reversed(stack):
+                if above.holds:
+                    break
+                above.holds = True
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
             at = end.start() if end else len(html)
@@ -118,7 +126,7 @@ def _walk(root: Node) -> list[tuple[Node, bool]]:
 
 def _is_chrome(node: Node, inside: bool) -> bool:
     """Page headers are chrome; an article's own header is not."""
-    return node.chrome or (not inside and node.tag == "header" and not any(k.main for k in node.kids if isinstance(k, Node)))
+    return node.chrome or (node.named and not node.holds) or (not inside and node.tag == "header" and not node.holds)
 
 
 def subtree_hashes(root: Node) -> dict[int, list[int]]:
@@ -129,9 +137,8 @@ def subtree_hashes(root: Node) -> dict[int, list[int]]:
     order = _walk(root)
     content: dict[int, int] = {}
     shape: dict[int, int] = {}
-    holds: dict[int, bool] = {}
     for node, _ in reversed(order):  # children first
-        parts, shapes, own = [node.tag, node.name], [], node.main
+        parts, shapes = [node.tag, node.name], []
         for kid in node.kids:
             if isinstance(kid, str):
                 if text := " ".join(kid.split()):
@@ -139,23 +146,21 @@ def subtree_hashes(root: Node) -> dict[int, list[int]]:
             elif id(kid) in content:
                 parts.append(str(content[id(kid)]))
                 shapes.append(shape[id(kid)])
-                own = own or holds[id(kid)]
         content[id(node)] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 2
         shape[id(node)] = xxhash.xxh64_intdigest(f"{node.tag} {node.name} {sorted(set(shapes))}") >> 2
-        holds[id(node)] = own
     out: dict[int, list[int]] = {}
     path = {id(root): 0}
     for node, inside in order:
         for kid in node.kids:
             if id(kid) in content:
                 path[id(kid)] = xxhash.xxh64_intdigest(f"{path[id(node)]} {node.tag} {node.name}") >> 2
-        if node.tag not in BLOCK or node.tag in ("html", "body") or holds[id(node)] or not any(isinstance(k, Node) or k.strip() for k in node.kids):
+        if node.tag not in BLOCK or node.tag in ("html", "body") or node.holds or not any(isinstance(k, Node) or k.strip() for k in node.kids):
             continue
         h = content[id(node)]
         if inside:
             out[id(node)] = [h | 1 << 62]
         else:
-            out[id(node)] = [h] if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not holds[id(root)] else [h, (shape[id(node)] ^ path[id(node)]) >> 1]
+            out[id(node)] = [h] if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not root.holds else [h, (shape[id(node)] ^ path[id(node)]) >> 1]
     return out
 
 

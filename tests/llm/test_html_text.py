@@ -19,6 +19,12 @@ def test_chrome_goes_and_blocks_stay():
     assert text(page) == "Head & line\nOne bold x y\nTwo <b> ©\nfirst\nsecond\nc1\nc2"
 
 
+def test_a_wrapper_with_a_telling_name_keeps_the_article():
+    page = "<body><div class='layout with-sidebar'><div class='sidebar'><p>side</p></div><div id='comments-on'><main><p>Main</p></main></div><div class='comments'>c</div></div></body>"
+    assert text(page) == "Main"
+    assert text("<div class='menu'><p>m</p></div><p>rest</p>") == "rest"
+
+
 def test_broken_pages_have_defined_texts():
     assert text(None) == text("") == text("<p></p> \n") == ""
     assert text("no tags < 3 &amp; &am &a") == "no tags < 3 & &am &a"
