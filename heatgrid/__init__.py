@@ -1,0 +1 @@
+"""Urban heat, land-cover and health-equity analytics on Spark."""

@@ -1,0 +1 @@
+"""Bridges from the driver's tables, and the registered queries."""

@@ -1,0 +1 @@
+"""Empty: the source material has no streaming."""
