@@ -3,7 +3,8 @@
 Every element subtree of a page is hashed, over its tags, classes and text; Spark counts on how many pages of its host
 each hash occurs; subtrees that recur on many pages of a host are its template and go. Outside of the article the shape
 alone (tags and classes, without text) is hashed too, as menus, adverts and footers change their words from page to page.
-Elements that say what they are (nav, footer, role=banner, class="cookie-notice" ...) go without a count.
+Elements that say what they are (nav, footer, role=banner, class="cookie-notice" ...) are hashed and counted like all
+others, but a few pages are enough for them; by their name alone they go only on hosts with too few pages to count.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ from heatgrid.llm.common import materialise, table, without
 #: A subtree outside of the article is template on this many pages and this share of its host's pages; one inside of it
 #: only if next to all pages of a larger host have it, as articles quote and copy each other.
 OUTSIDE, INSIDE = (3, 0.3), (10, 0.9)
+#: A named subtree is template on this many pages and this share, which bounds the hashes of a host; hosts of fewer pages than FEW tell nothing about their named ones.
+NAMED, FEW = (2, 0.01), 10
+INSIDE_BIT, NAMED_BIT = 1 << 61, 1 << 62
+#: Among the hashes of a host: it has pages enough for counts to decide.
+COUNTED = -1
 MAX_BROADCAST_ROWS = 200_000
 
 # Element kinds of HTML, and the words by which pages name what is not their text.
@@ -32,7 +38,8 @@ RAW = frozenset("script style title textarea noscript template iframe xmp noembe
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 BLOCK = CLOSES_P | frozenset("body html head li dt dd tr td th thead tbody tfoot caption summary legend option center".split())
 MAIN = frozenset({"article", "main"})
-CHROME = frozenset("aside audio button canvas datalist dialog footer form head input label menu nav object select svg video".split()) | RAW
+UNSEEN = frozenset("audio canvas datalist head input object svg video".split()) | RAW
+CHROME = frozenset("aside button dialog footer form label menu nav select".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter"
@@ -45,6 +52,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _WORDS = re.compile(r"[^a-z0-9]+")
+_NUMBER = re.compile(r"(?<=[-_])\d+")
 
 
 class Node:
@@ -57,9 +65,9 @@ class Node:
         self.main = tag in MAIN or found.get("role") in MAIN
         words = {w for key in ("class", "id") for w in _WORDS.split(found.get(key, ""))} if found else ()
         hidden = found and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
-        self.chrome = not self.main and tag not in ("html", "body") and bool(tag in CHROME or hidden)
-        # by its name alone; an element that holds the article is none, whatever it is called (class="with-sidebar")
-        self.named = not self.main and tag not in ("html", "body") and (found.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words))
+        self.chrome = not self.main and tag not in ("html", "body") and bool(tag in UNSEEN or hidden)
+        # an element that holds the article is none, whatever it is called (class="with-sidebar")
+        self.named = not self.main and tag not in ("html", "body") and (tag in CHROME or found.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words))
         self.holds = self.main
 
 
@@ -115,24 +123,25 @@ def _close(stack: list[Node], tags, within) -> None:
 
 
 def _walk(root: Node) -> list[tuple[Node, bool]]:
-    """All elements but chrome, parents first, with whether they stand in the article (or are it)."""
+    """All elements but those that are not shown, parents first, with whether they stand in the article (or are it)."""
     out, todo = [], [(root, root.main)]
     while todo:
         node, inside = todo.pop()
         out.append((node, inside))
-        todo += [(k, inside or k.main) for k in reversed(node.kids) if isinstance(k, Node) and not _is_chrome(k, inside)]
+        todo += [(k, inside or k.main) for k in reversed(node.kids) if isinstance(k, Node) and not k.chrome]
     return out
 
 
-def _is_chrome(node: Node, inside: bool) -> bool:
-    """Page headers are chrome; an article's own header is not."""
-    return node.chrome or (node.named and not node.holds) or (not inside and node.tag == "header" and not node.holds)
+def _is_named(node: Node, inside: bool) -> bool:
+    """Page headers are named; an article's own header is not."""
+    return not node.holds and (node.named or (not inside and node.tag == "header"))
 
 
 def subtree_hashes(root: Node) -> dict[int, list[int]]:
     """id(node) -> hashes by which the host's pages are compared; none for the article, what holds it, and bare text.
 
-    Inside of the article: tags, classes and text. Outside: the same, and the shape with its path from the root.
+    Inside of the article: tags, classes and text. Outside: the same, and the shape with its path from the root. Elements
+    with telling names: the shape wherever they stand. Numbers in classes and ids (comment-17) are no shape.
     """
     order = _walk(root)
     content: dict[int, int] = {}
@@ -146,26 +155,30 @@ def subtree_hashes(root: Node) -> dict[int, list[int]]:
             elif id(kid) in content:
                 parts.append(str(content[id(kid)]))
                 shapes.append(shape[id(kid)])
-        content[id(node)] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 2
-        shape[id(node)] = xxhash.xxh64_intdigest(f"{node.tag} {node.name} {sorted(set(shapes))}") >> 2
+        content[id(node)] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 3
+        shape[id(node)] = xxhash.xxh64_intdigest(f"{node.tag} {_NUMBER.sub('0', node.name)} {sorted(set(shapes))}") >> 3
     out: dict[int, list[int]] = {}
     path = {id(root): 0}
     for node, inside in order:
         for kid in node.kids:
             if id(kid) in content:
-                path[id(kid)] = xxhash.xxh64_intdigest(f"{path[id(node)]} {node.tag} {node.name}") >> 2
+                path[id(kid)] = xxhash.xxh64_intdigest(f"{path[id(node)]} {node.tag} {_NUMBER.sub('0', node.name)}") >> 3
+        if _is_named(node, inside):
+            out[id(node)] = [shape[id(node)] | NAMED_BIT]  # equal contents have equal shapes
+            continue
         if node.tag not in BLOCK or node.tag in ("html", "body") or node.holds or not any(isinstance(k, Node) or k.strip() for k in node.kids):
             continue
         h = content[id(node)]
         if inside:
-            out[id(node)] = [h | 1 << 62]
+            out[id(node)] = [h | INSIDE_BIT]
         else:
             out[id(node)] = [h] if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not root.holds else [h, (shape[id(node)] ^ path[id(node)]) >> 1]
     return out
 
 
 def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of text in page order, without chrome and without subtrees that have a template hash."""
+    """Blocks of text in page order, without subtrees that have a template hash; without named ones, if counts tell nothing."""
+    few = COUNTED not in template
     gone = {n for n, hashes in subtree_hashes(root).items() if not template.isdisjoint(hashes)} if template else set()
     blocks: list[str] = []
     run: list[str] = []
@@ -191,7 +204,7 @@ def main_text(root: Node, template: set[int]) -> str:
             if block:
                 flush()
                 todo.append(None)
-            todo += [k if isinstance(k, str) else (k, inside or k.main) for k in reversed(node.kids) if isinstance(k, str) or not (_is_chrome(k, inside) or id(k) in gone)]
+            todo += [k if isinstance(k, str) else (k, inside or k.main) for k in reversed(node.kids) if isinstance(k, str) or not (k.chrome or id(k) in gone or (few and _is_named(k, inside)))]
     flush()
     return "\n".join(blocks)
 
@@ -202,7 +215,7 @@ def host(url: str = "url") -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): for each host that has a template the hashes of its subtrees; pages: host, html."""
+    """(host, hashes): for each host that has a template or FEW pages the hashes of its subtrees; pages: host, html."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +227,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
     found = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    inside = F.col("h") >= (1 << 62)
-    least = F.greatest(F.when(inside, INSIDE[0]).otherwise(OUTSIDE[0]), F.ceil(F.col("pages") * F.when(inside, INSIDE[1]).otherwise(OUTSIDE[1])))
+    named, inside = F.col("h") >= NAMED_BIT, F.col("h") >= INSIDE_BIT
+    of = lambda k: F.when(named, NAMED[k]).when(inside, INSIDE[k]).otherwise(OUTSIDE[k])
+    least = F.greatest(of(0), F.ceil(F.col("pages") * of(1)))
     # at most (subtrees of a page / share) hashes a host
-    return found.where(F.col("n") >= OUTSIDE[0]).join(totals, "host").where(F.col("n") >= least).groupBy("host").agg(F.collect_set("h").alias("hashes"))
+    kept = found.where(F.col("n") >= of(0)).join(totals, "host").where(F.col("n") >= least).select("host", "h")
+    enough = totals.where(F.col("pages") >= FEW).select("host", F.lit(COUNTED).cast("long").alias("h"))
+    return kept.union(enough).groupBy("host").agg(F.collect_set("h").alias("hashes"))
 
 
 def extract_text(pages: DataFrame, text_column: str = "text") -> DataFrame:

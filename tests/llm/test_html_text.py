@@ -77,3 +77,13 @@ def test_articles_of_the_table(spark):
         article = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
         blocks = [" ".join(H.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_named_elements_are_counted_where_the_host_has_pages_enough(spark):
+    own = "<div class='share'><p>The share of {i} in all, told once: {tags}</p></div>"
+    body = "<body class='page-id-{i}'><nav><a>go {i}</a></nav>{own}<article><p>Text {i}</p></article><footer>Terms {i}</footer></body>"
+    row = lambda i, h: (i, f"http://{h}/{i}", body.format(i=i, own=own.format(i=i, tags=f"<table id='t'><tr><td>{i}</table>") if i % 50 == 7 else ""), 1, 2, "x")
+    rows = [*[row(i, "many") for i in range(12)], *[row(50 + i, "few") for i in range(9)]]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found.pop(7) == "The share of 7 in all, told once:\n7\nText 7"  # nothing like it recurs on its host
+    assert found == {i: f"Text {i}" for i in (*range(7), *range(8, 12), *range(50, 59))}
