@@ -45,6 +45,9 @@ CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter"
     " notice notices pager pagination paywall popup promo promoted promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: In the article ids are made from headings and classes style its own notes: only these roles and whole class names tell.
+INSIDE_ROLES = CHROME_ROLES - {"alert", "banner", "complementary", "status"}
+_INSIDE_NAME = re.compile(r"ads?|adverts?|advertisements?|adsbygoogle|comments|(?:ad|advert|comments?)[-_]?(?:area|banner|block|box|container|form|list|section|slot|thread|unit|wrapper)")
 #: Closed by a sibling of its kind, up to the element that holds such siblings.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
@@ -56,7 +59,7 @@ _NUMBER = re.compile(r"(?<=[-_])\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "chrome", "named", "main", "holds")
+    __slots__ = ("tag", "name", "kids", "chrome", "named", "said", "main", "holds")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -68,6 +71,7 @@ class Node:
         self.chrome = not self.main and tag not in ("html", "body") and bool(tag in UNSEEN or hidden)
         # an element that holds the article is none, whatever it is called (class="with-sidebar")
         self.named = not self.main and tag not in ("html", "body") and (tag in CHROME or found.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words))
+        self.said = self.named and (tag in CHROME or found.get("role") in INSIDE_ROLES or any(_INSIDE_NAME.fullmatch(c) for c in found.get("class", "").split()))
         self.holds = self.main
 
 
@@ -133,8 +137,8 @@ def _walk(root: Node) -> list[tuple[Node, bool]]:
 
 
 def _is_named(node: Node, inside: bool) -> bool:
-    """Page headers are named; an article's own header is not."""
-    return not node.holds and (node.named or (not inside and node.tag == "header"))
+    """Page headers are named; an article's own header is not, nor what has but a telling word in its class or id there."""
+    return not node.holds and (node.said if inside else node.named or node.tag == "header")
 
 
 def subtree_hashes(root: Node) -> dict[int, list[int]]:

@@ -87,3 +87,15 @@ def test_named_elements_are_counted_where_the_host_has_pages_enough(spark):
     found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert found.pop(7) == "The share of 7 in all, told once:\n7\nText 7"  # nothing like it recurs on its host
     assert found == {i: f"Text {i}" for i in (*range(7), *range(8, 12), *range(50, 59))}
+
+
+def test_words_in_ids_and_classes_do_not_tell_in_the_article(spark):
+    kept = "<h2 id='related-work'>Related work</h2><section id='search-and-rescue'><p>Rescue {i}</p></section><p class='notice'>Note {i}</p><div id='social-history'>Once {i}</div><pre>x <span class='token comment'># {i}</span></pre>"
+    gone = "<div class='ad-box'>Buy {i}</div><ul class='comment-list'><li id='comment-{i}'>me {i}</ul>"
+    page = f"<div class='related links'>more</div><article><p>Text {{i}}</p>{kept}{gone}</article>"
+    want = "Text {i}\nRelated work\nRescue {i}\nNote {i}\nOnce {i}\nx # {i}"
+    assert text(page.format(i=1)) == want.format(i=1)
+    rows = [(i, "http://h/x", page.format(i=i), 1, 2, "x") for i in range(9)] + [(i, "http://g/x", page.format(i=i), 1, 2, "x") for i in range(9, 29)]
+    frame = spark.createDataFrame([(*r[:2], r[2].replace("<h2 id='related-work'>Related work</h2>", f"<h2 id='related-work'>Related work {r[0] // 2}</h2>"), *r[3:]) for r in rows], PAGES)
+    found = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert found == {i: want.format(i=i).replace("work", f"work {i // 2}") for i in range(29)}
