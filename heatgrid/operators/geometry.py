@@ -65,17 +65,21 @@ def polygons_with_points(polygons: DataFrame, points: DataFrame, key: str, point
 
 
 def nearest_within(points: DataFrame, polygons: DataFrame, point_key: str, key: str, limit: float, size: float = 10.0) -> DataFrame:
-    """For each polygon the points nearest to its outline or inside, at most `limit` away; ties are all kept."""
+    """For each polygon the points nearest to its outline or inside, at most `limit` away; ties are all kept.
+
+    Edges are dealt into bands of y, widened by the limit: a point meets those at its height and those near enough.
+    """
     own = edges(polygons, key)
-    pairs = _candidates(points, own, point_key, key, size, limit)
-    near = pairs.join(own, key)
+    pairs = _candidates(points, own, point_key, key, size, limit).withColumn("band", F.floor(F.col("py") / size))
+    banded = own.withColumn("band", F.explode(_span(F.least("y1", "y2") - limit, F.greatest("y1", "y2") + limit, size)))
+    near = pairs.join(banded, [key, "band"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.least(F.greatest(((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     away = F.sqrt(F.pow(F.col("px") - F.col("x1") - t * dx, 2) + F.pow(F.col("py") - F.col("y1") - t * dy, 2))
     crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < dx * (F.col("py") - F.col("y1")) / dy + F.col("x1"))
     found = near.groupBy(key, point_key).agg(F.min(away).alias("outline"), F.count_if(crosses).alias("n"))
     found = found.withColumn("distance", F.when(F.col("n") % 2 == 1, 0.0).otherwise(F.col("outline"))).where(F.col("distance") <= limit)
-    return found.withColumn("rank", F.rank().over(Window.partitionBy(key).orderBy("distance"))).where("rank = 1").select(key, point_key, "distance")
+    return found.join(found.groupBy(key).agg(F.min("distance").alias("distance")), [key, "distance"]).select(key, point_key, "distance")
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str, count: str, values: list[str]) -> DataFrame:

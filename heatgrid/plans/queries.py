@@ -30,6 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _whole(name: str, *filters: str) -> str:
+    """The SQL of another query without its filters."""
+    sql = SQL[name]
+    for f in filters:
+        sql = sql.replace(f, "")
+    return sql
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, as sums depend on the order of their terms."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -323,7 +331,16 @@ w AS (SELECT zone, id, min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t
 k AS (SELECT zone, id, CASE WHEN n % 2 = 1 THEN 0 ELSE outline END AS distance FROM w), f AS (SELECT zone, id, distance, rank() OVER (PARTITION BY zone ORDER BY distance) AS r FROM k WHERE distance <= 5)
 SELECT zone, id, round(distance, 6) AS distance, round(distance * 100)::INT AS cm FROM f WHERE r = 1""")
 def nearest_points(spark, d):
-    own = geometry.nearest_within(B.points(spark, d).where("id % 50 = 3"), B.zones(spark, d), "id", "zone", 5.0)
+    return _nearest_points(B.points(spark, d).where("id % 50 = 3"), B.zones(spark, d))
+
+
+@query(_whole("nearest_points", " WHERE id % 50 = 3"))
+def nearest_points_all(spark, d):
+    return _nearest_points(B.points(spark, d), B.zones(spark, d))
+
+
+def _nearest_points(p, z):
+    own = geometry.nearest_within(p, z, "id", "zone", 5.0)
     return own.select("zone", "id", F.round("distance", 6).alias("distance"), classify.centimetres(F.col("distance")).alias("cm"))
 
 
@@ -334,7 +351,15 @@ z AS (SELECT zone, id, CASE WHEN k % 2 = 1 THEN 0 ELSE outline END AS distance F
 SELECT c.zone, CASE WHEN p.n IS NULL AND f.n > 0 THEN f.n ELSE p.n END AS n, CASE WHEN p.n IS NULL AND f.n > 0 THEN f.first ELSE p.first END AS first, CASE WHEN p.n IS NULL AND f.n > 0 THEN 'nearest' WHEN p.n > 0 THEN 'pip' END AS method
 FROM corners c LEFT JOIN p USING (zone) LEFT JOIN f USING (zone)""")
 def nearest_fallback(spark, d):
-    z, p = B.zones(spark, d), B.points(spark, d).where("id % 50 = 3")
+    return _nearest_fallback(B.points(spark, d).where("id % 50 = 3"), B.zones(spark, d))
+
+
+@query(_whole("nearest_fallback", " WHERE id % 50 = 3"))
+def nearest_fallback_all(spark, d):
+    return _nearest_fallback(B.points(spark, d), B.zones(spark, d))
+
+
+def _nearest_fallback(p, z):
     count = lambda df: df.groupBy("zone").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     primary = z.select("zone").join(count(geometry.points_in_polygons(p, z, "id", "zone", True)), "zone", "left")
     return geometry.with_fallback(primary, count(geometry.nearest_within(p, z, "id", "zone", 5.0)), "zone", "n", ["first"]).select("zone", "n", "first", "method")
@@ -696,6 +721,13 @@ def season_match(spark, d):
     return observations.season_match(o.where("o_orderkey % 3 = 0").select("k", "day"), ndvi, "k", "day")
 
 
+@query(_whole("season_match", " WHERE o_orderkey % 3 = 0", " WHERE o_orderkey % 3 = 1"))
+def season_match_all(spark, d):
+    o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.round("o_totalprice").cast("long").alias("v"))
+    ndvi = o.groupBy("k", dates.year_season(F.col("day")).alias("year_season")).agg(F.max("v").alias("ndvi"))
+    return observations.season_match(o.select("k", "day"), ndvi, "k", "day")
+
+
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT o_custkey AS k, o_orderdate::DATE AS s, o_orderdate::DATE + (200 + o_orderkey % 7)::INT AS e FROM orders WHERE o_orderkey % 3 = 1)
 SELECT k, day, start, stop, days FROM (SELECT e.k, day, i.s AS start, i.e AS stop, abs(datediff('day', i.s, day))::INT AS days, rank() OVER (PARTITION BY e.k, day ORDER BY abs(datediff('day', i.s, day))) AS r FROM e JOIN i ON e.k = i.k AND day BETWEEN i.s AND i.e) WHERE r = 1""")
 def interval_nearest(spark, d):
@@ -704,6 +736,16 @@ def interval_nearest(spark, d):
     return observations.interval_nearest(o.where("o_orderkey % 3 = 0").select("k", "day").distinct(), held, "k", "day", "start", "stop")
 
 
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE + (o_orderkey % 300)::INT AS day FROM orders), i AS (SELECT o_custkey AS k, o_orderdate::DATE AS s, o_orderdate::DATE + (200 + o_orderkey % 7)::INT AS e FROM orders)
+SELECT k, day, start, stop, days FROM (SELECT e.k, day, i.s AS start, i.e AS stop, abs(datediff('day', i.s, day))::INT AS days, rank() OVER (PARTITION BY e.k, day ORDER BY abs(datediff('day', i.s, day))) AS r FROM e JOIN i ON e.k = i.k AND day BETWEEN i.s AND i.e) WHERE r = 1""")
+def interval_nearest_all(spark, d):
+    """All orders in both roles; as events they come later, as each would be nearest to itself otherwise."""
+    o = B.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"))
+    held = o.select("k", F.col("day").alias("start"), F.date_add("day", (200 + F.col("o_orderkey") % 7).cast("int")).alias("stop"))
+    events = o.select("k", F.date_add("day", (F.col("o_orderkey") % 300).cast("int")).alias("day")).distinct()
+    return observations.interval_nearest(events, held, "k", "day", "start", "stop")
+
+
 @query("""WITH s AS (SELECT user_id, year(min(ts))::INT * 0 + min(event_id)::INT % 50 + 1950 AS first_year, max(event_id)::INT % 20 + 2000 AS last_year FROM events GROUP BY 1) SELECT * FROM s WHERE first_year BETWEEN 1955 AND 1990 AND last_year BETWEEN 2005 AND 2018""")
 def active_stations(spark, d):
     s = B.table(spark, d, "events").groupBy("user_id").agg((F.min("event_id") % 50 + 1950).cast("int").alias("first_year"), (F.max("event_id") % 20 + 2000).cast("int").alias("last_year"))
@@ -832,6 +874,11 @@ def common_nations(spark, d):
     return profile.set_operation(B.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), B.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k")), "intersect")
 
 
+@query(_whole("common_nations", " WHERE s_suppkey % 2 = 0"))
+def common_nations_all(spark, d):
+    return profile.set_operation(B.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), B.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "intersect")
+
+
 @query("""WITH t AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN 'n/a' ELSE replace(format('{:,}', p_partkey * 1234), ' ', '') END AS v, p_brand || '  (' || p_type || ')' AS n FROM part)
 SELECT lower(regexp_replace(regexp_replace(regexp_replace(n, '[^a-zA-Z0-9._]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')) AS name, count(*) AS rows, count(try_cast(replace(v, ',', '') AS DOUBLE)) AS numbers, sum(try_cast(replace(v, ',', '') AS DOUBLE)) AS total FROM t GROUP BY 1""")
 def cleaned_numbers(spark, d):

@@ -10,6 +10,7 @@ from heatgrid.functions import classify, climate, dates, health, text
 from heatgrid.operators import geometry, grid, landcover, observations, profile, scenario, stats, trees, vulnerability, zonal
 from heatgrid.operators import health as deaths
 from heatgrid.operators.grid import Grid
+from heatgrid.plans import queries
 from heatgrid.sources import readers, sinks
 
 G = Grid(0.0, 10.0, 1.0, 1.0, 10, 10)
@@ -356,3 +357,39 @@ def test_values_within(spark):
     assert vulnerability.quantile_trim(df).count() == 99
     code = vulnerability.row_mean(["a", "b"])
     assert spark.createDataFrame([(1.0, None)], "a double, b double").select(code).first()[0] == 1.0
+
+
+def test_nearest_within_agrees_with_brute_force(spark):
+    """A many-edged polygon, points inside, near and far; no window, which would rank a polygon's points in one task."""
+    ring = [((30 + k % 2 * 8) * math.cos(k * math.pi / 30), (40 + k % 3 * 5) * math.sin(k * math.pi / 30)) for k in range(60)]
+    zones = {1: ring, 2: [(60.0, 0.0), (80.0, 0.0), (80.0, 3.0), (60.0, 3.0)], 3: [(300.0, 300.0), (310.0, 300.0), (310.0, 310.0)]}
+    spots = [(i, i * 37 % 200 - 80 + 0.03, i * 91 % 130 - 60 + 0.07) for i in range(120) if not (i % 3 and 40 < i * 37 % 200 < 100)]
+    spots = [s for s in spots if not (60 < s[1] < 80 and 0 < s[2] < 3)] + [(1000, 300.0, 304.0), (1001, 70.0, 3.25), (1002, 70.0, -0.25)]
+
+    def distance(x, y, corners):
+        out, odd = math.inf, False
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+            t = min(max(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1)
+            out = min(out, math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return 0.0 if odd else out
+
+    want = set()
+    for zone, corners in zones.items():
+        away = {i: round(distance(x, y, corners), 9) for i, x, y in spots}
+        want |= {(zone, i, a) for i, a in away.items() if a <= 5 and a == min(away.values())}
+    assert {z for z, *_ in want} == {1, 2, 3}
+    frame = spark.createDataFrame(spots, "p long, x double, y double")
+    polygons = spark.createDataFrame([(z, [[{"x": x, "y": y} for x, y in c]]) for z, c in zones.items()], "id long, rings array<array<struct<x:double,y:double>>>")
+    got = geometry.nearest_within(frame, polygons, "p", "id", 5.0)
+    assert {(r.id, r.p, round(r.distance, 9)) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_tables_are_registered(spark, sf_dir):
+    """Points and orders that the filters of the smaller queries leave out come in."""
+    assert queries.nearest_points_all(spark, sf_dir).where("id % 50 <> 3").count()
+    assert queries.nearest_fallback_all(spark, sf_dir).agg({"n": "sum"}).first()[0] > 50
+    assert queries.season_match_all(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert queries.interval_nearest_all(spark, sf_dir).where("days > 0").count()
+    assert queries.common_nations_all(spark, sf_dir).count() >= queries.common_nations(spark, sf_dir).count()
