@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every element subtree of a page is hashed, over its tags, classes and text; Spark counts on how many pages of its host
-each hash occurs; subtrees that recur on many pages of a host are its template and go. Outside of the article the shape
+each hash occurs; subtrees that recur on many pages of a host are its template and go. In the article only boxes between different texts are, as
+paragraphs are quoted and articles copied. Outside of the article the shape
 alone (tags and classes, without text) is hashed too, as menus, adverts and footers change their words from page to page.
 Elements that say what they are (nav, footer, role=banner, class="cookie-notice" ...) are hashed and counted like all
 others, but a few pages are enough for them; by their name alone they go only on hosts with too few pages to count.
@@ -10,9 +11,10 @@ others, but a few pages are enough for them; by their name alone they go only on
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
@@ -22,12 +24,17 @@ from pyspark.sql import types as T
 
 from heatgrid.llm.common import materialise, table, without
 
-#: A subtree outside of the article is template on this many pages and this share of its host's pages; one inside of it
-#: only if next to all pages of a larger host have it, as articles quote and copy each other.
-OUTSIDE, INSIDE = (3, 0.3), (10, 0.9)
-#: A named subtree is template on this many pages and this share, which bounds the hashes of a host; hosts of fewer pages than FEW tell nothing about their named ones.
-NAMED, FEW = (2, 0.01), 10
-INSIDE_BIT, NAMED_BIT = 1 << 61, 1 << 62
+#: What hashes stand for, in their top bits, and from how many pages and which share of the host's pages they are template.
+#: OUTSIDE: of the article. TEXT: paragraphs and the like, or most of the article, as articles quote and copy each other.
+#: BOX: a lesser part of the article. LOOSE, LOOSE_BOX: the same two on pages without an article. ROTATING: the shape of such
+#: a box at its path. NAMED: the shape of elements with telling names.
+OUTSIDE, TEXT, BOX, LOOSE, LOOSE_BOX, ROTATING, NAMED = range(7)
+LEAST = {OUTSIDE: (3, 0.3), TEXT: (10, 0.9), BOX: (3, 0.3), LOOSE: (3, 0.3), LOOSE_BOX: (3, 0.3), ROTATING: (3, 0.3), NAMED: (2, 0.01)}
+#: Many pages whatever share of a large host they are; this share bounds the hashes of a host.
+MANY = (50, 0.01)
+#: Hosts of fewer pages tell nothing about named elements.
+FEW = 10
+KIND_BIT, BITS = 60, 62
 #: Among the hashes of a host: it has pages enough for counts to decide.
 COUNTED = -1
 MAX_BROADCAST_ROWS = 200_000
@@ -48,6 +55,7 @@ CHROME_WORDS = frozenset(
 #: In the article ids are made from headings and classes style its own notes: only these roles and whole class names tell.
 INSIDE_ROLES = CHROME_ROLES - {"alert", "banner", "complementary", "status"}
 _INSIDE_NAME = re.compile(r"ads?|adverts?|advertisements?|adsbygoogle|comments|(?:ad|advert|comments?)[-_]?(?:area|banner|block|box|container|form|list|section|slot|thread|unit|wrapper)")
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr thead tbody tfoot table caption figure figcaption".split())
 #: Closed by a sibling of its kind, up to the element that holds such siblings.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
@@ -141,49 +149,73 @@ def _is_named(node: Node, inside: bool) -> bool:
     return not node.holds and (node.said if inside else node.named or node.tag == "header")
 
 
-def subtree_hashes(root: Node) -> dict[int, list[int]]:
-    """id(node) -> hashes by which the host's pages are compared; none for the article, what holds it, and bare text.
+def subtree_hashes(root: Node) -> dict[int, list[tuple[int, int, int]]]:
+    """id(node) -> (hash, context, content) by which the host's pages are compared; none for the article, what holds it, and bare text.
 
     Inside of the article: tags, classes and text. Outside: the same, and the shape with its path from the root. Elements
-    with telling names: the shape wherever they stand. Numbers in classes and ids (comment-17) are no shape.
+    with telling names: the shape wherever they stand. Numbers in classes and ids (comment-17) are no shape. The context
+    of a box is the longest text before and after it, one bit of BITS; so is its content where only the shape is hashed.
     """
     order = _walk(root)
     content: dict[int, int] = {}
     shape: dict[int, int] = {}
-    for node, _ in reversed(order):  # children first
-        parts, shapes = [node.tag, node.name], []
+    length: dict[int, int] = {}
+    count: dict[int, int] = {}
+    own = [0] * len(order)
+    for at in range(len(order) - 1, -1, -1):  # children first
+        node = order[at][0]
+        parts, shapes, below, size = [node.tag, node.name], [], 0, 1
         for kid in node.kids:
             if isinstance(kid, str):
                 if text := " ".join(kid.split()):
                     parts.append(text)
+                    own[at] += len(text)
             elif id(kid) in content:
                 parts.append(str(content[id(kid)]))
                 shapes.append(shape[id(kid)])
-        content[id(node)] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 3
-        shape[id(node)] = xxhash.xxh64_intdigest(f"{node.tag} {_NUMBER.sub('0', node.name)} {sorted(set(shapes))}") >> 3
-    out: dict[int, list[int]] = {}
+                below += length[id(kid)]
+                size += count[id(kid)]
+        content[id(node)] = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 4
+        shape[id(node)] = xxhash.xxh64_intdigest(f"{node.tag} {_NUMBER.sub('0', node.name)} {sorted(set(shapes))}") >> 4
+        length[id(node)], count[id(node)] = own[at] + below, size
+    # the longest text up to and from each element on, of the article or else of the page
+    mine = [n if inside or not root.holds else 0 for n, (_, inside) in zip(own, order, strict=True)]
+    total, longest = sum(mine), lambda a, b: b if mine[b] > mine[a] else a
+    before = list(accumulate(range(len(order)), longest))
+    after = list(accumulate(range(len(order) - 1, -1, -1), longest))[::-1]
+    text_at = lambda at: content[id(order[at][0])] if mine[at] else 0
+    out: dict[int, list[tuple[int, int, int]]] = {}
     path = {id(root): 0}
-    for node, inside in order:
+    for at, (node, inside) in enumerate(order):
         for kid in node.kids:
             if id(kid) in content:
-                path[id(kid)] = xxhash.xxh64_intdigest(f"{path[id(node)]} {node.tag} {_NUMBER.sub('0', node.name)}") >> 3
+                path[id(kid)] = xxhash.xxh64_intdigest(f"{path[id(node)]} {node.tag} {_NUMBER.sub('0', node.name)}") >> 4
         if _is_named(node, inside):
-            out[id(node)] = [shape[id(node)] | NAMED_BIT]  # equal contents have equal shapes
+            out[id(node)] = [(shape[id(node)] | NAMED << KIND_BIT, 0, 0)]  # equal contents have equal shapes
             continue
         if node.tag not in BLOCK or node.tag in ("html", "body") or node.holds or not any(isinstance(k, Node) or k.strip() for k in node.kids):
             continue
-        h = content[id(node)]
-        if inside:
-            out[id(node)] = [h | INSIDE_BIT]
+        h, placed = content[id(node)], shape[id(node)] ^ path[id(node)]
+        if root.holds and not inside:
+            out[id(node)] = [(h | OUTSIDE << KIND_BIT, 0, 0)]
+            if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                out[id(node)].append((placed | OUTSIDE << KIND_BIT, 0, 0))
+        elif node.tag in TEXTS or 2 * length[id(node)] > total:
+            out[id(node)] = [(h | (TEXT if inside else LOOSE) << KIND_BIT, 0, 0)]
         else:
-            out[id(node)] = [h] if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or not root.holds else [h, (shape[id(node)] ^ path[id(node)]) >> 1]
+            end = at + count[id(node)]
+            around = f"{text_at(before[at - 1]) if at else 0} {text_at(after[end]) if end < len(order) else 0}"
+            context = 1 << xxhash.xxh64_intdigest(around) % BITS
+            out[id(node)] = [(h | (BOX if inside else LOOSE_BOX) << KIND_BIT, context, 0)]
+            if not inside:
+                out[id(node)].append((placed | ROTATING << KIND_BIT, context, 1 << h % BITS))
     return out
 
 
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of text in page order, without subtrees that have a template hash; without named ones, if counts tell nothing."""
     few = COUNTED not in template
-    gone = {n for n, hashes in subtree_hashes(root).items() if not template.isdisjoint(hashes)} if template else set()
+    gone = {n for n, hashes in subtree_hashes(root).items() if any(h in template for h, *_ in hashes)} if template else set()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -223,19 +255,38 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: Counter = Counter()
+            own: dict = {}
             for site, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own.update({(site, h) for hs in subtree_hashes(parse(html)).values() for h in hs})
-            keys = list(own)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(own.values()), pa.int64())], ["host", "h", "n"])
-
-    found = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
+                page: dict = {}
+                for h, context, held in chain.from_iterable(subtree_hashes(parse(html)).values()):
+                    known = page.get(h, (0, 0))
+                    page[h] = (known[0] | context, known[1] | held)
+                for h, (context, held) in page.items():
+                    known = own.get((site, h), (0, 0, 0))
+                    own[site, h] = (known[0] + 1, known[1] | context, known[2] | held)
+            values = [pa.array([v[k] for v in own.values()], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.int64()), *values], ["host", "h", "n", "contexts", "held"])
+
+    found = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long, contexts long, held long")
+    found = found.groupBy("host", "h").agg(F.sum("n").alias("n"), F.bit_or("contexts").alias("contexts"), F.bit_or("held").alias("held"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    named, inside = F.col("h") >= NAMED_BIT, F.col("h") >= INSIDE_BIT
-    of = lambda k: F.when(named, NAMED[k]).when(inside, INSIDE[k]).otherwise(OUTSIDE[k])
-    least = F.greatest(of(0), F.ceil(F.col("pages") * of(1)))
+    kind, n, total = F.shiftright("h", KIND_BIT), F.col("n"), F.col("pages")
+    of = lambda k: reduce(lambda c, x: c.when(kind == x, LEAST[x][k]), LEAST, F.when(F.lit(False), LEAST[TEXT][k]))
+    share = n >= F.greatest(of(0), F.ceil(total * of(1)))
+    many = share | (n >= F.greatest(F.lit(MANY[0]), F.ceil(total * MANY[1])))
+    # bits set: half of what as many different ones would set tells template boxes from copied articles, rotating from own texts
+    half = (1 - F.pow(F.lit(1 - 1 / BITS), n)) * BITS / 2
+    differ = F.bit_count("contexts") >= F.greatest(F.lit(3), half)
+    nearly_all = n >= F.greatest(F.lit(LEAST[TEXT][0]), F.ceil(total * LEAST[TEXT][1]))
+    is_template = (
+        F.when(kind == OUTSIDE, many)
+        .when(kind == BOX, (many & differ) | nearly_all)
+        .when(kind == LOOSE_BOX, share | (many & differ))
+        .when(kind == ROTATING, many & differ & (F.bit_count("held") <= half))
+        .otherwise(share)
+    )
     # at most (subtrees of a page / share) hashes a host
-    kept = found.where(F.col("n") >= of(0)).join(totals, "host").where(F.col("n") >= least).select("host", "h")
+    kept = found.where(n >= of(0)).join(totals, "host").where(is_template).select("host", "h")
     enough = totals.where(F.col("pages") >= FEW).select("host", F.lit(COUNTED).cast("long").alias("h"))
     return kept.union(enough).groupBy("host").agg(F.collect_set("h").alias("hashes"))
 

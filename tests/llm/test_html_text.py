@@ -99,3 +99,21 @@ def test_words_in_ids_and_classes_do_not_tell_in_the_article(spark):
     frame = spark.createDataFrame([(*r[:2], r[2].replace("<h2 id='related-work'>Related work</h2>", f"<h2 id='related-work'>Related work {r[0] // 2}</h2>"), *r[3:]) for r in rows], PAGES)
     found = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
     assert found == {i: want.format(i=i).replace("work", f"work {i // 2}") for i in range(29)}
+
+
+def test_boxes_in_different_articles_go_and_copied_articles_stay(spark):
+    own = lambda i: f"<p>Long text of its own that no other page has, number {i} of them all.</p>"
+    box, quote = "<div class='z1'><b>Get our letter</b></div>", "<p>A quoted line.</p>"
+    article = lambda i, extra: f"<article><h1>T {i}</h1>{own(i)}{extra}<p>End {i}</p></article>"
+    bare = lambda i: f"<div class='c1'>{own(i)}<div class='z2'>Rotating {i % 3}</div><div class='z3'>Lead {i}</div><p>End {i}</p></div>"
+    copied = "<article><p>The same long article on many pages of the host.</p><div class='z4'>Its inset</div></article>"
+    rows = [(i, "http://small/x", article(i, box + quote)) for i in range(6)]
+    rows += [(100 + i, "http://large/x", article(i, box + quote if i % 4 == 0 else "")) for i in range(240)]
+    rows += [(400 + i, "http://bare/x", bare(i)) for i in range(30)]
+    rows += [(500 + i, "http://copy/x", copied if i < 8 else article(i, "")) for i in range(16)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], PAGES)).collect()}
+    line = lambda i: f"Long text of its own that no other page has, number {i} of them all."
+    assert found[3] == f"T 3\n{line(3)}\nA quoted line.\nEnd 3"
+    assert found[104] == f"T 4\n{line(4)}\nA quoted line.\nEnd 4" and found[105] == f"T 5\n{line(5)}\nEnd 5"
+    assert found[405] == f"{line(5)}\nLead 5\nEnd 5"
+    assert found[500] == "The same long article on many pages of the host.\nIts inset"
