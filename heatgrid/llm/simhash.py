@@ -174,26 +174,36 @@ def similar_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
     linked like any other. Rows whose doc_id is null get a fingerprint and their group's id, but never name a group (a
     group of only such rows has a null id). Repeated rows give repeated rows.
     """
+    return _groups(docs, shingle, max_bits).drop("component")
+
+
+def _groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """similar_groups with `component`, which also tells groups apart whose smallest doc_id is the same."""
     own = materialise(with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"), "simhash")
     label = connected_components(fingerprint_links(own, max_bits))
     nodes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(label, F.col("fingerprint") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fingerprint", "component").join(least, "component").select("fingerprint", "component_id")
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = nodes.select("fingerprint", "component").join(least, "component")
+    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """Keep the row with the smallest doc_id of each group of similar texts; all columns stay as they are.
 
-    Rows without a doc_id are kept, as no id could name them. Where a doc_id repeats, one row with it stays.
+    Rows without a doc_id are kept, as no id could name them. Where a doc_id repeats, each group that it names keeps one
+    row with it; only such rows need their fingerprint again, to tell them apart.
     """
-    groups = materialise(similar_groups(docs, shingle, max_bits).drop("fingerprint"), "simhash-groups")
+    groups = materialise(_groups(docs, shingle, max_bits), "simhash-groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    first = groups.where("doc_id = component_id").join(repeated, "doc_id", "left_semi").select("doc_id", "fingerprint", "component").distinct()
+    several = docs.join(repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    several = with_fingerprints(several, shingle).join(first, ["doc_id", "fingerprint"]).dropDuplicates(["doc_id", "component"])
+    return once.unionByName(several.select("__row.*"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,15 @@ def test_groups_without_ids_or_rows(spark):
     assert simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_a_repeated_id_loses_no_group(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "wholly unrelated words about sailing and the sea", "a third text on bread, flour, ovens and salt")
+    rows = [(7, a, "x"), (7, b, "y"), (8, a, "z"), (3, b, "v"), (7, a, "x"), (9, c, "1"), (9, "something else on trains and railway stations", "2"), (None, c, "n"), (10, c, "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=str)
+
+
 ODD_TEXTS = [None, "", " \n", "Don't STOP!! <|endoftext|> now", "a\x1cb ΑΣ Σας İi", "é́ ŉ ǅ 12a3 ½", "日本語 テスト x", "w" * 30_000, "a b " * 9000, "it's they're,he'll.'s x' 'ť", "​zero nb ls\x85nel　id"]
 
 
