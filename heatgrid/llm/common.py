@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of more rows than this, and than their share of all, are dealt over several tasks; so hot keys are MAX_HOT at most.
+HOT_ROWS, MAX_HOT = 1000, 100_000
+#: Tables of a few numbers a row are broadcast up to this many rows, as counted.
+MAX_BROADCAST_ROWS = 200_000
+
 #: ASCII white space, the set written `[\x20\x09-\x0D]` in the contracts.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, as in tests, one of our own, but on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and current.isDefined():
+        return current.get()
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -52,3 +60,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it was counted to be small; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """Equi-join with a table that has one row a key and, in the column `rows`, how many rows of `left` have it.
+
+    Keys of more than HOT_ROWS rows and more than total / MAX_HOT are dealt over tasks by a hash of the left row, with a
+    copy of the right row for each; as `rows` adds up to `total` at most, there are MAX_HOT such keys at most. The column
+    `rows` goes.
+    """
+    share = max(HOT_ROWS, -(-total // MAX_HOT))
+    hot = right.where(F.col(rows) > share).select(F.col(key).alias("__hot"), F.ceil(F.col(rows) / share).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    own = F.xxhash64(*[F.col(c) for c, t in left.dtypes if "map<" not in t])
+    left = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(own, salts).cast("int")).drop("__hot", "__salts")
+    right = right.withColumn("__salts", F.ceil(F.greatest(F.col(rows), F.lit(1)) / share).cast("int")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop(rows, "__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")

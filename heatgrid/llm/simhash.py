@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import materialise, table, without
+from heatgrid.llm.common import bounded, join_dealt, materialise, table, without
 from heatgrid.llm.graph import connected_components
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
 GENERATOR = 0b110001110101
 MAX_BITS = 4
+#: Buckets of more fingerprints are dealt into chunks, whose pairs are buckets of their own.
+BUCKET_ROWS = 10_000
 _M23 = np.uint64((1 << 23) - 1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
@@ -91,7 +94,11 @@ def simhash(text: str | None, shingle: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """Add `fingerprint` (the 64 bits as a signed long) of whole texts."""
+    """Add `fingerprint` (the 64 bits as a signed long) of whole texts.
+
+    Null, empty and blank texts have fingerprint 0; equal texts and repeated rows equal ones. Other columns pass through,
+    an own column of that name (in any case) is replaced. An empty table gives an empty one.
+    """
     docs = without(docs, "fingerprint")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +158,17 @@ def _bucket_links(max_bits: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints that join all that differ in at most max_bits (4 at most) bits."""
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (u, v) between distinct fingerprints that join all that differ in at most max_bits (4 at most) bits.
+
+    Keys that more than bucket_rows fingerprints have are dealt into chunks of that size; every two chunks meet in a
+    bucket of their own, so that no link is lost and no task holds an unbounded bucket.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys find links of at most {MAX_BITS} bits")
+    fps = materialise(fps.select("fingerprint").distinct(), "fingerprints")
+    # a number of tasks that is stated stays: rows that grow 47-fold are not put into a few
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, ceil(fps.count() / 20_000))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,8 +177,14 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 keys, row = fingerprint_keys(own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[row].view(np.int64))], ["key", "fingerprint"])
 
-    keyed = fps.select("fingerprint").distinct().mapInArrow(spread, "key long, fingerprint long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(max_bits), "u long, v long").distinct()
+    keyed = fps.repartition(tasks).mapInArrow(spread, "key long, fingerprint long")
+    long = keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
+    long = bounded(materialise(long.select(F.col("key").alias("long_key"), F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")), "long-buckets"))
+    chunk = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
+    # a pair of chunks has a key of its own; should it meet another bucket's, they are compared together
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.xxhash64("key", F.least(chunk, other), F.greatest(chunk, other)))
+    dealt = keyed.join(long, F.col("key") == F.col("long_key"), "left").select(F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fingerprint")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(max_bits), "u long, v long").distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
@@ -180,12 +200,15 @@ def similar_groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
 def _groups(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     """similar_groups with `component`, which also tells groups apart whose smallest doc_id is the same."""
     own = materialise(with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"), "simhash")
-    label = connected_components(fingerprint_links(own, max_bits))
-    nodes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(label, F.col("fingerprint") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fingerprint", "component").join(least, "component")
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "component")
+    nodes = materialise(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-nodes")
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    label = connected_components(fingerprint_links(nodes, max_bits))
+    nodes = nodes.join(label, F.col("fingerprint") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "fingerprint"))
+    nodes = materialise(nodes, "simhash-components")
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    # one component may have most fingerprints, one fingerprint most rows
+    named = join_dealt(nodes.drop("least"), names, "component", "members", n_nodes)
+    return join_dealt(own, named, "fingerprint", "copies", n_rows).select("doc_id", "fingerprint", "component_id", "component")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
