@@ -2,7 +2,8 @@
 
 The distinct keys of all lines are split into shards of about `SHARD_KEYS`; each shard gets a minimal perfect hash
 (levels of bit arrays, every key owns one bit; its rank is its slot), a fingerprint array and a saturating count array:
-a few bytes a key. Documents look their lines up in these arrays.
+a few bytes a key. Documents look their lines up in these arrays: hashes of lines travel to the shard that has them, and
+the hashes that are found too often travel back to the texts that have them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import materialise, table, without
+from heatgrid.llm.common import HOT_ROWS, MAX_HOT, materialise, table, without
 
 SHARD_KEYS = 65_536
 GAMMA = 2.0
-MAX_BROADCAST = 64 << 20
 PROBES_A_GROUP = 500_000
+MAX_HOT_SHARDS = 1 << 18
 
 _INDEX = "shard int, n_keys int, levels binary, fps binary, counts binary"
 
@@ -142,9 +143,9 @@ def _pmod(h: np.ndarray, n: int) -> np.ndarray:
     return np.mod(h.view(np.int64), n)
 
 
-def _apply(docs: DataFrame, decide, added: tuple[str, str], extra: str | None = None) -> DataFrame:
-    """Rewrite text and add the numbers of lines and dropped lines; decide(texts, extra column) gives for each text the set of lines to drop."""
-    fields = [f for f in docs.schema.fields if f.name != extra]
+def _rewrite(docs: DataFrame, gone: str, added: tuple[str, str]) -> DataFrame:
+    """Rewrite text without the lines whose hash is in the column `gone`; add the numbers of lines and of dropped lines."""
+    fields = [f for f in docs.schema.fields if f.name != gone]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in added]])
     names = [f.name for f in fields]
 
@@ -152,114 +153,99 @@ def _apply(docs: DataFrame, decide, added: tuple[str, str], extra: str | None =
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                texts = batch.column("text").to_pylist()
                 kept, lines, dropped = [], [], []
-                for text, gone in zip(texts, decide(texts, batch.column(extra).to_pylist() if extra else None), strict=True):
+                for text, found in zip(batch.column("text").to_pylist(), batch.column(gone).to_pylist(), strict=True):
                     own = (text or "").split("\n")
                     lines.append(len(own))
-                    dropped.append(len(gone))
-                    kept.append("\n".join(x for i, x in enumerate(own) if i not in gone) if gone else text)
+                    if found:
+                        found = set(found)
+                        keys = line_keys(text)
+                        left = [x for x, k in zip(own, keys, strict=True) if not k or _long(_hash(k)[0]) not in found]
+                        text = "\n".join(left)
+                    dropped.append(len(own) - len(left) if found else 0)
+                    kept.append(text)
                 cols = [pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, *added])
 
     return docs.mapInArrow(rewrite, schema)
 
 
-def _hashes(texts: list, min_chars: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of all keys of a batch of texts: text number, line number, hash, fingerprint."""
-    docs, lines, hs, fps = [], [], [], []
-    for d, text in enumerate(texts):
-        for i, key in enumerate(line_keys(text)):
-            if len(key) >= min_chars:
-                h, fp = _hash(key)
-                docs.append(d)
-                lines.append(i)
-                hs.append(h)
-                fps.append(fp)
-    return docs, lines, hs, fps
+def hot_shards(counts: DataFrame, n_shards: int, total: int) -> dict[int, int]:
+    """shard -> tasks of the shards that get more than about PROBES_A_GROUP of the `total` probes; MAX_HOT_SHARDS at most."""
+    share = max(PROBES_A_GROUP, -(-total // MAX_HOT_SHARDS))
+    probes = counts.groupBy(F.pmod(F.col("h"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("n").alias("n"))
+    return {shard: -(-n // share) for shard, n in probes.where(F.col("n") > share).collect()}
 
 
-def _by_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int, added: tuple[str, str]) -> DataFrame:
-    """For an index whose size was checked: each task holds all shards."""
-    dtype = count_type(min_docs)
-    rows = {r["shard"]: (bytes(r["levels"]), bytes(r["fps"]), bytes(r["counts"])) for r in index.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    loaded: dict[int, Shard] = {}
-
-    def decide(texts: list, _) -> list[set[int]]:
-        docs_, lines, hs, fps = _hashes(texts, min_chars)
-        gone: list[set[int]] = [set() for _ in texts]
-        if not hs:
-            return gone
-        h, fp = np.array(hs, np.uint64), np.array(fps, np.uint16)
-        shard = _pmod(h, n_shards)
-        order = np.argsort(shard, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            s = int(shard[own[0]])
-            if s in sent.value:
-                if s not in loaded:
-                    loaded[s] = Shard.load(*sent.value[s], dtype)
-                for k in own[loaded[s].count(h[own], fp[own]) >= min_docs]:
-                    gone[docs_[k]].add(lines[k])
-        return gone
-
-    return _apply(docs, decide, added)
-
-
-def _by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int, added: tuple[str, str], n_probes: int) -> DataFrame:
-    """For an index of any size: probes (hashes, no text) go to the shard's arrays, and what they find returns to the texts.
-
-    A shard's probes are dealt over salts, each with a copy of the shard's arrays, so that no group has more than about
-    PROBES_A_GROUP probes, whatever lines are frequent.
+def found_lines(texts: DataFrame, index: DataFrame, n_shards: int, hot: dict[int, int], min_docs: int, min_chars: int) -> DataFrame:
+    """(tk, gone) of texts (tk, text): the hashes of their lines whose count in the index is min_docs at least.
+
+    Probes carry hashes, no text, one for each different line of a text. A shard with many of them, as it has a frequent
+    line, is dealt over tasks, each with a copy of the shard's arrays: copies are as many as all probes need.
     """
     dtype = count_type(min_docs)
-    salts = max(1, -(-n_probes // PROBES_A_GROUP))  # even if one shard had them all
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            d, lines, hs, fps = _hashes(texts, min_chars)
-            h = np.array(hs, np.uint64)
-            own = np.array(ids, np.int64)[np.array(d, np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_pmod(h, n_shards).astype(np.int32)), pa.array((own % salts).astype(np.int32)), pa.array(own), pa.array(lines, pa.int32()), pa.array(h.view(np.int64)), pa.array(fps, pa.int32())],
-                ["shard", "salt", "tk", "line", "h", "fp"],
-            )
+        salts = np.ones(n_shards if sent.value else 0, np.int64)
+        for shard, n in sent.value.items():
+            salts[shard] = n
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                tks, hs, fps = [], [], []
+                # copies in a batch are asked for once
+                for tk, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
+                    own = {_hash(k) for k in line_keys(text) if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "surrogatepass")) >= min_chars)}
+                    tks += [tk] * len(own)
+                    hs += [x[0] for x in own]
+                    fps += [x[1] for x in own]
+                h, tk = np.array(hs, np.uint64), np.array(tks, np.int64)
+                shard = _pmod(h, n_shards)
+                # neighbours go to different copies, whatever texts and lines they are of
+                salt = (_mix(tk.view(np.uint64) + h, 3) % salts[shard].astype(np.uint64)).astype(np.int32) if len(salts) else np.zeros(len(h), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(salt), pa.array(tk), pa.array(h.view(np.int64)), pa.array(fps, pa.int32())], ["shard", "salt", "tk", "h", "fp"])
 
     def look(probe: pa.Table, arrays: pa.Table) -> pa.Table:
         hit = np.zeros(len(probe), bool)
         if len(arrays) and len(probe):
             shard = Shard.load(*(arrays.column(c)[0].as_py() for c in ("levels", "fps", "counts")), dtype)
             hit = shard.count(probe.column("h").to_numpy().view(np.uint64), probe.column("fp").to_numpy().astype(np.uint16)) >= min_docs
-        return probe.select(["tk", "line"]).filter(pa.array(hit))
+        return probe.select(["tk", "h"]).filter(pa.array(hit))
 
-    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("tk"), "text")
-    sent = texts.dropDuplicates(["tk"]).mapInArrow(probes, "shard int, salt int, tk long, line int, h long, fp int")
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = sent.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(look, "tk long, line int")
-    drops = hits.groupBy(F.col("tk").alias("__found")).agg(F.collect_set("line").alias("__drop"))
-    joined = docs.withColumn("__tk", F.xxhash64("text")).join(drops, F.col("__tk") == F.col("__found"), "left").drop("__tk", "__found")
-    return _apply(joined, lambda texts, gone: [set(x or ()) for x in gone], added, "__drop")
+    asked = texts.mapInArrow(probes, "shard int, salt int, tk long, h long, fp int")
+    dealt = texts.sparkSession.createDataFrame(sorted(hot.items()), "hot int, salts int")
+    index = index.join(F.broadcast(dealt), F.col("shard") == F.col("hot"), "left")
+    copies = index.select("shard", "levels", "fps", "counts", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    hits = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(look, "tk long, h long")
+    return hits.groupBy("tk").agg(F.collect_set("h").alias("gone"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = MAX_BROADCAST, lines_column: str = "n_lines", dropped_column: str = "n_dropped") -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, lines_column: str = "n_lines", dropped_column: str = "n_dropped") -> DataFrame:
     """Drop all lines whose key is in at least `min_docs` rows of `docs`; adds the numbers of lines (before) and of dropped lines.
 
     Every row counts as a document (repeated rows each count). A null text is one empty line and stays null; empty keys
     (shorter than min_chars code points) never go; a text may become empty. Other columns pass through; own columns
     named as those two are replaced. An empty table gives an empty table.
-    The index is broadcast only if its measured size is at most max_broadcast bytes; else probes travel to its shards.
     """
     added = (lines_column, dropped_column)
     docs = without(docs, *added)
     counts = materialise(key_counts(docs, min_chars), "line-counts")
-    size = counts.agg(F.count("*"), F.sum("n")).first()
-    n_shards = max(1, -(-size[0] // SHARD_KEYS))
+    n_keys, n_probes = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_shards = max(1, -(-n_keys // SHARD_KEYS))
     index = materialise(build_index(counts, n_shards, min_docs), "line-index")
-    held = index.agg(F.sum(F.length("levels") + F.length("fps") + F.length("counts"))).first()[0] or 0
-    if held <= max_broadcast:
-        return _by_broadcast(docs, index, n_shards, min_docs, min_chars, added)
-    return _by_shard(docs, index, n_shards, min_docs, min_chars, added, size[1])
+    tk = F.coalesce(F.xxhash64("text"), F.lit(0))
+    found = found_lines(docs.where("text IS NOT NULL").select(tk.alias("tk"), "text"), index, n_shards, hot_shards(counts, n_shards, n_probes), min_docs, min_chars)
+    # copies of one text may be a third of all rows: they are dealt over tasks
+    copies = docs.groupBy(tk.alias("__hot")).agg(F.count("*").alias("__n"))
+    share = max(HOT_ROWS, -(-docs.count() // MAX_HOT))
+    hot = F.broadcast(materialise(copies.where(F.col("__n") > share).select("__hot", F.ceil(F.col("__n") / share).cast("int").alias("__salts")), "hot-texts"))  # MAX_HOT rows at most
+    salts = F.coalesce("__salts", F.lit(1))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if c != "text" and "map<" not in t] or ["text"])
+    dealt = docs.withColumn("__tk", tk).join(hot, F.col("__tk") == F.col("__hot"), "left").withColumn("__salt", F.pmod(own, salts).cast("int")).drop("__hot", "__salts")
+    found = found.withColumnsRenamed({"tk": "__tk", "gone": "__gone"}).join(hot, F.col("__tk") == F.col("__hot"), "left")
+    found = found.select("__tk", "__gone", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    return _rewrite(dealt.join(found, ["__tk", "__salt"], "left").drop("__tk", "__salt"), "__gone", added)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,14 @@ def line_rows():
     return [*rows, (12, None), (13, ""), (14, "common line"), (15, "x" * 200_000), (3, rows[3][1]), (None, "own 3\n COMMON LINE\t")]
 
 
-@pytest.mark.parametrize("bound", [line_dedup.MAX_BROADCAST, 0])
-def test_lines_against_brute_force(spark, bound):
+@pytest.mark.parametrize(("probes", "hot"), [(line_dedup.PROBES_A_GROUP, line_dedup.HOT_ROWS), (3, 2)])
+def test_lines_against_brute_force(spark, monkeypatch, probes, hot):
+    monkeypatch.setattr(line_dedup, "PROBES_A_GROUP", probes)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8 if hot == 2 else line_dedup.SHARD_KEYS)
     rows = line_rows()
     docs = spark.createDataFrame([(*r, "en", 1, "t", 2) for r in rows], DOCS)
-    got = line_dedup.drop_common_lines(docs, min_docs=3, max_broadcast=bound)
+    got = line_dedup.drop_common_lines(docs, min_docs=3)
     assert got.columns == ["doc_id", "text", "lang", "tk", "line", "n_lines", "n_dropped"]
     own = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()), key=str)
     assert own == brute_lines(rows, 3)
@@ -44,6 +47,23 @@ def test_lines_of_no_documents(spark):
     assert line_dedup.drop_common_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_copies_of_an_index_grow_with_the_probes(spark, monkeypatch):
+    """Twice the texts, twice the copied bytes, though a third of all probes asks for one line."""
+    monkeypatch.setattr(line_dedup, "PROBES_A_GROUP", 100)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    sent = {}
+    for n in (400, 800):
+        docs = spark.createDataFrame([(i, f"common\nown {i}\nother {i}") for i in range(n)], "doc_id long, text string")
+        counts = line_dedup.key_counts(docs).cache()
+        total = counts.agg({"n": "sum"}).first()[0]
+        shards = max(1, -(-counts.count() // 64))
+        hot = line_dedup.hot_shards(counts, shards, total)
+        assert hot and sum(hot.values()) <= 2 * total / 100
+        index = line_dedup.build_index(counts, shards, 10)
+        sent[n] = sum(len(r.fps) * hot.get(r.shard, 1) for r in index.collect())
+    assert sent[800] < 2.5 * sent[400]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     shard = line_dedup.Shard(line_dedup.build_levels(keys))
