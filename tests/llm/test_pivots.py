@@ -43,9 +43,9 @@ def made(n=500, dim=16, seed=1):
 ODD = [(1, None), (3, [0.0] * 16), (7, [float("nan")] * 16), (9, [float("inf")] + [1.0] * 15), (11, [None] + [1.0] * 15), (13, [1e-30] * 16), (15, [1e30] * 16), (17, [1.0, 1.0]), (19, []), (21, [2.0, 2.0] + [0.0] * 14)]
 
 
-@pytest.mark.parametrize("list_rows", [pivots.LIST_ROWS, 20])
-def test_links_and_components_against_brute_force(spark, monkeypatch, list_rows):
-    monkeypatch.setattr(pivots.links, "__defaults__", (list_rows,))
+@pytest.mark.parametrize(("list_rows", "block_rows"), [(pivots.LIST_ROWS, pivots.BLOCK_ROWS), (20, 60), (3, 20)])
+def test_links_and_components_against_brute_force(spark, monkeypatch, list_rows, block_rows):
+    monkeypatch.setattr(pivots.links, "__defaults__", (list_rows, block_rows))
     rows = made() + ODD
     frame = spark.createDataFrame([(*r, "x") for r in rows], ROWS).repartition(3)
     got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.similar_vectors(frame).collect()}
@@ -66,6 +66,18 @@ def test_recall_on_the_table(spark):
     assert sum(got.values()) >= 0.9 * sum(links) and all(got[v] <= n for (v, _), n in zip(rows, links, strict=True))
 
 
+@pytest.mark.parametrize("n_pivots", [200, 2000, 4096])
+def test_pairs_at_the_threshold_share_two_near_pivots(n_pivots):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    u, w = unit(rng.normal(size=(500, 64))), rng.normal(size=(500, 64))
+    v = 0.9 * u + np.sqrt(0.19) * unit(w - (w * u).sum(1)[:, None] * u)
+    reference = unit(rng.normal(size=(n_pivots, 64)))
+    k = pivots.n_nearest(n_pivots)
+    a, b = (pivots.nearest_pivots(x, reference, k) for x in (u, v))
+    assert np.mean([len({*x} & {*y}) >= 2 for x, y in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.985
+
+
 def test_few_rows(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0], ""), (2, [1.0, 0.0], ""), (None, [1.0, 0.0], ""), (2, [1.0, 0.0], "")], ROWS)
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in pivots.similar_vectors(frame).collect()), key=str)
