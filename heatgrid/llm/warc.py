@@ -17,6 +17,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgrid.llm.common import materialise, shared_dir, table
+from heatgrid.llm.common import MAX_BROADCAST_ROWS, join_dealt, materialise, shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
-MAX_BROADCAST_ROWS = 200_000
+#: Archive bytes that a reading task gets, about, where there are more than tasks at once.
+TASK_BYTES = 64 << 20
 _URN = "urn:page:"
 
 
@@ -60,12 +62,13 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Add digest (SHA-1, hex), n_bytes and refers_to: of equal payloads of at least min_bytes the smallest page_id is kept."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
-    groups = pages.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    shared = materialise(groups.where("n > 1").drop("n"), "shared-payloads")
-    if shared.count() <= MAX_BROADCAST_ROWS:  # 50 bytes a row; beyond it a shuffled join
-        shared = F.broadcast(shared)
+    groups = pages.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"), F.min("n_bytes").alias("bytes"))
+    shared = materialise(groups.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).drop("bytes"), "shared-payloads")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("original"))
-    return pages.join(shared, "digest", "left").withColumn("refers_to", F.when(other, F.col("original"))).drop("original")
+    rows, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # 50 bytes a row; beyond that a shuffled join, where empty payloads may be a third of all pages
+    joined = pages.join(F.broadcast(shared.drop("n")), "digest", "left") if rows <= MAX_BROADCAST_ROWS else join_dealt(pages, shared, "digest", "n", total, "left")
+    return joined.withColumn("refers_to", F.when(other, F.col("original"))).drop("original")
 
 
 def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -241,8 +244,12 @@ def read_packages(packages: DataFrame, with_payload: bool = True, range_bytes: i
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns[: 6 + with_payload], names[: 6 + with_payload])
 
-    ranges = record_ranges(packages, range_bytes)
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(read, base + ", payload binary" * with_payload)
+    size = packages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    at_once = packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(ceil(size / range_bytes), max(at_once, ceil(size / TASK_BYTES))))
+    # a stated number of tasks stays, however few bytes the ranges' own rows have
+    ranges = materialise(record_ranges(packages, range_bytes), "warc-ranges")
+    return ranges.repartition(tasks, F.xxhash64("path", "start")).mapInArrow(read, base + ", payload binary" * with_payload)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from heatgrid.llm import warc
+from heatgrid.llm import common, warc
 
 PAGES = "page_id long, url string, html string, size int"
 
@@ -41,11 +41,22 @@ def test_records_come_back(spark, tmp_path, min_bytes, package, range_):
 
 def test_broadcast_and_shuffled_joins_agree(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "MAX_BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)  # the empty and the frequent payloads are dealt
     pages = spark.createDataFrame([(*r, 1) for r in ROWS], PAGES)
     rows = warc.read_packages(warc.write_packages(pages, f"file://{tmp_path}/w"), with_payload=False).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == brute(ROWS)
 
 
+def test_reads_are_dealt_over_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"page {i} " + hashlib.sha256(str(i).encode()).hexdigest() * 40, 1) for i in range(50)], PAGES)
+    packages = warc.write_packages(pages, f"file://{tmp_path}/w")
+    read = warc.read_packages(packages, with_payload=False, range_bytes=1)  # a range for each record
+    read.write.parquet(f"file://{tmp_path}/read")
+    parts = [p for p in (tmp_path / "read").glob("part-*.parquet")]
+    assert len(parts) == spark.sparkContext.defaultParallelism > 1
+    assert spark.read.parquet(f"file://{tmp_path}/read").count() == 50
+
+
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], PAGES)
     assert warc.read_packages(warc.write_packages(pages, f"file://{tmp_path}/w")).count() == 0
