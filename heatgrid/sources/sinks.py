@@ -37,6 +37,10 @@ def run_configuration(df: DataFrame, about: dict[str, str], path: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, but on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/heatgrid-{uuid.uuid4().hex}"
