@@ -28,7 +28,8 @@ class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, the same as the tokenizer's own, with words cached.
 
     A pre-tokenizer that never joins across white space makes a text's ids the concatenation of its words' ids.
-    Texts for which that could fail (special tokens in the text, odd white space) go to the tokenizer whole.
+    Texts for which that could fail (special tokens in the text, odd white space, letters that compose only once they are
+    small) go to the tokenizer whole and as they came.
     """
 
     #: Split by str.split() but no white space to the tokenizer.
@@ -79,9 +80,13 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or any(c in text for c in self.ODD):
             return self.whole(text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-        words = text.lower().split()
+        if text.isascii():
+            words = text.lower().split()
+        else:
+            small = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
+            if not unicodedata.is_normalized("NFC", small):
+                return self.whole(text)  # words would be composed a second time
+            words = small.split()
         got = self.words.get
         out = [got(w) for w in words]
         if None in out:
@@ -159,15 +164,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...): gapless sequences of at most `capacity`.
+    """Add sequence_id and offset to written pieces (doc_id, piece, length, ...): gapless sequences of at most `capacity`.
 
-    Pieces are dealt at random (by a hash of doc_id and piece; null ids count as one) into groups of about group_pieces, packed apart from one
-    another; each leaves a few sequences part full, which is nothing beside the group's.
+    Pieces are dealt at random (by a hash of each row's place in its file, so that equal rows part) into groups
+    of about group_pieces, packed apart from one another; each leaves a few sequences part full, which is nothing beside the
+    group's. Rows with equal lengths follow by doc_id and piece, nulls last. An empty table gives an empty one.
     """
     pieces = without(pieces, "sequence_id", "offset", "__group", "__at")
     groups = max(1, -(-pieces.count() // group_pieces))
-    # a row's own hash over all columns: rows of one doc_id do not meet in one group
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*[F.col(c) for c in pieces.columns]), F.lit(groups)).cast("int"))
+    # written pieces keep their order in their files, so a row that is read again has the same number
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "length"), F.lit(groups)).cast("int"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(group: pa.Table) -> pa.Table:

@@ -165,6 +165,30 @@ def test_cached_tokenizer_is_the_tokenizer(spark, sf_dir):
         assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == inner.encode(text or "", add_special_tokens=False).ids
 
 
+def test_cached_tokenizer_on_random_letters():
+    """Letters and marks of many scripts, those among them that compose only in small letters."""
+    from tokenizers import Tokenizer
+
+    inner, own = Tokenizer.from_file(path("word_bpe_49k.json")), packing.WordTokenizer(path("word_bpe_49k.json"))
+    rng = np.random.default_rng(8)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x400), (0x400, 0x530), (0x900, 0x980), (0xE00, 0xE60), (0x1E00, 0x2000), (0x1100, 0x1200), (0xAC00, 0xAC80), (0x2000, 0x2070), (0x300, 0x332)]
+    texts = ["H\u0331anukka", "T\u0308", "J\u030cx", "W\u030a Y\u030a", "\u0345\u0391"]
+    for _ in range(20_000):
+        lo_hi = [ranges[i] for i in rng.integers(0, len(ranges), rng.integers(1, 4))]
+        texts += ["".join(chr(c) for lo, hi in lo_hi for c in rng.integers(lo, hi, rng.integers(1, 5)))]
+        texts += ["".join(chr(rng.integers(*ranges[k])) for k in rng.choice([0, 1, 2, 7, 11], 3))]
+    wrong = [t for t, e in zip(texts, inner.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(own.encode(t), "<u4").tolist() != e.ids]
+    assert not wrong
+
+
+def test_equal_rows_go_to_different_groups(spark, tmp_path):
+    pieces = spark.createDataFrame([(None, 0, 5)] * 4000, "doc_id long, piece int, length long")
+    pieces.write.parquet(f"file://{tmp_path}/p")
+    rows = packing.pack(spark.read.parquet(f"file://{tmp_path}/p"), 2048, group_pieces=1000).collect()
+    groups = np.unique([r.sequence_id >> 32 for r in rows], return_counts=True)[1]
+    assert len(groups) == 4 and groups.max() < 1200 and len(rows) == 4000
+
+
 def test_packing_is_whole_and_gapless(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS * 5)] + [(None, "x"), (3, "x")], "doc_id long, text string")
     rows = packing.pack_documents(docs, path("word_bpe_49k.json"), keep_ids=True).collect()
