@@ -4,9 +4,11 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions alone.
     turn         := "<s>" role "\n" body "</s>"
     body         := "[INST] " text " [/INST]" for the role user, else text
 
-A newline in a role is written [LF]. A turn is first rendered as it is and parsed again; where that does not give back
-its role and text, control strings in them get one more backslash after their first character (`</s>` becomes `<\/s>`,
-`<\/s>` becomes `<\\/s>`), which the parser takes out again, until what is read equals what was written.
+A newline in a role is written [LF]. Neither a role nor a text may hold a control string (`<s>`, `</s>`, `[INST]`,
+`[/INST]`, `[LF]`): the parser gives none for a turn that does. A turn is first rendered as it is and parsed again; where
+that does not give back its role and text, control strings in them get one more backslash after their first character
+(`</s>` becomes `<\/s>`, `<\/s>` becomes `<\\/s>`), which the parser takes out again, until what is read equals what was
+written.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ USER, ASSISTANT = "user", "assistant"
 BEGIN, END, LINE, OPEN, CLOSE = "<s>", "</s>", "[LF]", "[INST] ", " [/INST]"
 CHUNK = 64
 _TAIL = r"(/?s>|/?INST\]|LF\])"
+_CONTROL = r"</?s>|\[/?INST\]|\[LF\]"
 
 
 def escape(text: Column) -> Column:
@@ -38,13 +41,15 @@ def _render(role: Column, text: Column) -> Column:
 
 
 def _read(piece: Column) -> Column:
-    """(role, text) of what stands before an END."""
+    """(role, text) of what stands before an END; one with a control string in it is null."""
     line = F.locate("\n", piece)
     head = F.substring(piece, F.lit(len(BEGIN) + 1), line - (len(BEGIN) + 1))
-    role = unescape(F.replace(head, F.lit(LINE), F.lit("\n")))
+    name = F.replace(head, F.lit(LINE), F.lit("\n"))
+    own = lambda x: F.when(~F.rlike(x, F.lit(_CONTROL)), unescape(x))
+    role = own(name)
     body = F.substring(piece, line + 1, F.length(piece))
     inner = F.substring(body, F.lit(len(OPEN) + 1), F.length(body) - len(OPEN) - len(CLOSE))
-    return F.struct(role.alias("role"), unescape(F.when(role == USER, inner).otherwise(body)).alias("text"))
+    return F.struct(role.alias("role"), own(F.when(name == USER, inner).otherwise(body)).alias("text"))
 
 
 def pieces(formatted: Column) -> Column:
@@ -61,7 +66,8 @@ def parse(formatted: Column) -> Column:
 def _comes_back(rendered: Column, role: Column, text: Column) -> Column:
     """Whether a rendered turn is read as one turn, of this role and text."""
     turns = parse(rendered)
-    return (F.size(turns) == 1) & F.endswith(rendered, F.lit(END)) & (F.get(turns, F.lit(0)) == F.struct(role.alias("role"), text.alias("text")))
+    same = F.get(turns, F.lit(0)).eqNullSafe(F.struct(role.alias("role"), text.alias("text")))
+    return (F.size(turns) == 1) & F.endswith(rendered, F.lit(END)) & same
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -80,9 +86,11 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("rendered", F.when(_comes_back(raw, F.col("role"), F.col("text")), raw).otherwise(_render(escape(F.col("role")), escape(F.col("text")))))
     head = F.locate("\n", F.col("rendered"))
     is_loss = F.col("role") == ASSISTANT
-    turn = F.struct("turn", "role", "text", "rendered", is_loss.alias("loss"), head.alias("at"), (F.length("rendered") - head - len(END)).alias("length"))
+    # of the source only a hash goes along; where turns and roles are equal, the order of texts is read from the turns
+    source = F.xxhash64("role", "text")
+    turn = F.struct("turn", "role", "rendered", source.alias("source"), is_loss.alias("loss"), head.alias("at"), (F.length("rendered") - head - len(END)).alias("length"))
     chunk = F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / CHUNK)
-    chunks = rows.groupBy("conv_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chunks = rows.groupBy("conv_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(turn), _in_order).alias("turns"))
     chunks = chunks.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["rendered"]), "")).withColumn("n", F.size("turns"))
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumns({"offset": F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)), "first": F.coalesce(F.sum("n").over(before), F.lit(0))})
@@ -92,14 +100,24 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         return F.when(t["loss"], F.struct((F.col("first") + i).alias("turn"), t["at"].cast("long").alias("at"), (earlier + t["at"]).alias("start"), t["length"].cast("long").alias("length")))
 
     spans = F.filter(F.transform("turns", span), lambda s: s.isNotNull())
-    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    part = F.struct("chunk", "formatted", spans.alias("spans"), source.alias("source"))
+    part = F.struct("chunk", "formatted", spans.alias("spans"), F.transform("turns", lambda t: t["source"]).alias("source"))
     whole = chunks.select("conv_id", part.alias("part")).groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: p["formatted"]), "")
     spans = F.flatten(F.transform("parts", lambda p: p["spans"]))
     source = F.flatten(F.transform("parts", lambda p: p["source"]))
     whole = whole.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"), source.alias("source"))
-    return whole.select("conv_id", "formatted", "loss_spans", (parse(F.col("formatted")) == F.col("source")).alias("round_trip"))
+    read = F.transform(parse(F.col("formatted")), lambda t: F.xxhash64(t["role"], t["text"]))
+    return whole.select("conv_id", "formatted", "loss_spans", (read == F.col("source")).alias("round_trip"))
+
+
+def _in_order(a: Column, b: Column) -> Column:
+    """Turns by number (null first), role and text; the text is taken from the rendered turn only if the others are equal."""
+
+    def by(x: Column, y: Column, rest: Column) -> Column:
+        return F.when(x.isNull() & y.isNotNull(), -1).when(x.isNotNull() & y.isNull(), 1).when(x < y, -1).when(x > y, 1).otherwise(rest)
+
+    text = lambda t: _read(F.substring(t["rendered"], F.lit(1), F.length(t["rendered"]) - len(END)))["text"]
+    return by(a["turn"], b["turn"], by(a["role"], b["role"], by(text(a), text(b), F.lit(0))))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
