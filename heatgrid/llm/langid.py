@@ -8,21 +8,21 @@ L1 and L2 penalties) on a bounded sample of labelled rows, then one temperature
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatgrid.llm.common import table, without
 
 DIM = 1 << 15
-#: Bounds of the fitting sample: rows a language, and rows in all (but 20 a language at least).
-ROWS_A_LANG, ROWS_IN_ALL = 1000, 8000
+#: Bounds of the fitting sample: different rows a language, rows in all (but 20 a language at least), and languages: those
+#: with the most rows are learned.
+ROWS_A_LANG, ROWS_IN_ALL, MAX_LANGS = 1000, 8000, 256
 UNKNOWN = "und"
 #: Documents whose best language is less likely than this are rejected; it is kept low, as short texts are seldom sure.
 MIN_SCORE = 1 / 3
@@ -45,12 +45,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     folded = folded[np.r_[True, (folded[1:] != 32) | (folded[:-1] != 32)]]
     if len(folded) < 3:
         return None
-    counts = np.zeros(DIM, np.int64)
     one = folded * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ (folded[1:] + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA6B)
     three = (two[:-1] ^ (folded[2:] + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE35)
-    for h in (one, two, three):
-        counts += np.bincount(((h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F) >> np.uint32(17)).astype(np.int64), minlength=DIM)
+    h = np.concatenate([one, two, three])
+    buckets = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F) >> np.uint32(17)
+    if len(buckets) < DIM // 4:
+        at, n = np.unique(buckets, return_counts=True)  # no array of all buckets for a short text
+        return at.astype(np.int64), 1 + np.log(n)
+    counts = np.bincount(buckets.astype(np.int64), minlength=DIM)
     at = np.flatnonzero(counts)
     return at, 1 + np.log(counts[at])
 
@@ -105,18 +108,21 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
-    """(lang, buckets, values) of rows_a_lang labelled rows of each language, those whose doc_id has the smallest hash.
+    """(lang, buckets, values) of at most rows_a_lang different labelled rows of each language, those with the smallest hash.
 
-    Each language's share of all hashes is known from its count, so no rows are ranked.
+    The hash is of doc_id and text, so it matters not whether ids are null or repeat; equal rows are one. From the number
+    of different hashes of a language follows which share of them is wanted, so only a little more than the sample is ranked.
     """
-    h = F.xxhash64(F.col("doc_id"))
-    counts = labelled.groupBy("lang").agg(F.count("*")).collect()  # a row a language
+    h = F.xxhash64("doc_id", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h, 0.02).alias("different")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return []
     rows_a_lang = min(rows_a_lang, max(20, ROWS_IN_ALL // len(counts)))
-    # a tenth more than wanted, as hashes scatter; cut to the bound below
-    bounds = {lang: min((1 << 63) - 1, int((2 * min(1.0, (1.1 * rows_a_lang + 20) / n) - 1) * (1 << 63))) for lang, n in counts}
+    # a fifth more than wanted, as hashes scatter
+    bounds = {lang: min((1 << 63) - 1, int((2 * min(1.0, (1.2 * rows_a_lang + 20) / max(1, n)) - 1) * (1 << 63))) for lang, _, n in counts}
     limit = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])
+    chosen = labelled.where(h <= F.try_element_at(limit, F.col("lang"))).select("lang", h.alias("h"), "text").dropDuplicates(["lang", "h"])
+    chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows_a_lang).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,15 +132,8 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
                 ["lang", "h", "at", "tf"],
             )
 
-    chosen = labelled.where(h <= F.element_at(limit, F.col("lang"))).select("lang", h.alias("h"), "text")
-    rows = chosen.mapInArrow(vectors, "lang string, h long, at binary, tf binary").collect()
-    taken: Counter = Counter()
-    out = []
-    for r in sorted(rows, key=lambda r: (r.h, r.lang, r.at, r.tf)):
-        taken[r.lang] += 1
-        if taken[r.lang] <= rows_a_lang:
-            out.append((r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.tf, np.float32)))
-    return out
+    rows = chosen.mapInArrow(vectors, "lang string, h long, at binary, tf binary").collect()  # rows_a_lang rows a language at most
+    return [(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.tf, np.float32)) for r in sorted(rows, key=lambda r: (r.h, r.lang))]
 
 
 def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +178,12 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
-    """Fit on `labelled` (doc_id, text, lang): rows without a language are left out. Without rows: a model that says und."""
+    """Fit on `labelled` (doc_id, text, lang): rows without a language are left out. Without rows: a model that says und.
+
+    Null and repeated ids are no matter; rows that repeat wholly are learned from once, but count as often as they come in
+    the document frequencies. Rows whose text is null or has no letter teach nothing. Of more than MAX_LANGS languages
+    those with the most rows are learned. Extra columns are not read.
+    """
     labelled = labelled.where("lang IS NOT NULL").select("doc_id", "text", "lang")
     total, df = document_frequencies(labelled)
     rows = _sample(labelled, rows_a_lang)
@@ -199,7 +203,9 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
 def identify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
     """Add the predicted language of each whole text and its calibrated probability; reads no column but text.
 
-    Null texts and texts without a letter: und, 0. Columns of the same names are replaced, others pass through.
+    Null and empty texts and texts without a letter: und, 0. Of equal scores the first language in the alphabet. Repeated
+    rows give repeated rows, an empty table an empty one. Columns of the same names (in any case) are replaced, others pass
+    through.
     """
     docs = without(docs, lang_column, score_column)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages numbers

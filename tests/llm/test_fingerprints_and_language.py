@@ -1,7 +1,9 @@
 import hashlib
+import math
 import re
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,3 +107,83 @@ def test_language_without_rows_or_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     for own in (docs, docs.limit(0)):
         assert [r.lang_pred for r in langid.identify(own, langid.train_on_documents(own)).collect()] in ([], ["und"])
+
+
+@pytest.mark.parametrize("doc_id", [None, 5, 1])
+def test_language_with_null_or_equal_ids(spark, sf_dir, doc_id):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL")
+    langs = {r.lang for r in docs.select("lang").distinct().collect()}
+    labelled = docs.withColumn("doc_id", F.lit(doc_id).cast("long")).select("doc_id", "text", "lang")
+    model = langid.train(labelled)
+    assert set(model.langs) == langs
+    found = langid.identify(labelled, model).where("lang_pred <> 'und'")
+    assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
+
+
+def test_the_sample_is_bounded_and_of_different_rows(spark):
+    rows = [(i % 7 or None, f"words of number {i % 700} and more", "en" if i % 3 else "de") for i in range(7000)] + [(1, "same text", "fr")] * 500
+    sample = langid._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    got = {lang: sum(x[0] == lang for x in sample) for lang in ("en", "de", "fr")}
+    assert got["fr"] == 1 and 30 <= got["en"] <= 50 and 30 <= got["de"] <= 50
+
+
+def plain_ftrl(rows, dim, classes, epochs, alpha, beta, l1, l2):
+    """Coordinate by coordinate, from the published formulas."""
+    z = [[0.0] * classes for _ in range(dim)]
+    n = [[0.0] * classes for _ in range(dim)]
+
+    def w(i, c):
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(l1, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    for epoch in range(epochs):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            y, x = rows[r]
+            weights = {i: [w(i, c) for c in range(classes)] for i in x}
+            score = [sum(v * weights[i][c] for i, v in x.items()) for c in range(classes)]
+            e = [math.exp(s - max(score)) for s in score]
+            for i, v in x.items():
+                for c in range(classes):
+                    g = (e[c] / sum(e) - (c == y)) * v
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha
+                    z[i][c] += g - sigma * weights[i][c]
+                    n[i][c] += g * g
+    return np.array([[w(i, c) for c in range(classes)] for i in range(dim)])
+
+
+def test_ftrl_against_plain_formulas():
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(60):
+        at = np.sort(rng.choice(40, 6, replace=False))
+        v = rng.random(6)
+        rows.append((int(at.sum() % 3), at, v / np.linalg.norm(v)))
+    weights, bias = langid.fit_ftrl(rows, 3, epochs=2, alpha=0.4, beta=1.0, l1=0.05, l2=0.03)
+    own = [(y, {**dict(zip(at.tolist(), v.tolist(), strict=True)), 40: 1.0}) for y, at, v in rows]
+    want = plain_ftrl(own, 41, 3, 2, 0.4, 1.0, 0.05, 0.03)
+    assert np.allclose(weights[:40], want[:40], atol=1e-12) and np.allclose(bias, want[40], atol=1e-12)
+    assert (weights[:40] == 0).any() and (weights[40:] == 0).all()  # the L1 penalty leaves weights at zero
+
+
+def test_temperature_against_a_scan():
+    rng = np.random.default_rng(6)
+    logits = rng.normal(size=(300, 4)) * 5
+    classes = np.where(rng.random(300) < 0.7, logits.argmax(1), rng.integers(0, 4, 300))
+    smooth = 1 / 302
+
+    def loss(t):
+        p = np.exp(logits / t - (logits / t).max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return -((1 - smooth) * np.log(np.maximum(p[np.arange(300), classes], 1e-300)) + smooth * np.log(np.maximum(p, 1e-300)).mean(1)).mean()
+
+    scan = np.exp(np.linspace(-4, 3, 4000))
+    best = scan[np.argmin([loss(t) for t in scan])]
+    assert abs(math.log(langid.fit_temperature(logits, classes) / best)) < 0.01
+
+
+def test_features_of_short_and_long_texts_agree():
+    text = "Ein kurzer Satz mit Wörtern. "
+    short, long = (dict(zip(*map(list, langid.features(t)), strict=True)) for t in (text, text * 2000))
+    same = set(short) & set(long)
+    assert len(same) >= len(short) - 2 and all(abs(long[b] - short[b] - np.log(2000)) < 0.25 for b in same)  # the ends of the text count apart
