@@ -59,7 +59,8 @@ TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr thead tb
 #: Closed by a sibling of its kind, up to the element that holds such siblings.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -83,32 +84,103 @@ class Node:
         self.holds = self.main
 
 
+class _Tags:
+    """The tags and comments of a page, left to right, in time proportional to its length."""
+
+    def __init__(self, html: str):
+        self.html, self.close, self.failed = html, -1, set()
+
+    def _quoted_end(self, at: int) -> int:
+        """The place after the `>` that ends a tag, not in quotes; 0 if quotes never close or no `>` stands outside of them."""
+        seen = []
+        while m := _STOP.search(self.html, at):
+            if m[0] == ">":
+                return m.end()
+            end = -1 if m.start() in self.failed else self.html.find(m[0], m.end())
+            seen.append(m.start())
+            if end < 0:
+                break
+            at = end + 1
+        self.failed.update(seen)  # who comes upon one of these quotes again fails again
+        return 0
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first tag from `at` on; comments and the like have no name."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, "", "", ""
+            if self.close < start:
+                self.close = html.find(">", start)
+            if self.close < 0:  # nothing ends any more but a comment, with the page
+                start = html.find("<!--", start)
+                return (start, len(html), "", "", "") if start >= 0 else None
+            if m := _NAME.match(html, start):
+                end = self._quoted_end(m.end()) or self.close + 1
+                return start, end, m[1], m[2].lower(), html[m.end() : end - 1]
+            if html[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, self.close + 1, "", "", ""
+            at = start + 1
+        return None
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that none is looked for in vain."""
+
+    def __init__(self, root: Node):
+        self.stack, self.where, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max(own[-1] if (own := self.where.get(t)) else 0 for t in tags)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all in it; the root (0) stays."""
+        while at and len(self.stack) > at:
+            self.where[self.stack.pop().tag].pop()
+        while self.blocks[-1] >= len(self.stack):
+            self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element does not end blocks."""
+        at = self.last(tag)
+        self.cut(at if tag in BLOCK or at > self.blocks[-1] else 0)
+
+    def begin(self, tag: str) -> None:
+        """What a start tag closes: a paragraph right around it, or a sibling."""
+        if tag in CLOSES_P and self.stack[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in SIBLINGS:
+            own, within = (x.split() for x in SIBLINGS[tag])
+            at = self.last(*own)
+            self.cut(at if at > self.last(*within) else 0)
+
+
 def parse(html: str | None) -> Node:
     """The element tree of a page, however badly it is nested; character references stay as they are."""
     html = html or ""
     root = Node("html")
-    stack, at = [root], 0
-    for m in iter(lambda: _TAG.search(html, at), None):
-        if m.start() > at:
-            stack[-1].kids.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    tags, opened, at = _Tags(html), _Open(root), 0
+    stack = opened.stack
+    while found := tags.next(at):
+        start, end, slash, tag, attributes = found
+        if start > at:
+            stack[-1].kids.append(html[at:start])
+        at = end
         if not tag or tag == "html":
             continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag does not end blocks
+        if slash:
+            opened.end(tag)
             continue
-        if tag in CLOSES_P:
-            _close(stack, ("p",), BLOCK - {"p"})
-        if tag in SIBLINGS:
-            own, within = SIBLINGS[tag]
-            _close(stack, own.split(), within.split())
-        node = Node(tag, m[3] or m[6] or "")
+        opened.begin(tag)
+        node = Node(tag, attributes)
         stack[-1].kids.append(node)
         if node.main:
             for above in reversed(stack):
@@ -116,24 +188,14 @@ def parse(html: str | None) -> Node:
                     break
                 above.holds = True
         if tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.start() if end else len(html)
+            last = _RAW_END[tag].search(html, at)
+            at = last.start() if last else len(html)
         elif tag not in VOID:
-            stack.append(node)
+            opened.push(node)
     stack[-1].kids.append(html[at:])
     return root
 
 
-def _close(stack: list[Node], tags, within) -> None:
-    """Take the innermost element of one of the kinds off the stack, and all in it, unless `within` stands before it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in within:
-            return
-
-
 def _walk(root: Node) -> list[tuple[Node, bool]]:
     """All elements but those that are not shown, parents first, with whether they stand in the article (or are it)."""
     out, todo = [], [(root, root.main)]

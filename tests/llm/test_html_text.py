@@ -1,5 +1,11 @@
 import html as H
+import math
+import random
 import re
+import time
+from collections import Counter
+
+import pytest
 
 from heatgrid.llm import html_text
 
@@ -34,6 +40,103 @@ def test_broken_pages_have_defined_texts():
     assert text("<p>" + "word " * 200_000).count("word") == 200_000
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a t="x ', "<b>", "< ", '<a ">"', "<i><div><b>", "<b><div></div>", "<a '\"> ", "<td>", "&am", "<!", "<li><b>", "</i>"])
+def test_long_broken_pages_take_time_in_proportion(unit):
+    size = 1 << 20
+    for page in (unit * (size // len(unit)), unit * (size // 2 // len(unit)) + "</i>" * (size // 8), "<i>" + unit * (size // len(unit)) + "'\">"):
+        began = time.process_time()
+        root = html_text.parse(page)
+        assert time.process_time() - began < 8
+        if unit in ("<a ", "< ", "&am"):
+            html_text.main_text(root, set())
+
+
+def plain_parse(page):
+    """The tree's shape by one pattern for tags and plain searches, quadratic in bad cases."""
+    tag_ = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+    root, at = ["html", []], 0
+    stack = [root]
+
+    def close(tags, within):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in tags:
+                del stack[i:]
+                return
+            if stack[i][0] in within:
+                return
+
+    while m := tag_.search(page, at):
+        if m.start() > at:
+            stack[-1][1].append(page[at : m.start()])
+        at, tag = m.end(), (m[2] or m[5] or "").lower()
+        if not tag or tag == "html":
+            continue
+        if m[1] or m[4]:
+            close({tag}, () if tag in html_text.BLOCK else html_text.BLOCK)
+            continue
+        if tag in html_text.CLOSES_P:
+            close({"p"}, html_text.BLOCK - {"p"})
+        if tag in html_text.SIBLINGS:
+            close(*(x.split() for x in html_text.SIBLINGS[tag]))
+        stack[-1][1].append([tag, []])
+        if tag in html_text.RAW:
+            end = re.compile(f"</{tag}", re.I).search(page, at)
+            at = end.start() if end else len(page)
+        elif tag not in html_text.VOID:
+            stack.append(stack[-1][1][-1])
+    stack[-1][1].append(page[at:])
+    return root
+
+
+def test_trees_of_random_pages_against_a_plain_parser():
+    rng = random.Random(3)
+    bits = ["<a ", "<p>", "</p>", "<b>", "</b>", "<div class='x'>", "</div>", '"', "'", ">", "<", "text", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>", "<!--", "-->", "<!x", "<br/>", "<script>", "</script>", " t=", "</", "<i>", "</i>", "<dt>", "<dd>", "<dl>", "/"]
+    shape = lambda n: n if isinstance(n, str) else [n.tag, [shape(k) for k in n.kids]]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        assert shape(html_text.parse(page)) == plain_parse(page), page
+
+
+def plain_templates(rows):
+    """Hashes counted by host in plain Python."""
+    pages, found = Counter(), {}
+    for host, html in rows:
+        pages[host] += 1
+        for h in {x for own in html_text.subtree_hashes(html_text.parse(html)).values() for x in own and [(h, 0, 0) for h, *_ in own]}:
+            own = found.setdefault((host, h[0]), [0, 0, 0])
+            own[0] += 1
+        for own in html_text.subtree_hashes(html_text.parse(html)).values():
+            for h, context, held in own:
+                found[host, h][1] |= context
+                found[host, h][2] |= held
+    out = {host: {html_text.COUNTED} for host, n in pages.items() if n >= html_text.FEW}
+    for (host, h), (n, contexts, held) in found.items():
+        kind, total = h >> html_text.KIND_BIT, pages[host]
+        least, part = html_text.LEAST[kind]
+        share = n >= max(least, math.ceil(total * part))
+        many = share or n >= max(html_text.MANY[0], math.ceil(total * html_text.MANY[1]))
+        half = (1 - (1 - 1 / html_text.BITS) ** n) * html_text.BITS / 2
+        differ = contexts.bit_count() >= max(3, half)
+        rule = {
+            html_text.OUTSIDE: many, html_text.TEXT: share, html_text.LOOSE: share, html_text.NAMED: share,
+            html_text.BOX: (many and differ) or n >= max(10, math.ceil(total * 0.9)),
+            html_text.LOOSE_BOX: share or (many and differ), html_text.ROTATING: many and differ and held.bit_count() <= half,
+        }
+        if rule[kind]:
+            out.setdefault(host, set()).add(h)
+    return out
+
+
+def test_templates_against_plain_counts_and_they_do_the_work(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", html_text.host()).select("host", "html")
+    rows = [(r.host, r.html) for r in frame.collect()]
+    got = {r.host: set(r.hashes) for r in html_text.templates(frame).collect()}
+    assert got == plain_templates(rows)
+    counted = [(h, x) for h, x in rows if html_text.COUNTED in got.get(h, ())]
+    changed = [html_text.main_text(html_text.parse(x), {html_text.COUNTED}) != html_text.main_text(html_text.parse(x), got[h]) for h, x in counted]
+    assert counted and all(changed)  # where hosts have pages enough, the counts take something from every page
+
+
 def pages(hosts):
     """Pages whose menu, advert and closing line have no telling names, and vary but for the closing line."""
     out = []
