@@ -1,13 +1,19 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers over the tropical semiring (min, +).
 
-Compiled once: the normaliser (space to U+2581, a leading one), the pieces (a path for each, its id as output) and the
-byte fallback (any other character to its UTF-8 bytes). Composed with an input they give a lattice whose arcs are pieces
-at places in the text; its shortest path is the encoding.
-
- unigram model: a state is a place; an arc weighs minus the piece's score.
+Three machines are compiled from a model file, each a tree of states with an arc a character:
+ the normaliser: the rules of the character map, their replacements as output (the longest rule at a place wins; any
+   other character goes to itself), then white space and a leading U+2581;
+ the pieces: a path for each, its id as output and minus its score as weight;
+ the byte fallback: any other character to its UTF-8 bytes, or to the unknown id.
+An input is a machine with a place before and after each character. Composed with the normaliser it gives one path, the
+normalised text; that composed with the closure of the pieces and the fallback gives a lattice whose states are places
+and whose arcs are pieces; its shortest path is the encoding.
+
+ unigram model: an arc weighs minus the piece's score.
  BPE model: a state is a place and the piece that ends there; an arc weighs 0 if the two pieces beside each other are
    what merging gives for their concatenation, else infinity. Merges never cross the ends of a final piece, so a path of
    finite weight has the same pieces as merging the whole, and there is one such path for every prefix.
+ word and character models: the only pieces are words, or single characters.
 
 Where no piece has two neighbouring characters next to each other, no arc crosses, and the input can be cut: texts are
 encoded cut by cut, and cuts that recur are kept.
@@ -15,6 +21,7 @@ encoded cut by cut, and cuts that recur are kept.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from math import inf
@@ -28,8 +35,9 @@ from pyspark.sql import types as T
 from heatgrid.llm.common import table, without
 
 SPACE = "▁"
-UNIGRAM, BPE = 1, 2
-CACHED_CUTS = 600_000  # of a worker; about 200 bytes each
+UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
+CACHED = 400_000  # words, cuts and weights of a worker, about 200 bytes each; when full it starts over
+_CODES = 0x110000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -59,8 +67,53 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class Tree:
+    """States with an arc a character: 0 is the start, `arcs` leads on, `final` has the output of states where a string ends."""
+
+    def __init__(self, strings: dict):
+        self.arcs: dict[int, int] = {}
+        self.final: dict[int, object] = {}
+        for string, output in strings.items():
+            state = 0
+            for c in string:
+                state = self.arcs.setdefault(state * _CODES + ord(c), len(self.arcs) + 1)
+            self.final[state] = output
+
+    def walk(self, text: str, at: int) -> Iterator[tuple[int, object]]:
+        """(place after, output) of every string that the text has from a place on; the output is None where none ends."""
+        state, arcs, final = 0, self.arcs, self.final
+        for j in range(at, len(text)):
+            state = arcs.get(state * _CODES + ord(text[j]))
+            if state is None:
+                return
+            yield j + 1, final.get(state)
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array tree of UTF-8 strings, then their replacements, ended by zeros."""
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    labels = np.arange(1, 256)
+    out, todo = {}, [(b"", int(offset(units[0])))]
+    while todo:
+        key, at = todo.pop()
+        to = at ^ labels
+        own = np.where(to < len(units), units[np.minimum(to, len(units) - 1)], 0)
+        for c in labels[(own & 0x800000FF) == labels].tolist():
+            unit = int(units[at ^ c])
+            below = at ^ c ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                out[(key + bytes([c])).decode("utf-8")] = texts[start : texts.index(b"\0", start)].decode("utf-8")
+            todo.append((key + bytes([c]), below))
+    return out
+
+
 class Transducer:
-    """The compiled machine of a model file."""
+    """The compiled machines of a model file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -70,19 +123,31 @@ class Transducer:
         trainer = {k: v for n, spec in model if n == 2 for k, v in _fields(spec)}
         rules = {k: v for n, spec in model if n == 3 for k, v in _fields(spec)}
         self.kind, self.lead, self.squeeze = trainer.get(3, UNIGRAM), bool(rules.get(3, 1)), bool(rules.get(4, 1))
-        if rules.get(2) or trainer.get(24) or not rules.get(5, 1) or self.kind not in (UNIGRAM, BPE) or any(p.get(3) == 4 for p in pieces):
-            raise NotImplementedError("character maps, suffix spaces, own symbols, word and character models")
+        if trainer.get(24) or not rules.get(5, 1):
+            raise NotImplementedError("white space after words, or not escaped")
         self.text = [p[1].decode("utf-8") for p in pieces]
         self.score = [struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0] for p in pieces]
-        kinds = [p.get(3, 1) for p in pieces]  # 1 normal, 2 unknown, 3 control, 5 unused, 6 byte
+        kinds = [p.get(3, 1) for p in pieces]  # 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte
         self.ids = {self.text[i]: i for i, k in enumerate(kinds) if k == 1}
         self.unknown = kinds.index(2)
         self.bytes = {int(self.text[i][3:5], 16): i for i, k in enumerate(kinds) if k == 6}
+        self.low = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0  # an unknown character's score
+        # symbols of the user are kept as they are by the normaliser, and by merging; in unigram models they are pieces that weigh next to nothing
+        self.own = {self.text[i]: i for i, k in enumerate(kinds) if k == 4}
+        self.own_symbol = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.own, key=len, reverse=True)) + ")") if self.own else None
+        if self.kind != BPE:
+            best = max((self.score[i] for i in self.ids.values()), default=0.0)
+            for x, i in self.own.items():
+                self.score[i] = len(x.encode()) * max(best, 0.0) - 0.1
+            self.ids |= self.own
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.sticky = any(b == SPACE != a for a, b in self.pairs)  # a piece goes over the end of a word
-        self.low = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0  # an unknown character's score
-        self.output = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if k == 1 else b"" if k == 3 else " ⁇ ".encode() for t, k in zip(self.text, kinds, strict=True)]
-        self.starts = dict.fromkeys((p[:n] for p in self.ids for n in range(1, len(p))), False) | dict.fromkeys(self.ids, True)  # prefix -> is a piece
+        self.output = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if k in (1, 4) else b"" if k == 3 else " ⁇ ".encode() for t, k in zip(self.text, kinds, strict=True)]
+        mapped = character_map(rules.get(2, b""))
+        self.map = Tree(mapped)
+        firsts = "".join(map(re.escape, sorted({x[0] for x in (*mapped, *self.own)})))
+        self.first = re.compile(f"[{firsts}]") if firsts else None
+        self.tree = Tree(self.ids)
         self.fits: dict[str, dict[str, float]] = {}
         self.n_fits = self.n_composed = 0
         self.words: dict[str, bytes] = {}
@@ -90,11 +155,28 @@ class Transducer:
 
     # ---- compiled parts
 
+    def mapped(self, text: str) -> str:
+        """The text composed with the rules of the character map: at each place the longest rule, symbols of the user as they are."""
+        out, at = [], 0
+        while m := self.first and self.first.search(text, at):
+            start = m.start()
+            out.append(text[at:start])
+            symbol = self.own_symbol and self.own_symbol.match(text, start)
+            at, put = (symbol.end(), symbol[0]) if symbol else (start + 1, text[start])
+            if not symbol:
+                for end, output in self.map.walk(text, start):
+                    if output is not None:
+                        at, put = end, output
+            out.append(put)
+        return "".join(out) + text[at:] if out else text
+
     def normalise(self, text: str) -> str:
+        text = self.mapped(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         text = text.replace(" ", SPACE)
-        return SPACE + text if text and self.lead else text
+        text = SPACE + text if text and self.lead else text
+        return text.rstrip(SPACE) if self.squeeze else text
 
     def fallback(self, char: str) -> list[int]:
         """A character that is no piece: its bytes, or the unknown id."""
@@ -116,41 +198,49 @@ class Transducer:
 
     def weight(self, last: str, piece: str) -> float:
         """Of an arc with `piece` from a state whose last piece is `last`."""
-        if self.kind == UNIGRAM:
+        if self.kind != BPE:
             return -self.score[self.ids[piece]] if piece in self.ids else -self.low
         row = self.fits.setdefault(last, {})
         found = row.get(piece)
         if found is None:
             found = 0.0 if not last or self.merged(last + piece) == [last, piece] else inf
-            if self.n_fits < CACHED_CUTS:
-                self.n_fits += 1
-                row[piece] = found
+            self.n_fits += 1
+            row[piece] = found
         return found
 
+    def room(self) -> None:
+        """Start over when the caches are full."""
+        if len(self.words) + len(self.kept) + self.n_fits > CACHED:
+            self.words, self.kept, self.fits, self.n_fits, self.n_composed = {}, {}, {}, 0, 0
+
     # ---- composition and shortest path
 
     def shortest(self, text: str) -> list[str]:
         """Pieces of the lightest path through the lattice of a normalised text, places taken in order.
 
-        From each place the arcs are followed down the pieces' prefixes, so that none is looked for in vain.
+        From each place the arcs of the pieces' tree are followed, so that none is looked for in vain.
         """
-        n, starts, weight, bpe = len(text), self.starts, self.weight, self.kind == BPE
+        n, weight, bpe, single = len(text), self.weight, self.kind == BPE, self.kind == CHAR
         dist, last, back = [0.0] + [inf] * n, [""] * (n + 1), [0] * (n + 1)
+
+        def arc(i: int, j: int) -> None:
+            # in a BPE model the first path of finite weight to a place is the only one
+            if not (bpe and dist[j] < inf):
+                piece = text[i:j]
+                d = dist[i] + weight(last[i], piece)
+                if d < dist[j]:
+                    dist[j], last[j], back[j] = d, piece, i
+
         for i in range(n):
-            here = dist[i]
-            if here == inf:
+            if dist[i] == inf:
                 continue
-            before = last[i]
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                ends = starts.get(piece)
-                # in a BPE model the first path of finite weight to a place is the only one
-                if (ends or j == i + 1) and not (bpe and dist[j] < inf):
-                    d = here + weight(before, piece)
-                    if d < dist[j]:
-                        dist[j], last[j], back[j] = d, piece, i
-                if ends is None:
-                    break
+            if self.kind != WORD:
+                arc(i, i + 1)  # a piece, or the fallback's arc
+            for j, output in self.tree.walk(text, i):
+                if output is not None and j > i + 1 and not single and (self.kind != WORD or j == n):
+                    arc(i, j)
+        if dist[n] == inf:
+            return [text]  # a word that is no piece
         out, j = [], n
         while j:
             out.append(last[j])
@@ -163,6 +253,8 @@ class Transducer:
 
     def cuts(self, text: str) -> list[str]:
         """A normalised text cut where no piece crosses."""
+        if self.kind == WORD:
+            return re.findall(f"{SPACE}?[^{SPACE}]+|{SPACE}", text)
         out, start = [], 0
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in self.pairs:
@@ -174,7 +266,7 @@ class Transducer:
         own = self.kept.get(cut)
         if own is None:
             own = self.cut_ids(cut)
-            if len(self.kept) < CACHED_CUTS and len(cut) <= 64:
+            if len(cut) <= 64:
                 self.kept[cut] = own
         return own
 
@@ -194,21 +286,36 @@ class Transducer:
                 own = b"".join([self.word(first[1:]) if len(first) > 1 else self.cut(first), *map(self.cut, rest)])
             else:
                 own = self.cut_ids(first)
-        if len(word) <= 64 and len(self.words) < CACHED_CUTS and (not cut or self.n_composed < CACHED_CUTS // 4):
+        if len(word) <= 64 and (not cut or self.n_composed < CACHED // 4):
             self.n_composed += cut
             self.words[word] = own
         return own
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
+        self.room()
         words = text.split(" ")
-        if not text or self.sticky or self.squeeze or not self.lead or "" in words or SPACE in text:
-            return b"".join(map(self.cut, self.cuts(self.normalise(text))))
-        got = self.words.get
-        out = [got(w) for w in words]
-        if None in out:
-            out = [self.word(w) if o is None else o for w, o in zip(words, out, strict=True)]
-        return b"".join(out)
+        plain = self.kind in (UNIGRAM, BPE) and not (self.sticky or self.squeeze or not self.lead or "" in words or SPACE in text)
+        if not plain or not text or (self.first and self.first.search(text)):
+            text = self.normalise(text)
+            if self.kind == BPE and self.own_symbol:
+                parts = self.own_symbol.split(text)  # every second one is a symbol
+                own = b"".join([struct.pack("<I", self.own[x]) if k % 2 else b"".join(map(self.cut, self.cuts(x))) for k, x in enumerate(parts)])
+            else:
+                own = b"".join(map(self.cut, self.cuts(text)))
+        else:
+            got = self.words.get
+            out = [got(w) for w in words]
+            if None in out:
+                out = [self.word(w) if o is None else o for w, o in zip(words, out, strict=True)]
+            own = b"".join(out)
+        return own if self.bytes else self.merged_unknowns(own)
+
+    def merged_unknowns(self, ids: bytes) -> bytes:
+        """Without bytes to fall back on, a run of unknown characters is one unknown id."""
+        own = np.frombuffer(ids, "<u4")
+        again = (own[1:] == self.unknown) & (own[:-1] == self.unknown)
+        return own[np.r_[True, ~again]].tobytes() if again.any() else ids
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces and bytes side by side, the leading space taken off."""
@@ -242,12 +349,16 @@ def _mapped(df: DataFrame, column: str, added: str, kind: T.DataType, arrow: pa.
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Add `ids` (little-endian unsigned 32-bit) of each whole text; null and empty texts have none. Other columns stay."""
+    """Add `ids` (little-endian unsigned 32-bit) of each whole text; null and empty texts have none.
+
+    Repeated rows give repeated rows, an empty table an empty one. Other columns stay; one named ids (in any case) is
+    replaced.
+    """
     return _mapped(docs, "text", "ids", T.BinaryType(), pa.binary(), lambda: lambda t, m=machine(path): m.encode(t or ""))
 
 
 def decode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Add `decoded`, the text of `ids`; null ids give an empty text."""
+    """Add `decoded`, the text of `ids`; null and empty ids give an empty text. Rows and other columns as in encode_documents."""
     return _mapped(docs, "ids", "decoded", T.StringType(), pa.string(), lambda: lambda i, m=machine(path): m.decode(i or b""))
 
 
