@@ -12,12 +12,38 @@ def _whole(number: Column) -> Column:
     return number.try_cast("double").cast("int").cast("string")
 
 
-def short_name(path: Column, base: str) -> Column:
-    """`<folder under base>_<deg>_<uhi>`; null where the path is not of that form."""
-    folder = F.regexp_extract(path, f"^{base.rstrip('/')}/([^/]+)/", 1)
-    deg, uhi = F.regexp_extract(path, _CASE, 1), F.regexp_extract(path, _CASE, 2)
-    ok = (folder != "") & (deg != "") & (uhi != "")
-    return F.when(ok, F.concat_ws("_", folder, _whole(deg), _whole(uhi)))
+def _plain(number: Column) -> Column:
+    """Without a fraction of zero."""
+    return F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def short_name(path: Column, base: str, form: str = "strict") -> Column:
+    """`<folder under base>_<deg>_<uhi>` out of a result file's path; null where the path is not of the form.
+
+    strict: the file's name has scenario_<deg>deg_<uhi>uhi. suffix: a number and further words may follow `scenario`.
+    named: the first folder with `scenario` in its name, <deg>deg_ and later <uhi>uhi, in any case; fractions stay; outside
+    of the base the file's folder. lenient: as strict, but the folder alone where the numbers are missing, and the file's
+    folder outside of the base.
+    """
+    base = base.rstrip("/")
+    file, parent = F.regexp_extract(path, "([^/]+)$", 1), F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+    folder = F.nullif(F.regexp_extract(path, f"^{base}/([^/]+)/", 1), F.lit(""))
+    if form == "named":
+        case, number = r"(?i)(\d+(?:\.\d+)?)deg_.*?(\d+(?:\.\d+)?)uhi", _plain
+        named = F.nullif(F.regexp_extract(path, f"^{base}/(?:[^/]+/)*?([^/]*(?i:scenario)[^/]*)/", 1), F.lit(""))
+        folder = F.coalesce(named, folder, parent)
+    else:
+        case, number = _CASE if form != "suffix" else r"scenario\d*(?:_[A-Za-z0-9]+)*_([\d.]+)deg_([\d.]+)uhi", _whole
+        folder = F.coalesce(folder, parent) if form == "lenient" else folder
+    deg, uhi = (F.nullif(F.regexp_extract(file, case, i), F.lit("")) for i in (1, 2))
+    name = F.when(folder.isNotNull() & deg.isNotNull() & uhi.isNotNull(), F.concat_ws("_", folder, number(deg), number(uhi)))
+    return F.coalesce(name, folder) if form == "lenient" else name
+
+
+def zonal_scenario(name: Column) -> Column:
+    """The scenario block of names such as scenario4_10prc_zonal_stats_mean.csv; `scenario` where there is none."""
+    found = F.regexp_extract(name, r"(scenario\d*(?:_[A-Za-z0-9]+)*)_zonal_stats_[^/\\\\]+\.csv$", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit("scenario"))
 
 
 def scenario_of_file(path: Column) -> Column:

@@ -132,38 +132,52 @@ def drop_small_parts(parts: DataFrame, least_m2: float = 0.5) -> DataFrame:
     return parts.where(polygon_area(F.col("rings")) >= least_m2)
 
 
-def clip_convex(subject: Column, window: Column) -> Column:
-    """The part of a ring inside of a convex, counter-clockwise ring (Sutherland-Hodgman), as a ring."""
-    n = F.size(window)
-    sides = F.transform(window, lambda a, i: F.struct(a.alias("a"), F.get(window, (i + 1) % n).alias("b")))
-    point = "struct<x:double,y:double>"
 
-    def cut(ring: Column, side: Column) -> Column:
-        a, b = side["a"], side["b"]
-        off = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
-        def step(p: Column, i: Column) -> Column:
-            q = F.get(ring, (i + F.size(ring) - 1) % F.size(ring))
-            t = off(q) / (off(q) - off(p))
-            hit = F.struct((q["x"] + t * (p["x"] - q["x"])).alias("x"), (q["y"] + t * (p["y"] - q["y"])).alias("y")).cast(point)
-            own = F.when(off(p) >= 0, F.when(off(q) >= 0, F.array(p)).otherwise(F.array(hit, p)))
-            return own.otherwise(F.when(off(q) >= 0, F.array(hit)).otherwise(F.array().cast(f"array<{point}>")))
 
-        return F.flatten(F.transform(ring, step))
-
-    return F.aggregate(sides, subject.cast(f"array<{point}>"), cut)
+def signed_edges(features: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """Edges with a sign: counter-clockwise ones of the first ring count in (1), so do clockwise ones of the holes that follow."""
+    ring = features.select(key, F.posexplode(rings).alias("k", "r")).where(F.size("r") > 2)
+    sign = F.signum(ring_area(F.col("r"))) * F.when(F.col("k") == 0, 1.0).otherwise(-1.0)
+    ring = ring.select(key, sign.alias("sign"), F.array(F.col("r")).alias("rings"))
+    own = edges(ring.select(F.struct(key, "sign").alias("of"), "rings"), "of")
+    return own.select(F.col(f"of.{key}").alias(key), F.col("of.sign").alias("sign"), "x1", "y1", "x2", "y2")
 
 
 def overlay_area(features: DataFrame, zones: DataFrame, key: str, zone_key: str, size: float = 10.0) -> DataFrame:
-    """Area of each feature (one ring) in each convex zone (one counter-clockwise ring) that it meets."""
-    axis = lambda name: F.transform(F.get("rings", F.lit(0)), lambda q: q[name])
-    box = lambda df, p: df.withColumns({f"{p}{n}{i}": f(axis(n)) for n in "xy" for i, f in ((0, F.array_min), (1, F.array_max))})
-    cells = lambda df, p: df.withColumn("bx", F.explode(_span(F.col(f"{p}x0"), F.col(f"{p}x1"), size))).withColumn("by", F.explode(_span(F.col(f"{p}y0"), F.col(f"{p}y1"), size)))
-    f, z = box(features.select(key, "rings"), "f"), box(zones.select(zone_key, "rings"), "z")
-    first = (F.col("bx") == F.floor(F.greatest("fx0", "zx0") / size)) & (F.col("by") == F.floor(F.greatest("fy0", "zy0") / size))  # a pair once
-    pairs = cells(f.withColumnRenamed("rings", "own"), "f").join(cells(z.withColumnRenamed("rings", "window"), "z"), ["bx", "by"]).where(first)
-    cut = clip_convex(F.get("own", F.lit(0)), F.get("window", F.lit(0)))
-    return pairs.select(key, zone_key, F.abs(ring_area(cut)).alias("m2")).where("m2 > 0")
+    """Area of each feature in each zone that it meets; both may be concave, turn either way and have holes.
+
+    A polygon is the signed sum of the areas under its edges, so two polygons share the signed sum of the areas under both
+    of an edge of each. Edges meet in bands of x, so that a feature meets only those edges of a zone that lie above or
+    below it.
+    """
+    f, z = signed_edges(features, key), signed_edges(zones, zone_key)
+    boxes = lambda df, k, p: _boxes(df, k).select(k, *[F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
+    tiles = lambda df, p: df.withColumn("bx", F.explode(_span(F.col(f"{p}xmin"), F.col(f"{p}xmax"), size))).withColumn("by", F.explode(_span(F.col(f"{p}ymin"), F.col(f"{p}ymax"), size)))
+    first = (F.col("bx") == F.floor(F.greatest("fxmin", "zxmin") / size)) & (F.col("by") == F.floor(F.greatest("fymin", "zymin") / size))  # a pair once
+    pairs = tiles(boxes(f, key, "f"), "f").join(tiles(boxes(z, zone_key, "z"), "z"), ["bx", "by"]).where(first)
+    pairs = pairs.select(key, zone_key, F.least("fymin", "zymin").alias("floor"), "zxmin", "zxmax")
+
+    def banded(df: DataFrame, k: str, p: str) -> DataFrame:
+        own = df.where("x1 <> x2").select(
+            k, F.least("x1", "x2").alias(f"{p}l"), F.greatest("x1", "x2").alias(f"{p}r"), F.when(F.col("x1") < F.col("x2"), F.col("y1")).otherwise(F.col("y2")).alias(f"{p}a"),
+            F.when(F.col("x1") < F.col("x2"), F.col("y2")).otherwise(F.col("y1")).alias(f"{p}b"), (F.col("sign") * F.signum(F.col("x1") - F.col("x2"))).alias(f"{p}s"),
+        )
+        return own.withColumn("band", F.explode(_span(F.col(f"{p}l"), F.col(f"{p}r"), size)))
+
+    met = pairs.join(banded(f, key, "f"), key).join(banded(z, zone_key, "z"), [zone_key, "band"])
+    left = F.greatest("fl", "zl", F.col("band") * F.lit(size))
+    right = F.least("fr", "zr", (F.col("band") + 1) * F.lit(size))
+    met = met.withColumns({"l": left, "r": right}).where("l < r")
+    at = lambda p, x: F.col(f"{p}a") + (x - F.col(f"{p}l")) / (F.col(f"{p}r") - F.col(f"{p}l")) * (F.col(f"{p}b") - F.col(f"{p}a")) - F.col("floor")
+    met = met.withColumns({"f0": at("f", F.col("l")), "f1": at("f", F.col("r")), "z0": at("z", F.col("l")), "z1": at("z", F.col("r"))})
+    d0, d1 = F.col("f0") - F.col("z0"), F.col("f1") - F.col("z1")
+    low0, low1 = F.least("f0", "z0"), F.least("f1", "z1")
+    t = d0 / (d0 - d1)
+    meet = F.col("f0") + t * (F.col("f1") - F.col("f0"))
+    mean = F.when(d0 * d1 < 0, ((low0 + meet) * t + (meet + low1) * (1 - t)) / 2).otherwise((low0 + low1) / 2)
+    part = F.col("fs") * F.col("zs") * mean * (F.col("r") - F.col("l"))
+    return met.groupBy(key, zone_key).agg(F.sum(part).alias("m2")).where("m2 > 1e-9")
 
 
 # ---- polygons and circles to cells
@@ -207,6 +221,38 @@ def later_wins(cells: DataFrame, key: str, order: str) -> DataFrame:
     return cells.groupBy("row", "col").agg(F.max_by(key, order).alias(key))
 
 
+def cells_covered(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, col, key, coverage) of the cells that a polygon covers, wholly or in part: the exact share of the cell's area.
+
+    An edge adds, in each row of cells it runs through, the signed area to the right of it: in part in the cells it
+    crosses, in full in all cells after them. Sums along the row give the shares; cells between edges all have the same.
+    """
+    own = signed_edges(polygons, key)
+    u, v = lambda x: (F.col(x) - grid.x0) / grid.dx, lambda y: (grid.y0 - F.col(y)) / grid.dy
+    own = own.select(key, "sign", u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2")).where("v1 <> v2")
+    own = own.withColumns({"r0": F.greatest(F.floor(F.least("v1", "v2")), F.lit(0)), "r1": F.least(F.floor(F.greatest("v1", "v2")), F.lit(grid.nrows - 1))}).where("r0 <= r1")
+    own = own.withColumn("row", F.explode(F.sequence("r0", "r1")))
+    clamp = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
+    va, vb = clamp(F.col("v1"), F.col("row"), F.col("row") + 1), clamp(F.col("v2"), F.col("row"), F.col("row") + 1)
+    at = lambda w: F.col("u1") + (w - F.col("v1")) / (F.col("v2") - F.col("v1")) * (F.col("u2") - F.col("u1"))
+    own = own.withColumns({"dv": (vb - va) * F.col("sign"), "ua": at(va), "ub": at(vb)}).where("dv <> 0")
+    # what lies left of the grid counts from its first column on, what lies right of it for none
+    column = lambda x: F.least(F.greatest(F.floor(x), F.lit(-1)), F.lit(grid.ncols))
+    own = own.withColumn("col", F.explode(F.sequence(column(F.least("ua", "ub")), column(F.greatest("ua", "ub")))))
+    low, high = F.when(F.col("col") < 0, F.lit(float("-inf"))).otherwise(F.col("col").cast("double")), F.when(F.col("col") >= grid.ncols, F.lit(float("inf"))).otherwise(F.col("col") + 1.0)
+    uc, ud = clamp(F.col("ua"), low, high), clamp(F.col("ub"), low, high)
+    share = F.when(F.col("ua") == F.col("ub"), 1.0).otherwise((ud - uc) / (F.col("ub") - F.col("ua")))
+    own = own.withColumn("cover", F.col("dv") * share).withColumn("area", F.col("cover") * (1 - ((uc + ud) / 2 - F.col("col"))))
+    parts = own.groupBy(key, "row", "col").agg(F.sum("cover").alias("cover"), F.sum("area").alias("area"))
+    along = Window.partitionBy(key, "row").orderBy("col")
+    parts = parts.withColumns({"before": F.coalesce(F.sum("cover").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "next": F.lead("col").over(along)})
+    run = F.when(F.col("next") > F.col("col") + 1, F.transform(F.sequence(F.col("col") + 1, F.col("next") - 1), lambda c: F.struct(c.alias("col"), (F.col("before") + F.col("cover")).alias("coverage"))))
+    mine = F.array(F.struct(F.col("col").alias("col"), (F.col("before") + F.col("area")).alias("coverage")))
+    out = parts.select(key, "row", F.explode(F.concat(mine, F.coalesce(run, F.array().cast("array<struct<col:bigint,coverage:double>>")))).alias("c"))
+    out = out.select(F.col("row").cast("int").alias("row"), F.col("c.col").cast("int").alias("col"), key, F.col("c.coverage").alias("coverage"))
+    return out.where(F.col("col").between(0, grid.ncols - 1) & (F.col("coverage") > 1e-12))
+
+
 def rasterise_mean(polygons: DataFrame, key: str, grid: Grid, values: list[str]) -> DataFrame:
     """Per cell the means of attributes over all polygons that touch it."""
     return cells_touched(polygons, key, grid).join(polygons.select(key, *values), key).groupBy("row", "col").agg(*[F.avg(v).alias(v) for v in values])

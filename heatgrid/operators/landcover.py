@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatgrid.functions.classify import LAND_COVER
+from heatgrid.operators import order
 
 #: The built classes that trees may stand in, and the classes a paving scenario takes.
 TREE_CANOPY, PAVED = 100, 20
@@ -95,15 +96,5 @@ def changed_cells(cells: DataFrame, before: str, after: str, cell_m2: float = 10
 
 
 def top_ranked(points: DataFrame, scenarios: DataFrame, rank: str = "rank", key: str = "id") -> DataFrame:
-    """For each scenario (scenario, n_trees) its n_trees points of the smallest rank, ties by key, in one pass.
-
-    Ranks are counted without one task for all rows: rows before a point are those of smaller ranks (a window over the
-    distinct ranks' counts, cut into ranges of ranks) and its place among equals.
-    """
-    width = 10_000
-    points = points.withColumn("__range", F.floor(F.col(rank) / width))
-    counts = points.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(rank, key)) + F.col("__before")
-    placed = points.join(before.select("__range", "__before"), "__range").withColumn("place", place).drop("__range", "__before")
-    return placed.join(F.broadcast(scenarios), F.col("place") <= F.col("n_trees"))
+    """For each scenario (scenario, n_trees) its n_trees points of the smallest rank, ties by key, in one pass over ranges of ranks."""
+    return order.with_places(points, [rank, key]).join(F.broadcast(scenarios), F.col("place") <= F.col("n_trees"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heatgrid.operators import order
+
 
 def select_matching(df: DataFrame, keep: str | None = None, drop: str | None = None) -> DataFrame:
     """Columns whose names match, without those that match the other pattern."""
@@ -70,9 +72,14 @@ def bin_counts(df: DataFrame, value: str, low: float, width: float) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).withColumn("from", low + F.col("bin") * width)
 
 
-def cumulative_share(value: str, by: list[str]) -> Column:
-    """Empirical distribution from 0 to 1."""
-    return F.percent_rank().over(Window.partitionBy(*by).orderBy(value))
+def cumulative_share(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Add the empirical distribution from 0 to 1."""
+    return order.with_ranks(df, value, by, percent=out)
+
+
+def with_row_ids(df: DataFrame, by: list[str], out: str = "row_id") -> DataFrame:
+    """Add the number 1, 2 ... of each row in an order that tells rows apart."""
+    return order.with_places(df, by, out=out)
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -80,8 +87,10 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def sample_per_layer(df: DataFrame, layer: str, n: int, seed: int = 42) -> DataFrame:
-    """At most n random rows of each layer."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(layer).orderBy(F.rand(seed)))).where(F.col("__n") <= n).drop("__n")
+    """At most n random rows of each layer; of large layers about twice as many are drawn first, so that few are ranked."""
+    counts = df.groupBy(F.col(layer).alias("__layer")).agg(F.count("*").alias("__count"))
+    drawn = df.withColumn("__r", F.rand(seed)).join(counts, F.col(layer).eqNullSafe(F.col("__layer"))).where(F.col("__r") * F.col("__count") <= 2 * n + 100)
+    return drawn.withColumn("__n", F.row_number().over(Window.partitionBy(layer).orderBy("__r"))).where(F.col("__n") <= n).select(*df.columns)
 
 
 def export_safe(df: DataFrame, reserved: tuple[str, ...] = ("fid", "geom", "geometry")) -> DataFrame:
@@ -103,12 +112,23 @@ def export_safe(df: DataFrame, reserved: tuple[str, ...] = ("fid", "geom", "geom
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the sorted different values, codes from 0."""
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)  # a row a value
+    different = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return order.running(different, ["value"], out="code").withColumn("code", F.col("code").cast("int"))
 
 
 def encoded(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """The column replaced by its code; null stays null."""
-    return df.join(F.broadcast(table.withColumnRenamed("value", column)), column, "left").drop(column).withColumnRenamed("code", f"{column}_code")
+    return df.join(table.withColumnRenamed("value", column), column, "left").drop(column).withColumnRenamed("code", f"{column}_code")
+
+
+def unmatched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other table does not have (J4); null keys match nothing."""
+    return df.join(other.select(*keys), keys, "left_anti")
+
+
+def members(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other table has (J5), each once."""
+    return df.join(other.select(*keys), keys, "left_semi")
 
 
 def sorted_rows(df: DataFrame, **order: str) -> DataFrame:

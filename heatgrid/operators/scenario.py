@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgrid.operators import order
+
 
 def within_year_change(long: DataFrame, baseline: str, unit: str = "unit", value: str = "value") -> DataFrame:
     """Add change = value less the baseline scenario's value of the same year and unit; null without one."""
@@ -35,7 +37,7 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation of each group."""
     shares = shares or {"p2_5": 0.025, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p97_5": 0.975}
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(k) for k, p in shares.items()])
+    return order.quantiles(df, value, shares, keys)
 
 
 def approximate_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgrid.operators import order
+
 # ---- tails of distributions, for result rows
 
 
@@ -77,6 +79,19 @@ def t_p_value(t: Column, df: Column) -> Column:
     return _tail(lambda t, df: beta_cdf(df / 2, 0.5, df / (df + t * t)))(t.cast("double"), df.cast("double"))
 
 
+def t_quantile(p: Column, df: Column) -> Column:
+    """The t value below which a share p (over a half) lies, by halving."""
+
+    def search(p: float, df: float) -> float:
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            t = (low + high) / 2
+            low, high = (t, high) if 1 - beta_cdf(df / 2, 0.5, df / (df + t * t)) / 2 < p else (low, t)
+        return (low + high) / 2
+
+    return _tail(search)(p.cast("double"), df.cast("double"))
+
+
 def f_p_value(f: Column, df1: Column, df2: Column) -> Column:
     return _tail(lambda f, a, b: beta_cdf(b / 2, a / 2, b / (b + a * f)))(f.cast("double"), df1.cast("double"), df2.cast("double"))
 
@@ -96,7 +111,7 @@ def _pairs(df: DataFrame, group: str, by: list[str]) -> DataFrame:
     """All pairs of a result table's groups, columns with suffixes _a and _b."""
     a = df.select(*by, *[F.col(c).alias(f"{c}_a") for c in df.columns if c not in by])
     b = df.select(*by, *[F.col(c).alias(f"{c}_b") for c in df.columns if c not in by])
-    return (a.join(b, by) if by else a.join(b, F.lit(True))).where(F.col(f"{group}_a") < F.col(f"{group}_b"))
+    return (a.join(b, by) if by else a.crossJoin(b)).where(F.col(f"{group}_a") < F.col(f"{group}_b"))
 
 
 def t_tests(df: DataFrame, group: str, value: str, by: list[str] | None = None, equal_var: bool = False) -> DataFrame:
@@ -125,10 +140,8 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Different values with their count and average rank, within `by`; no row of the table goes through the ranking."""
-    by = by or []
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    n = order.counted(df, value, by).withColumnRenamed("n", "ties")
+    return n.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
 
 
 def _rank_sums(df: DataFrame, group: str, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -171,11 +184,10 @@ def rank_sum(df: DataFrame, group: str, value: str, by: list[str] | None = None)
     names = groups.select(*by, group).distinct()
     pairs = _pairs(names.withColumn("__", F.lit(1)), group, by).select(*by, f"{group}_a", f"{group}_b")
     on = [F.col(f"l.{c}") == F.col(f"p.{c}") for c in by] + [(F.col(f"l.{group}") == F.col(f"p.{group}_a")) | (F.col(f"l.{group}") == F.col(f"p.{group}_b"))]
-    own = groups.alias("l").join(F.broadcast(pairs.alias("p")), reduce(lambda a, b: a & b, on)).select(*[F.col(f"p.{c}") for c in (*by, f"{group}_a", f"{group}_b")], F.col(f"l.{group}").alias("g"), F.col(f"l.{value}").alias("v"), "n")
+    own = groups.alias("l").join(pairs.alias("p"), reduce(lambda a, b: a & b, on)).select(*[F.col(f"p.{c}") for c in (*by, f"{group}_a", f"{group}_b")], F.col(f"l.{group}").alias("g"), F.col(f"l.{value}").alias("v"), "n")
     keys = [*by, f"{group}_a", f"{group}_b"]
     tied = own.groupBy(*keys, "v").agg(F.sum(F.when(F.col("g") == F.col(f"{group}_a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tied = tied.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    tied = order.running(tied, ["v"], keys, "ties").withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2)
     t = F.col("ties").cast("double")
     s = tied.groupBy(*keys).agg(F.sum("na").alias("n_a"), (F.sum("ties") - F.sum("na")).alias("n_b"), F.sum(F.col("na") * F.col("rank")).alias("r"), F.sum(t * t * t - t).alias("tie_term"))
     a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
@@ -202,7 +214,7 @@ def correlation_t(r: Column, n: Column) -> Column:
 
 
 def ols(long: DataFrame, by: str = "metric", x: str = "x", y: str = "y") -> DataFrame:
-    """Slope, intercept, R squared, standard error and t of y on x for each metric."""
+    """Slope, intercept, R squared, standard error and t of y on x for each metric; with_slope_interval adds interval and p."""
     own = long.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     y_, x_ = F.col(y).cast("double"), F.col(x).cast("double")
     s = own.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y_, x_).alias("slope"), F.regr_intercept(y_, x_).alias("intercept"), F.regr_r2(y_, x_).alias("r2"), F.regr_sxx(y_, x_).alias("sxx"), F.regr_syy(y_, x_).alias("syy"))
@@ -210,6 +222,13 @@ def ols(long: DataFrame, by: str = "metric", x: str = "x", y: str = "y") -> Data
     return s.withColumn("se", se).withColumn("t", F.col("slope") / F.col("se")).drop("sxx", "syy")
 
 
+def with_slope_interval(fits: DataFrame) -> DataFrame:
+    """Add the two-sided p-value of the slope and its 95 % interval to the result rows of ols."""
+    dof = (F.col("n") - 2).cast("double")
+    half = t_quantile(F.lit(0.975), dof) * F.col("se")
+    return fits.withColumns({"p": t_p_value(F.col("t"), dof), "ci_low": F.col("slope") - half, "ci_high": F.col("slope") + half})
+
+
 # ---- curves
 
 
@@ -303,7 +322,7 @@ def density(df: DataFrame, value: str, points: int = 512, per_bandwidth: int = 2
 
     Values are counted in bins of a twentieth of the bandwidth first, so that each point sums over bins, not rows.
     """
-    s = df.agg(F.min(value), F.max(value), F.stddev_samp(value), F.count(value), F.percentile(value, 0.25), F.percentile(value, 0.75)).first()
+    s = df.agg(F.min(value), F.max(value), F.stddev_samp(value), F.count(value)).crossJoin(order.quantiles(df, value, {"q1": 0.25, "q3": 0.75})).first()  # one row each
     lo, hi, sd, n, q1, q3 = s
     if not n or lo == hi:
         return df.sparkSession.createDataFrame([], "x double, density double")

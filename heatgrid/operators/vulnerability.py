@@ -1,7 +1,6 @@
 """Vulnerability index and paired scenario comparison.
 
-Ranks and z-scores are taken over all units: tables of areas, not of cells. Windows go by metric, so that metrics run side
-by side; nulls are a partition of their own, neither ranked nor counted.
+Ranks, quantiles and buckets come from `order`, so that no task sees all units; nulls are neither ranked nor counted.
 """
 
 from __future__ import annotations
@@ -9,22 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgrid.operators import order
 
-def percent_rank(value: str, by: list[str] | None = None) -> Column:
-    """Percent rank among the values that are not null."""
-    null = F.col(value).isNull()
-    return F.when(~null, F.percent_rank().over(Window.partitionBy(*(by or []), null).orderBy(value)))
 
+def with_percent_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Add the percent rank among the values that are not null."""
+    return order.with_ranks(df, value, by, percent=out)
 
-def dense_rank_desc(value: str, by: list[str] | None = None) -> Column:
-    null = F.col(value).isNull()
-    return F.when(~null, F.dense_rank().over(Window.partitionBy(*(by or []), null).orderBy(F.desc(value))))
 
 
-def ntile(value: str, n: int, key: str, by: list[str] | None = None) -> Column:
-    """Buckets of equal counts, ties by key; nulls have none."""
-    null = F.col(value).isNull()
-    return F.when(~null, F.ntile(n).over(Window.partitionBy(*(by or []), null).orderBy(value, key)))
+
+
+def with_bucket(df: DataFrame, value: str, n: int, key: str, out: str) -> DataFrame:
+    """Add buckets of equal counts, ties by key; nulls have none."""
+    known, unknown = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
+    placed = order.with_places(known, [value, key], out="__place").crossJoin(F.broadcast(known.agg(F.count("*").alias("__total"))))  # one row
+    placed = placed.withColumn(out, order.buckets(F.col("__place"), F.col("__total"), n)).drop("__place", "__total")
+    return placed.unionByName(unknown.withColumn(out, F.lit(None).cast("int")))
 
 
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,7 +47,8 @@ def row_sum(columns: list[str]) -> Column:
 
 def breaks(df: DataFrame, value: str, n: int) -> DataFrame:
     """One row: the different breaks of n bins at type-7 quantiles."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])))).alias(f"__breaks_{value}"))
+    found = order.quantiles(df, value, {f"b{i}": i / n for i in range(n + 1)})
+    return found.select(F.array_sort(F.array_distinct(F.array(*found.columns))).alias(f"__breaks_{value}"))
 
 
 def quantile_bin(df: DataFrame, value: str, n: int, out: str, rank_fallback: bool = True) -> DataFrame:
@@ -59,28 +60,34 @@ def quantile_bin(df: DataFrame, value: str, n: int, out: str, rank_fallback: boo
     bin_ = F.greatest(F.size(F.filter(edges, lambda b: b < F.col(value))), F.lit(1))
     binned = df.crossJoin(F.broadcast(breaks(df, value, n)))  # one row
     if rank_fallback:
-        by_rank = F.greatest(F.ceil(F.round(percent_rank(value) * n, 9)), F.lit(1)).cast("int")
+        binned = with_percent_rank(binned, value, "__pct")
+        by_rank = F.greatest(F.ceil(F.round(F.col("__pct") * n, 9)), F.lit(1)).cast("int")
         bin_ = F.when(F.size(edges) < n + 1, by_rank).otherwise(bin_)
-    return binned.withColumn(out, F.when(F.col(value).isNotNull(), bin_)).drop(f"__breaks_{value}")
+    return binned.withColumn(out, F.when(F.col(value).isNotNull(), bin_)).drop(f"__breaks_{value}", "__pct")
 
 
 def index(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Percent rank of each metric, their mean as the score, its percent rank and its rank from the top."""
-    out = df.select(key, *[percent_rank(m).alias(f"p_{m}") for m in metrics])
-    out = out.withColumn("score", row_mean([f"p_{m}" for m in metrics]))
-    return out.withColumns({"score_pct": percent_rank("score"), "score_rank": dense_rank_desc("score")})
+    long = df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([key], metrics, "__metric", "__measure")
+    pct = with_percent_rank(long, "__measure", "__pct", ["__metric"])
+    out = pct.groupBy(key).pivot("__metric", metrics).agg(F.first("__pct")).withColumnsRenamed({m: f"p_{m}" for m in metrics})
+    return with_score_ranks(out.withColumn("score", row_mean([f"p_{m}" for m in metrics])))
+
+
+def with_score_ranks(df: DataFrame) -> DataFrame:
+    """Add the percent rank of the score and its rank from the top."""
+    return order.with_ranks(df.drop("score_pct", "score_rank"), "score", percent="score_pct", dense_desc="score_rank")
 
 
 def rolled_up(index_: DataFrame, areas: DataFrame, key: str, area: str) -> DataFrame:
     """Mean score of each area (not weighted), ranked again."""
-    out = index_.join(areas.select(key, area), key).groupBy(area).agg(F.avg("score").alias("score"), F.count("*").alias("units"))
-    return out.withColumns({"score_pct": percent_rank("score"), "score_rank": dense_rank_desc("score")})
+    return with_score_ranks(index_.join(areas.select(key, area), key).groupBy(area).agg(F.avg("score").alias("score"), F.count("*").alias("units")))
 
 
 def quantile_trim(long: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows (metric, value) within the percentiles of their metric, both ends included."""
-    ends = long.groupBy("metric").agg(F.percentile("value", low).alias("__lo"), F.percentile("value", high).alias("__hi"))
-    return long.join(F.broadcast(ends), "metric").where(F.col("value").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    ends = order.quantiles(long, "value", {"__lo": low, "__hi": high}, ["metric"])
+    return long.join(ends, "metric").where(F.col("value").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def pairing_violations(df: DataFrame, key: str, scenarios: list[str]) -> DataFrame:
@@ -98,7 +105,7 @@ def paired(df: DataFrame, key: str, first: str, second: str, others: list[str])
 
 def benefit_classes(pairs: DataFrame) -> DataFrame:
     """Low, Moderate or High by the tertiles of the first scenario, for both; equal tertiles give null classes."""
-    cuts = pairs.agg(F.percentile("cases_first", 1 / 3).alias("__a"), F.percentile("cases_first", 2 / 3).alias("__b"))
+    cuts = order.quantiles(pairs, "cases_first", {"__a": 1 / 3, "__b": 2 / 3})
     out = pairs.crossJoin(F.broadcast(cuts))  # one row
     named = lambda c: F.when(F.col("__a") < F.col("__b"), F.when(F.col(c) <= F.col("__a"), "Low").when(F.col(c) <= F.col("__b"), "Moderate").otherwise("High"))
     return out.withColumns({"benefit_first": named("cases_first"), "benefit_second": named("cases_second")}).drop("__a", "__b")
@@ -109,7 +116,7 @@ def vulnerable(classed: DataFrame, key: str, metrics: list[str], population: str
     weight = F.col(population).cast("double") if population else F.lit(1.0)
     own = classed.withColumns({"population": weight, **{m: F.col(m).cast("double") for m in metrics}})
     out = own.unpivot([key, "population", "cases_first", "cases_second", "delta_cases", "benefit_first", "benefit_second"], metrics, "metric", "vulnerability").where("vulnerability IS NOT NULL")
-    return out.withColumn("pct", percent_rank("vulnerability", ["metric"])).withColumn("high", F.col("pct") >= 2 / 3)
+    return with_percent_rank(out, "vulnerability", "pct", ["metric"]).withColumn("high", F.col("pct") >= 2 / 3)
 
 
 def weighted_share(condition: Column, weight: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +14,9 @@ def zonal(cells: DataFrame, zone_cells: DataFrame, key: str, value: str) -> Data
     return cells.join(zone_cells, ["row", "col"]).groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("sum"))
 
 
-def coverage(zones: DataFrame, key: str, grid: Grid, k: int = 4) -> DataFrame:
-    """(row, col, key, coverage): share of a cell in a zone, from k x k places in it."""
-    fine = replace(grid, dx=grid.dx / k, dy=grid.dy / k, nrows=grid.nrows * k, ncols=grid.ncols * k)
-    sub = geometry.cells_by_centre(zones, key, fine)
-    return sub.groupBy(F.floor(F.col("row") / k).cast("int").alias("row"), F.floor(F.col("col") / k).cast("int").alias("col"), key).agg((F.count("*") / (k * k)).alias("coverage"))
+def coverage(zones: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, col, key, coverage): exact share of each cell's area in a zone."""
+    return geometry.cells_covered(zones, key, grid)
 
 
 def weighted_mean(cells: DataFrame, covered: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatgrid.functions import classify, climate, dates, text
@@ -12,36 +9,10 @@ from heatgrid.functions import health as H
 from heatgrid.operators import geometry, grid, health, landcover, observations, profile, scenario, stats, trees, vulnerability, zonal
 from heatgrid.operators.grid import Grid
 from heatgrid.plans import bridges as B
+from heatgrid.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
 from heatgrid.sources import readers
 from heatgrid.sources.sinks import scratch
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def _whole(name: str, *filters: str) -> str:
-    """The SQL of another query without its filters."""
-    sql = SQL[name]
-    for f in filters:
-        sql = sql.replace(f, "")
-    return sql
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, as sums depend on the order of their terms."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
 
 def _causes_sql() -> str:
     rows = ", ".join(f"('{n}', ln({rr}::DOUBLE), (ln({hi}::DOUBLE) - ln({lo}::DOUBLE)) / 3.92)" for n, rr, lo, hi in H.CAUSES)
@@ -326,16 +297,11 @@ def point_attributes(spark, d):
     return zonal.point_attributes(own, "zone", "id", ["use"])
 
 
-@query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, q AS (SELECT id, x, y FROM points WHERE id % 50 = 3), s AS (SELECT q.id, e.zone, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, * EXCLUDE (id, zone) FROM q JOIN edges e ON true),
+@query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, q AS (SELECT id, x, y FROM points), s AS (SELECT q.id, e.zone, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, * EXCLUDE (id, zone) FROM q JOIN edges e ON true),
 w AS (SELECT zone, id, min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) AS outline, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) AS n FROM s GROUP BY 1, 2),
 k AS (SELECT zone, id, CASE WHEN n % 2 = 1 THEN 0 ELSE outline END AS distance FROM w), f AS (SELECT zone, id, distance, rank() OVER (PARTITION BY zone ORDER BY distance) AS r FROM k WHERE distance <= 5)
 SELECT zone, id, round(distance, 6) AS distance, round(distance * 100)::INT AS cm FROM f WHERE r = 1""")
 def nearest_points(spark, d):
-    return _nearest_points(B.points(spark, d).where("id % 50 = 3"), B.zones(spark, d))
-
-
-@query(_whole("nearest_points", " WHERE id % 50 = 3"))
-def nearest_points_all(spark, d):
     return _nearest_points(B.points(spark, d), B.zones(spark, d))
 
 
@@ -344,18 +310,13 @@ def _nearest_points(p, z):
     return own.select("zone", "id", F.round("distance", 6).alias("distance"), classify.centimetres(F.col("distance")).alias("cm"))
 
 
-@query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, p AS (SELECT zone, count(*) AS n, min(id) AS first FROM point_zones WHERE id % 50 = 3 GROUP BY 1), q AS (SELECT id, x, y FROM points WHERE id % 50 = 3),
+@query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, p AS (SELECT zone, count(*) AS n, min(id) AS first FROM point_zones GROUP BY 1), q AS (SELECT id, x, y FROM points),
 s AS (SELECT q.id, e.zone, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, * EXCLUDE (id, zone) FROM q JOIN edges e ON true),
 w AS (SELECT zone, id, min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) AS outline, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) AS k FROM s GROUP BY 1, 2),
 z AS (SELECT zone, id, CASE WHEN k % 2 = 1 THEN 0 ELSE outline END AS distance FROM w), f AS (SELECT zone, count(*) AS n, min(id) AS first FROM (SELECT *, rank() OVER (PARTITION BY zone ORDER BY distance) AS r FROM z WHERE distance <= 5) WHERE r = 1 GROUP BY 1)
 SELECT c.zone, CASE WHEN p.n IS NULL AND f.n > 0 THEN f.n ELSE p.n END AS n, CASE WHEN p.n IS NULL AND f.n > 0 THEN f.first ELSE p.first END AS first, CASE WHEN p.n IS NULL AND f.n > 0 THEN 'nearest' WHEN p.n > 0 THEN 'pip' END AS method
 FROM corners c LEFT JOIN p USING (zone) LEFT JOIN f USING (zone)""")
 def nearest_fallback(spark, d):
-    return _nearest_fallback(B.points(spark, d).where("id % 50 = 3"), B.zones(spark, d))
-
-
-@query(_whole("nearest_fallback", " WHERE id % 50 = 3"))
-def nearest_fallback_all(spark, d):
     return _nearest_fallback(B.points(spark, d), B.zones(spark, d))
 
 
@@ -372,15 +333,30 @@ def _squares(spark, d):
     return p.withColumn("rings", F.array(ring))
 
 
-@query()
+def _clamped(t: str) -> str:
+    """The integral of a value kept between 0 and 1."""
+    return f"CASE WHEN {t} <= 0 THEN 0 WHEN {t} >= 1 THEN {t} - 0.5 ELSE {t} * {t} / 2 END"
+
+
+def _covered_sql(boxes: str, keys: str) -> str:
+    """Area of each box (left, top, wide, high; top is its upper y) in each zone: over its edges what lies right of them."""
+    return f"""e AS (SELECT {keys}, b.wide * b.high AS box, zone, (x1 - b.l) / b.wide AS u1, (b.t - y1) / b.high AS v1, (x2 - b.l) / b.wide AS u2, (b.t - y2) / b.high AS v2 FROM {boxes} b JOIN edges ON true),
+c AS (SELECT *, least(greatest(v1, 0), 1) AS va, least(greatest(v2, 0), 1) AS vb FROM e WHERE v1 <> v2),
+p AS (SELECT *, u1 + (va - v1) / (v2 - v1) * (u2 - u1) AS ua, u1 + (vb - v1) / (v2 - v1) * (u2 - u1) AS ub FROM c WHERE va <> vb),
+covered AS (SELECT {keys.replace("b.", "")}, zone, abs(sum((vb - va) * (1 - CASE WHEN abs(ub - ua) < 1e-12 THEN least(greatest(ua, 0), 1) ELSE (({_clamped("ub")}) - ({_clamped("ua")})) / (ub - ua) END))) AS share, any_value(box) AS box FROM p GROUP BY ALL)"""
+
+
+@query(f"""WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, b AS (SELECT id, use, x - 2 AS l, y + 2 AS t, 4.0::DOUBLE AS wide, 4.0::DOUBLE AS high FROM points), {_covered_sql("b", "b.id, b.use")}
+SELECT zone, use, count(*) AS n, round(sum(share * box), 6) AS m2, round(sum(share * box) / 1e4, 6) AS ha FROM covered WHERE share * box > 1e-9 GROUP BY 1, 2""")
 def overlay_area(spark, d):
     own = geometry.overlay_area(_squares(spark, d), B.zones(spark, d), "id", "zone").join(B.points(spark, d).select("id", "use"), "id")
     return rounded(own.groupBy("zone", "use").agg(F.count("*").alias("n"), F.sum("m2").alias("m2"), (F.sum("m2") / 1e4).alias("ha")))
 
 
-@query()
+@query(f"""WITH {B.CELLS}, {B.ZONES}, b AS (SELECT "row", col, t1, col::DOUBLE AS l, -"row"::DOUBLE AS t, 1.0::DOUBLE AS wide, 1.0::DOUBLE AS high FROM cells), {_covered_sql("b", 'b."row", b.col, b.t1')}
+SELECT zone, round(sum(t1 * share) / sum(share), 6) AS mean, round(sum(share), 6) AS cells FROM covered WHERE t1 IS NOT NULL AND share > 1e-9 GROUP BY 1""")
 def exact_zonal_mean(spark, d):
-    return rounded(zonal.weighted_mean(B.cells(spark, d), zonal.coverage(B.zones(spark, d), "zone", B.GRID, 4), "zone", "t1"))
+    return rounded(zonal.weighted_mean(B.cells(spark, d), zonal.coverage(B.zones(spark, d), "zone", B.GRID), "zone", "t1"))
 
 
 @query(f"""WITH {B.CELLS}, {B.ZONES} SELECT round(sum(a), 4) AS m2, round(sum(a) / 1e6, 4) AS km2 FROM (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edges GROUP BY 1)""")
@@ -524,14 +500,14 @@ _SCORED = _RANKED + ", s AS (SELECT *, (coalesce(p_m1, 0) + coalesce(p_m2, 0) +
 @query(f"WITH {B.UNITS}, {_SCORED} SELECT id, round(p_m1, 6) AS p_m1, round(p_m2, 6) AS p_m2, round(p_m3, 6) AS p_m3, round(score, 6) AS score, round(percent_rank() OVER (ORDER BY round(score, 9)), 6) AS score_pct, dense_rank() OVER (ORDER BY round(score, 9) DESC)::INT AS score_rank FROM s")
 def svi_percentile(spark, d):
     own = vulnerability.index(B.units(spark, d), "id", ["m1", "m2", "m3"]).withColumn("score", F.round("score", 9))
-    return rounded(own.withColumns({"score_pct": vulnerability.percent_rank("score"), "score_rank": vulnerability.dense_rank_desc("score")}))
+    return rounded(vulnerability.with_score_ranks(own))
 
 
 @query(f"WITH {B.UNITS}, {_SCORED}, a AS (SELECT area, round(avg(score), 9) AS score, count(*) AS units FROM s GROUP BY 1) SELECT area, round(score, 6) AS score, units, round(percent_rank() OVER (ORDER BY score), 6) AS score_pct, dense_rank() OVER (ORDER BY score DESC)::INT AS score_rank FROM a")
 def borough_svi(spark, d):
     u = B.units(spark, d)
     own = vulnerability.rolled_up(vulnerability.index(u, "id", ["m1", "m2", "m3"]), u, "id", "area").withColumn("score", F.round("score", 9))
-    return rounded(own.withColumns({"score_pct": vulnerability.percent_rank("score"), "score_rank": vulnerability.dense_rank_desc("score")}))
+    return rounded(vulnerability.with_score_ranks(own))
 
 
 @query(f"""WITH {B.UNITS}, b AS (SELECT list_sort(list_distinct(quantile_cont(m1, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS b1, list_sort(list_distinct(quantile_cont(m3, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS b3 FROM units),
@@ -545,7 +521,7 @@ def svi_quintile(spark, d):
 
 @query(f"WITH {B.UNITS} SELECT id, CASE WHEN m1 IS NOT NULL THEN ntile(5) OVER (PARTITION BY m1 IS NULL ORDER BY m1, id) END::INT AS bucket, coalesce(m2, 0) + coalesce(m3, 0) AS total FROM units")
 def equal_buckets(spark, d):
-    return B.units(spark, d).select("id", vulnerability.ntile("m1", 5, "id").alias("bucket"), vulnerability.row_sum(["m2", "m3"]).alias("total"))
+    return vulnerability.with_bucket(B.units(spark, d), "m1", 5, "id", "bucket").select("id", "bucket", vulnerability.row_sum(["m2", "m3"]).alias("total"))
 
 
 @query(f"WITH {B.UNITS} SELECT id, " + ", ".join(f"round(({m} - avg({m}) OVER ()) / stddev_samp({m}) OVER (), 6) AS z_{m}" for m in ("m1", "m2", "m4")) + " FROM units")
@@ -712,33 +688,18 @@ def lsoa_monthly(spark, d):
     return rounded(observations.monthly(B.observations(spark, d), "station", "ts", "temperature"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT o_custkey AS k, year(o_orderdate) || '_' || CASE WHEN month(o_orderdate) IN (3, 4, 5) THEN 'Spring' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer' WHEN month(o_orderdate) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END AS year_season, round(o_totalprice)::BIGINT AS v FROM orders WHERE o_orderkey % 3 = 1),
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderdate::DATE AS day FROM orders), s AS (SELECT o_custkey AS k, year(o_orderdate) || '_' || CASE WHEN month(o_orderdate) IN (3, 4, 5) THEN 'Spring' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer' WHEN month(o_orderdate) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END AS year_season, round(o_totalprice)::BIGINT AS v FROM orders),
 n AS (SELECT k, year_season, max(v) AS ndvi FROM s GROUP BY 1, 2), b AS (SELECT k, day, year(day) || '_' || CASE WHEN month(day) IN (3, 4, 5) THEN 'Spring' WHEN month(day) IN (6, 7, 8) THEN 'Summer' WHEN month(day) IN (9, 10, 11) THEN 'Fall' ELSE 'Winter' END AS year_season FROM a)
 SELECT k, year_season, day, ndvi FROM b JOIN n USING (k, year_season)""")
 def season_match(spark, d):
-    o = B.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.round("o_totalprice").cast("long").alias("v"))
-    ndvi = o.where("o_orderkey % 3 = 1").groupBy("k", dates.year_season(F.col("day")).alias("year_season")).agg(F.max("v").alias("ndvi"))
-    return observations.season_match(o.where("o_orderkey % 3 = 0").select("k", "day"), ndvi, "k", "day")
-
-
-@query(_whole("season_match", " WHERE o_orderkey % 3 = 0", " WHERE o_orderkey % 3 = 1"))
-def season_match_all(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.round("o_totalprice").cast("long").alias("v"))
     ndvi = o.groupBy("k", dates.year_season(F.col("day")).alias("year_season")).agg(F.max("v").alias("ndvi"))
     return observations.season_match(o.select("k", "day"), ndvi, "k", "day")
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT o_custkey AS k, o_orderdate::DATE AS s, o_orderdate::DATE + (200 + o_orderkey % 7)::INT AS e FROM orders WHERE o_orderkey % 3 = 1)
-SELECT k, day, start, stop, days FROM (SELECT e.k, day, i.s AS start, i.e AS stop, abs(datediff('day', i.s, day))::INT AS days, rank() OVER (PARTITION BY e.k, day ORDER BY abs(datediff('day', i.s, day))) AS r FROM e JOIN i ON e.k = i.k AND day BETWEEN i.s AND i.e) WHERE r = 1""")
-def interval_nearest(spark, d):
-    o = B.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"))
-    held = o.where("o_orderkey % 3 = 1").select("k", F.col("day").alias("start"), F.date_add("day", (200 + F.col("o_orderkey") % 7).cast("int")).alias("stop"))
-    return observations.interval_nearest(o.where("o_orderkey % 3 = 0").select("k", "day").distinct(), held, "k", "day", "start", "stop")
-
-
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE + (o_orderkey % 300)::INT AS day FROM orders), i AS (SELECT o_custkey AS k, o_orderdate::DATE AS s, o_orderdate::DATE + (200 + o_orderkey % 7)::INT AS e FROM orders)
 SELECT k, day, start, stop, days FROM (SELECT e.k, day, i.s AS start, i.e AS stop, abs(datediff('day', i.s, day))::INT AS days, rank() OVER (PARTITION BY e.k, day ORDER BY abs(datediff('day', i.s, day))) AS r FROM e JOIN i ON e.k = i.k AND day BETWEEN i.s AND i.e) WHERE r = 1""")
-def interval_nearest_all(spark, d):
+def interval_nearest(spark, d):
     """All orders in both roles; as events they come later, as each would be nearest to itself otherwise."""
     o = B.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"))
     held = o.select("k", F.col("day").alias("start"), F.date_add("day", (200 + F.col("o_orderkey") % 7).cast("int")).alias("stop"))
@@ -853,7 +814,7 @@ def match_counts(spark, d):
 
 @query("""SELECT c_custkey AS id, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) AS cdf FROM customer""")
 def balance_cdf(spark, d):
-    return rounded(B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), profile.cumulative_share("c_acctbal", ["c_nationkey"]).alias("cdf")))
+    return rounded(profile.cumulative_share(B.table(spark, d, "customer"), "c_acctbal", ["c_nationkey"], "cdf").select(F.col("c_custkey").alias("id"), "cdf"))
 
 
 @query("""WITH d AS (SELECT p_type AS value, (dense_rank() OVER (ORDER BY p_type) - 1)::INT AS code FROM (SELECT DISTINCT p_type FROM part)) SELECT code AS p_type_code, count(*) AS n, sum(p_size)::BIGINT AS size FROM part JOIN d ON value = p_type GROUP BY 1""")
@@ -869,13 +830,8 @@ def complete_type_grid(spark, d):
     return rounded(scenario.completed(n, ["area", "type"], {"n": 0}).withColumn("pct", vulnerability.share_of_group("n", ["area"])))
 
 
-@query("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0""")
+@query("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
 def common_nations(spark, d):
-    return profile.set_operation(B.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), B.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k")), "intersect")
-
-
-@query(_whole("common_nations", " WHERE s_suppkey % 2 = 0"))
-def common_nations_all(spark, d):
     return profile.set_operation(B.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), B.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "intersect")
 
 
@@ -930,3 +886,6 @@ def csv_files_tagged(spark, d):
     o.write.partitionBy("status", "level").option("header", True).csv(folder)
     rows = readers.csv_files(spark, folder, "key long", {"status": (r"status=(\w)", 1), "level": (r"level=(\w)", 1)}, "*.csv", by_path=True)
     return rows.groupBy("status", "level").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+from heatgrid.plans import source_queries  # noqa: E402, F401  (adds its queries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,14 @@ def csv_files(spark: SparkSession, pattern: str, schema: str, tags: dict[str, tu
     return rows.withColumns({t: F.nullif(F.regexp_extract("file", form, group), F.lit("")) for t, (form, group) in (tags or {}).items()})
 
 
+def find_files(spark: SparkSession, folder: str, glob: str = "*", any_of: list[str] | None = None, none_of: list[str] | None = None) -> DataFrame:
+    """(path, length) of the files below a folder whose names match, by tokens of their paths (S8); contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", "length")
+    has = lambda tokens: reduce(lambda a, b: a | b, [F.contains("path", F.lit(t)) for t in tokens])
+    files = files.where(has(any_of)) if any_of else files
+    return files.where(~has(none_of)) if none_of else files
+
+
 def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Tab-separated values with a header; names in lower case, all text unless a schema is given."""
     reader = spark.read.option("sep", "\t").option("header", True)
@@ -29,12 +39,15 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 
 def csv_after_preamble(spark: SparkSession, path: str, columns: dict[str, str], skip: int) -> DataFrame:
-    """CSV files whose first `skip` lines (and a header line) say something else; values that do not parse are null."""
-    # line numbers are of the file, so a file (a station's year) is one row first
-    lines = F.split("value", r"\r?\n")
-    whole = spark.read.text(path, wholetext=True).select(F.slice(lines, F.lit(skip + 2), F.greatest(F.size(lines) - skip - 1, F.lit(0))).alias("lines"))
-    body = whole.select(F.explode("lines").alias("line")).where("line <> ''")
-    fields = F.from_csv("line", ", ".join(f"`{c}` string" for c in columns))
+    """CSV files whose first `skip` lines (and a header line) say something else; values that do not parse are null.
+
+    Files are split as any text is: lines are numbered in the split that starts a file, which holds its preamble.
+    """
+    place = {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start")}
+    lines = spark.read.text(path).select("value", *[c.alias(k) for k, c in place.items()]).withColumn("__i", F.monotonically_increasing_id())
+    firsts = lines.where("__at = 0").groupBy("__file").agg(F.min("__i").alias("__first"))  # a row a file
+    body = lines.join(firsts, "__file").where((F.col("__at") > 0) | (F.col("__i") - F.col("__first") > skip)).where("trim(value) <> ''")
+    fields = F.from_csv("value", ", ".join(f"`{c}` string" for c in columns))
     return body.select(fields.alias("f")).select(*[F.col(f"f.{c}").try_cast(t).alias(c) for c, t in columns.items()])
 
 

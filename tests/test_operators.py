@@ -3,11 +3,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatgrid.functions import classify, climate, dates, health, text
-from heatgrid.operators import geometry, grid, landcover, observations, profile, scenario, stats, trees, vulnerability, zonal
+from heatgrid.operators import geometry, grid, landcover, observations, order, profile, scenario, stats, trees, vulnerability, zonal
 from heatgrid.operators import health as deaths
 from heatgrid.operators.grid import Grid
 from heatgrid.plans import queries
@@ -202,6 +204,54 @@ def test_areas_overlay_and_coverage(spark):
     assert tuple(zone.select(cx, cy).first()) == (2.5, 2.5)
     part = shapes(spark, [("p", ring((0, 0), (2.5, 0), (2.5, 1), (0, 1)))])
     assert {(r.row, r.col): r.coverage for r in zonal.coverage(part, "id", G).collect()} == {(9, 0): 1.0, (9, 1): 1.0, (9, 2): 0.5}
+    cells = spark.createDataFrame([(9, 0, 0.0), (9, 1, 100.0)], "row int, col int, v double")
+    thin = shapes(spark, [("t", ring((0, 0), (1.1, 0), (1.1, 1), (0, 1)))])
+    assert zonal.weighted_mean(cells, zonal.coverage(thin, "id", G), "id", "v").first()["mean"] == pytest.approx(100 * 0.1 / 1.1)
+
+
+def shared_area(a, b, n=400):
+    """By strips: in each the crossings of both outlines are paired (even-odd), the overlap of the pairs is exact at its middle."""
+    def spans(rings, x):
+        ys = []
+        for r in rings:
+            for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1], strict=True):
+                if (x1 > x) != (x2 > x):
+                    ys.append(y1 + (x - x1) / (x2 - x1) * (y2 - y1))
+        ys.sort()
+        return list(zip(ys[::2], ys[1::2], strict=True))
+
+    xs = [x for r in a for x, _ in r]
+    low, step = min(xs), (max(xs) - min(xs)) / n
+    return sum(max(0.0, min(q, s) - max(p, r)) for i in range(n) for p, q in spans(a, low + (i + 0.5) * step) for r, s in spans(b, low + (i + 0.5) * step)) * step
+
+
+ODD_SHAPES = {
+    "concave": [[(0, 0), (4, 0), (4, 3), (3, 3), (3, 1), (1, 1), (1, 3), (0, 3)]],
+    "clockwise": [[(1, 1), (1, 5), (5, 5), (5, 1)]],
+    "holed": [[(0.5, 0.5), (8.5, 0.7), (8.2, 8.9), (0.3, 8.1)], [(2, 2), (6, 2.5), (5, 6), (2.2, 5.5)]],
+    "hole turned": [[(0.5, 0.5), (0.3, 8.1), (8.2, 8.9), (8.5, 0.7)], [(2, 2), (6, 2.5), (5, 6), (2.2, 5.5)]],
+    "star": [[(5, 9.3), (4, 6), (0.7, 6), (3.3, 4), (2.2, 0.6), (5, 2.7), (7.8, 0.6), (6.7, 4), (9.3, 6), (6, 6)]],
+    "far": [[(20, 20), (21, 20), (21, 21)]],
+}
+
+
+def test_overlay_and_coverage_of_odd_shapes(spark):
+    frame = shapes(spark, [(k, [ring(*r)[0] for r in rings]) for k, rings in ODD_SHAPES.items()])
+    both = {(r.id, r.f): r.m2 for r in geometry.overlay_area(frame, frame.withColumnRenamed("id", "f"), "id", "f", 2.0).collect()}
+    for a, ra in ODD_SHAPES.items():
+        for b, rb in ODD_SHAPES.items():
+            assert both.get((a, b), 0.0) == pytest.approx(shared_area(ra, rb), abs=0.05), (a, b)
+    area = {r.id: r.a for r in frame.select("id", geometry.polygon_area(F.col("rings")).alias("a")).collect()}
+    assert all(both[k, k] == pytest.approx(area[k]) for k in ODD_SHAPES)
+    covered = zonal.coverage(frame, "id", G).collect()
+    for k, rings in ODD_SHAPES.items():
+        own = {(r.row, r.col): r.coverage for r in covered if r.id == k}
+        for row in range(10):
+            for col in range(10):
+                cell = [[(col, 9 - row), (col + 1, 9 - row), (col + 1, 10 - row), (col, 10 - row)]]
+                assert own.get((row, col), 0.0) == pytest.approx(shared_area(cell, rings), abs=0.01), (k, row, col)
+    edge = shapes(spark, [("over", ring((-3, -2), (2.5, -2), (2.5, 12), (-3, 12)))])
+    assert {(r.row, r.col): r.coverage for r in zonal.coverage(edge, "id", G).collect()} == {(r, c): 1.0 if c < 2 else 0.5 for r in range(10) for c in range(3)}
 
 
 def test_national_grid(spark):
@@ -241,10 +291,40 @@ def test_changes_are_by_key(spark):
 
 def test_ranks_skip_nulls(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, None), (5, 9.0)], "id int, m double")
-    got = {r.id: (r.p, r.d) for r in df.select("id", vulnerability.percent_rank("m").alias("p"), vulnerability.dense_rank_desc("m").alias("d")).collect()}
+    got = {r.id: (r.p, r.d) for r in order.with_ranks(df, "m", percent="p", dense_desc="d").collect()}
     assert got[4] == (None, None) and got[5] == (1.0, 1) and got[3] == (pytest.approx(1 / 3), 2)
 
 
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+def test_order_statistics_against_windows(spark, by):
+    """Many ranges, ties, nulls and a null group; as windows over whole groups and exact percentiles give them."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("h"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(400)).cast("double")).alias("m")).repartition(6)
+    keyed = lambda rows: {(tuple(r[c] for c in by), r.id if "id" in r else None): r for r in rows}
+    w = lambda *o: Window.partitionBy(*by, F.col("m").isNull()).orderBy(*o)
+    want = keyed(df.withColumns({"p": F.when(F.col("m").isNotNull(), F.percent_rank().over(w("m"))), "d": F.when(F.col("m").isNotNull(), F.dense_rank().over(w(F.desc("m")))), "k": F.row_number().over(Window.partitionBy(*by).orderBy("m", "id"))}).collect())
+    got = keyed(order.with_places(order.with_ranks(df, "m", by, "p", "d"), ["m", "id"], by, "k").collect())
+    assert len(got) == 3000 and all((r.d, r.k) == (want[i].d, want[i].k) and r.p == (want[i].p and pytest.approx(want[i].p)) for i, r in got.items())
+    shares = {"a": 0.0, "b": 0.025, "c": 1 / 3, "d": 0.5, "e": 0.999, "f": 1.0}
+    exact = keyed(df.groupBy(*by).agg(*[F.percentile("m", p).alias(k) for k, p in shares.items()]).collect())
+    found = keyed(order.quantiles(df, "m", shares, by).collect())
+    assert set(found) == set(exact) and all(found[i][k] == pytest.approx(exact[i][k]) for i in exact for k in shares)
+
+
+def test_order_of_few_rows(spark):
+    none = spark.createDataFrame([], "id int, g int, m double")
+    assert order.with_ranks(none, "m", ["g"], "p").count() == 0 and order.quantiles(none, "m", {"a": 0.5}).first() is None or order.quantiles(none, "m", {"a": 0.5}).first().a is None
+    one_ = spark.createDataFrame([(1, 1, 4.0), (2, 2, None)], none.schema)
+    assert sorted((r.g, r.a) for r in order.quantiles(one_, "m", {"a": 0.3}, ["g"]).collect()) == [(1, 4.0), (2, None)]
+    assert {r.id: r.b for r in vulnerability.with_bucket(one_, "m", 5, "id", "b").collect()} == {1: 1, 2: None}
+
+
+def test_buckets_are_those_of_ntile(spark):
+    for rows, n in ((23, 5), (3, 5), (10, 5)):
+        df = spark.range(rows).select("id", (F.col("id") % 4).cast("double").alias("m"))
+        want = {r.id: r.b for r in df.select("id", F.ntile(n).over(Window.orderBy("m", "id")).alias("b")).collect()}
+        assert {r.id: r.b for r in vulnerability.with_bucket(df, "m", n, "id", "b").collect()} == want
+
+
 def test_quintiles(spark):
     df = spark.createDataFrame([(float(x),) for x in range(11)], "m double")
     got = {r.m: r.q for r in vulnerability.quantile_bin(df, "m", 5, "q").collect()}
@@ -387,9 +467,38 @@ def test_nearest_within_agrees_with_brute_force(spark):
 
 
 def test_whole_tables_are_registered(spark, sf_dir):
-    """Points and orders that the filters of the smaller queries leave out come in."""
-    assert queries.nearest_points_all(spark, sf_dir).where("id % 50 <> 3").count()
-    assert queries.nearest_fallback_all(spark, sf_dir).agg({"n": "sum"}).first()[0] > 50
-    assert queries.season_match_all(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    assert queries.interval_nearest_all(spark, sf_dir).where("days > 0").count()
-    assert queries.common_nations_all(spark, sf_dir).count() >= queries.common_nations(spark, sf_dir).count()
+    """All points and orders come in."""
+    assert queries.nearest_points(spark, sf_dir).where("id % 50 <> 3").count()
+    assert queries.nearest_fallback(spark, sf_dir).agg({"n": "sum"}).first()[0] > 50
+    assert queries.season_match(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert queries.interval_nearest(spark, sf_dir).where("days > 0").count()
+
+
+def tail(density, x, top=400.0, n=2_000_000):
+    """By Simpson's rule over u = t / (1 + t)."""
+    a, b = x / (1 + x), 1 - 1e-9
+    u = np.linspace(a, b, n + 1)
+    y = density(u / (1 - u)) / (1 - u) ** 2
+    return float((y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (b - a) / n / 3)
+
+
+def test_tails_against_integrals(spark):
+    lg = math.lgamma
+    t = lambda v: lambda x: np.exp(lg((v + 1) / 2) - lg(v / 2)) / np.sqrt(v * np.pi) * (1 + x * x / v) ** (-(v + 1) / 2)
+    chi2 = lambda k: lambda x: np.exp((k / 2 - 1) * np.log(np.maximum(x, 1e-300)) - x / 2 - lg(k / 2) - k / 2 * np.log(2))
+    f = lambda a, b: lambda x: np.exp(lg((a + b) / 2) - lg(a / 2) - lg(b / 2) + a / 2 * np.log(a / b) + (a / 2 - 1) * np.log(np.maximum(x, 1e-300)) - (a + b) / 2 * np.log1p(a / b * x))
+    r = one(spark, t=stats.t_p_value(F.lit(2.1), F.lit(7.0)), c=stats.chi2_p_value(F.lit(9.3), F.lit(4.0)), f=stats.f_p_value(F.lit(3.3), F.lit(3.0), F.lit(20.0)), q=stats.t_quantile(F.lit(0.975), F.lit(10.0)), z=stats.z_p_value(F.lit(1.959963984540054)))
+    assert r.t == pytest.approx(2 * tail(t(7), 2.1), rel=1e-6) and r.c == pytest.approx(tail(chi2(4), 9.3), rel=1e-6) and r.f == pytest.approx(tail(f(3, 20), 3.3), rel=1e-6)
+    assert r.q == pytest.approx(2.228138852, abs=1e-8) and r.z == pytest.approx(0.05, abs=1e-12)
+
+
+def test_preambles_of_files_in_several_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("junk\nx\n\nid,v\n" + "".join(f"{i},{i}.5\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = readers.csv_after_preamble(spark, str(tmp_path), {"id": "int", "v": "double"}, 3)
+        assert rows.rdd.getNumPartitions() > 2 and sorted(r.id for r in rows.collect()) == sorted(2 * list(range(2000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
