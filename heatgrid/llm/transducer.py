@@ -36,8 +36,7 @@ from heatgrid.llm.common import table, without
 
 SPACE = "▁"
 UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
-CACHED = 400_000  # words, cuts and weights of a worker, about 200 bytes each; when full it starts over
-_CODES = 0x110000
+CACHED = 800_000  # words, cuts and weights in all that a worker keeps, about 250 bytes each; what comes later is computed again
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -68,25 +67,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Tree:
-    """States with an arc a character: 0 is the start, `arcs` leads on, `final` has the output of states where a string ends."""
+    """States, each with an arc a character to the next one; under None the output of a state where a string ends."""
 
     def __init__(self, strings: dict):
-        self.arcs: dict[int, int] = {}
-        self.final: dict[int, object] = {}
+        self.start: dict = {}
         for string, output in strings.items():
-            state = 0
+            state = self.start
             for c in string:
-                state = self.arcs.setdefault(state * _CODES + ord(c), len(self.arcs) + 1)
-            self.final[state] = output
+                state = state.setdefault(c, {})
+            state[None] = output
 
     def walk(self, text: str, at: int) -> Iterator[tuple[int, object]]:
-        """(place after, output) of every string that the text has from a place on; the output is None where none ends."""
-        state, arcs, final = 0, self.arcs, self.final
+        """(place after, output) of every string of the tree that the text has from a place on."""
+        state = self.start
         for j in range(at, len(text)):
-            state = arcs.get(state * _CODES + ord(text[j]))
+            state = state.get(text[j])
             if state is None:
                 return
-            yield j + 1, final.get(state)
+            if None in state:
+                yield j + 1, state[None]
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -149,9 +148,9 @@ class Transducer:
         self.first = re.compile(f"[{firsts}]") if firsts else None
         self.tree = Tree(self.ids)
         self.fits: dict[str, dict[str, float]] = {}
-        self.n_fits = self.n_composed = 0
         self.words: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
+        self.n_kept = self.n_composed = 0  # in all three
 
     # ---- compiled parts
 
@@ -200,19 +199,15 @@ class Transducer:
         """Of an arc with `piece` from a state whose last piece is `last`."""
         if self.kind != BPE:
             return -self.score[self.ids[piece]] if piece in self.ids else -self.low
-        row = self.fits.setdefault(last, {})
-        found = row.get(piece)
+        row = self.fits.get(last)
+        found = row.get(piece) if row else None
         if found is None:
             found = 0.0 if not last or self.merged(last + piece) == [last, piece] else inf
-            self.n_fits += 1
-            row[piece] = found
+            if self.n_kept < CACHED:
+                self.n_kept += 1
+                self.fits.setdefault(last, {})[piece] = found
         return found
 
-    def room(self) -> None:
-        """Start over when the caches are full."""
-        if len(self.words) + len(self.kept) + self.n_fits > CACHED:
-            self.words, self.kept, self.fits, self.n_fits, self.n_composed = {}, {}, {}, 0, 0
-
     # ---- composition and shortest path
 
     def shortest(self, text: str) -> list[str]:
@@ -220,25 +215,27 @@ class Transducer:
 
         From each place the arcs of the pieces' tree are followed, so that none is looked for in vain.
         """
-        n, weight, bpe, single = len(text), self.weight, self.kind == BPE, self.kind == CHAR
+        n, weight, bpe, kind, start = len(text), self.weight, self.kind == BPE, self.kind, self.tree.start
+        fits = self.fits
         dist, last, back = [0.0] + [inf] * n, [""] * (n + 1), [0] * (n + 1)
-
-        def arc(i: int, j: int) -> None:
-            # in a BPE model the first path of finite weight to a place is the only one
-            if not (bpe and dist[j] < inf):
-                piece = text[i:j]
-                d = dist[i] + weight(last[i], piece)
-                if d < dist[j]:
-                    dist[j], last[j], back[j] = d, piece, i
-
         for i in range(n):
-            if dist[i] == inf:
+            here = dist[i]
+            if here == inf:
                 continue
-            if self.kind != WORD:
-                arc(i, i + 1)  # a piece, or the fallback's arc
-            for j, output in self.tree.walk(text, i):
-                if output is not None and j > i + 1 and not single and (self.kind != WORD or j == n):
-                    arc(i, j)
+            before, state, j = last[i], start, i
+            known = fits.get(before) or {}  # weights of arcs after the piece that ends here
+            while j < n and state is not None:
+                state = state.get(text[j])
+                j += 1
+                # a piece ends here, or a single character has the fallback's arc; character and word models have those alone
+                if (j == i + 1 and kind != WORD) or (state is not None and None in state and kind != CHAR and (kind != WORD or j == n)):
+                    # in a BPE model the first path of finite weight to a place is the only one
+                    if not bpe or dist[j] == inf:
+                        piece = text[i:j]
+                        w = known.get(piece)
+                        d = here + (weight(before, piece) if w is None else w)
+                        if d < dist[j]:
+                            dist[j], last[j], back[j] = d, piece, i
         if dist[n] == inf:
             return [text]  # a word that is no piece
         out, j = [], n
@@ -266,7 +263,8 @@ class Transducer:
         own = self.kept.get(cut)
         if own is None:
             own = self.cut_ids(cut)
-            if len(cut) <= 64:
+            if len(cut) <= 64 and self.n_kept < CACHED:
+                self.n_kept += 1
                 self.kept[cut] = own
         return own
 
@@ -286,14 +284,14 @@ class Transducer:
                 own = b"".join([self.word(first[1:]) if len(first) > 1 else self.cut(first), *map(self.cut, rest)])
             else:
                 own = self.cut_ids(first)
-        if len(word) <= 64 and (not cut or self.n_composed < CACHED // 4):
+        if len(word) <= 64 and self.n_kept < CACHED and (not cut or self.n_composed < CACHED // 6):
+            self.n_kept += 1
             self.n_composed += cut
             self.words[word] = own
         return own
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        self.room()
         words = text.split(" ")
         plain = self.kind in (UNIGRAM, BPE) and not (self.sticky or self.squeeze or not self.lead or "" in words or SPACE in text)
         if not plain or not text or (self.first and self.first.search(text)):
