@@ -59,6 +59,8 @@ TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr thead tb
 #: Closed by a sibling of its kind, up to the element that holds such siblings.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
+#: A tag without `<` in it whose quotes close, as most are; others are taken apart by _Tags.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)((?:[^<>\"']|\"[^<>\"]*\"|'[^<>']*')*)>")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -108,6 +110,8 @@ class _Tags:
         """(start, end, slash, name, attributes) of the first tag from `at` on; comments and the like have no name."""
         html = self.html
         while (start := html.find("<", at)) >= 0:
+            if m := _TAG.match(html, start):
+                return start, m.end(), m[1], m[2].lower(), m[3]
             if html.startswith("<!--", start):
                 end = html.find("-->", start + 4)
                 return start, len(html) if end < 0 else end + 3, "", "", ""
@@ -179,7 +183,8 @@ def parse(html: str | None) -> Node:
         if slash:
             opened.end(tag)
             continue
-        opened.begin(tag)
+        if tag in CLOSES_P or tag in SIBLINGS:
+            opened.begin(tag)
         node = Node(tag, attributes)
         stack[-1].kids.append(node)
         if node.main:
