@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from heatgrid.sources.sinks import parquet, scratch
 
 
-def running(df: DataFrame, order: list[str], by: list[str] | None = None, weight: str | None = None, out: str = "before") -> DataFrame:
-    """Add the sum of `weight` (1 where none is named) over the rows of the same `by` that come earlier in `order`.
+def running(df: DataFrame, order: list[str], by: list[str] | None = None, weight: str | None = None, out: str = "before", rows: str | None = None) -> DataFrame:
+    """Add the sum of `weight` (1 where none is named) over the rows of the same `by` that come earlier in `order`, and their number.
 
     by and order tell rows apart; rows they do not tell apart come in any order. Nulls come first, as a group too. Ranges
     are written once in the shared folder, so that all that follows sees the same ones.
@@ -24,20 +24,22 @@ def running(df: DataFrame, order: list[str], by: list[str] | None = None, weight
     w = F.col(weight) if weight else F.lit(1)
     inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # a row a range, and one more for each group that ends in it
-    sums = own.groupBy(*by, "__range").agg(F.sum(w).alias("__sum"))
+    sums = own.groupBy(*by, "__range").agg(F.sum(w).alias("__sum"), F.count("*").alias("__rows"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.col("__range").alias("__in"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    sums = sums.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.col("__range").alias("__in"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"), F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__first"))
     on = F.col("__range") == F.col("__in")
     for i, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"__{i}"))
-    placed = own.withColumn("__here", F.coalesce(F.sum(w).over(inside), F.lit(0))).join(sums, on)
-    return placed.withColumn(out, F.col("__start") + F.col("__here")).select(*df.columns, out)
+    placed = own.withColumns({"__here": F.coalesce(F.sum(w).over(inside), F.lit(0)), "__nth": F.count(F.lit(1)).over(inside)}).join(sums, on)
+    placed = placed.withColumn(out, F.col("__start") + F.col("__here"))
+    placed = placed.withColumn(rows, F.col("__first") + F.col("__nth")) if rows else placed
+    return placed.select(*df.columns, out, *([rows] if rows else []))
 
 
 def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, n, before): the different known values of each group, how often they come, and how many rows have smaller ones."""
+    """(by, value, n, before, smaller): the different known values of each group, how often they come, how many rows and how many values are smaller."""
     by = by or []
-    return running(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), [value], by, "n")
+    return running(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), [value], by, "n", rows="smaller")
 
 
 def _totals(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -55,7 +57,18 @@ def _with_totals(counts: DataFrame, by: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7) of each group; null for groups without a known value."""
     by = by or []
-    own = _with_totals(counted(df, value, by), by)
+    found = quantiles_of(counted(df, value, by), value, shares, by)
+    if not by:
+        return found
+    groups = df.select(*by).distinct().select(*[F.col(c).alias(f"__g_{c}") for c in by])
+    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
+    return groups.join(found, on, "left").select(*[F.col(f"__g_{c}").alias(c) for c in by], *shares)
+
+
+def quantiles_of(counts: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """The quantiles of what was counted."""
+    by = by or []
+    own = _with_totals(counts, by)
     aggs, at = [], {}
     for k, p in shares.items():
         h = (F.col("__total") - 1) * F.lit(float(p))
@@ -64,28 +77,20 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
         aggs += [F.max(F.when(F.col("before") <= F.floor(h), F.col(value))).alias(f"__lo_{k}"), F.max(F.when(F.col("before") <= F.ceil(h), F.col(value))).alias(f"__hi_{k}")]
     found = own.groupBy(*by).agg(F.max("__total").alias("__total"), *aggs)
     out = [(F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * (h - F.floor(h))).alias(k) for k, h in at.items()]
-    found = found.select(*by, *out)
-    if not by:
-        return found
-    groups = df.select(*by).distinct().select(*[F.col(c).alias(f"__g_{c}") for c in by])
-    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
-    joined = groups.join(found, on, "left")
-    return joined.select(*[F.col(f"__g_{c}").alias(c) for c in by], *shares)
+    return found.select(*by, *out)
 
 
-def ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, percent_rank, dense_rank_desc) of the different known values of each group."""
-    by = by or []
-    own = running(counted(df, value, by), [value], by, None, "place")
-    own = _with_totals(own, by)
+def ranks_of(counts: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, percent_rank, dense_rank_desc) of what was counted."""
+    own = _with_totals(counts, by or [])
     pct = F.when(F.col("__total") > 1, F.col("before") / (F.col("__total") - 1)).otherwise(0.0)
-    return own.select(*by, value, pct.alias("percent_rank"), (F.col("__different") - F.col("place")).cast("int").alias("dense_rank_desc"))
+    return own.select(*(by or []), value, pct.alias("percent_rank"), (F.col("__different") - F.col("smaller")).cast("int").alias("dense_rank_desc"))
 
 
-def with_ranks(df: DataFrame, value: str, by: list[str] | None = None, percent: str | None = None, dense_desc: str | None = None) -> DataFrame:
+def with_ranks(df: DataFrame, value: str, by: list[str] | None = None, percent: str | None = None, dense_desc: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Add percent ranks and ranks from the top (1, 2 ... without gaps) of the known values; null ones have none."""
     by = by or []
-    own = ranks(df, value, by).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__value"), F.col("percent_rank").alias("__percent"), F.col("dense_rank_desc").alias("__dense"))
+    own = ranks_of(counts or counted(df, value, by), value, by).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__value"), F.col("percent_rank").alias("__percent"), F.col("dense_rank_desc").alias("__dense"))
     on = F.col(value) == F.col("__value")
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"__r_{c}"))

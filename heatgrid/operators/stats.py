@@ -141,7 +141,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Different values with their count and average rank, within `by`; no row of the table goes through the ranking."""
     n = order.counted(df, value, by).withColumnRenamed("n", "ties")
-    return n.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
+    return n.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before", "smaller")
 
 
 def _rank_sums(df: DataFrame, group: str, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -45,25 +45,19 @@ def row_sum(columns: list[str]) -> Column:
     return F.aggregate(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
 
 
-def breaks(df: DataFrame, value: str, n: int) -> DataFrame:
-    """One row: the different breaks of n bins at type-7 quantiles."""
-    found = order.quantiles(df, value, {f"b{i}": i / n for i in range(n + 1)})
-    return found.select(F.array_sort(F.array_distinct(F.array(*found.columns))).alias(f"__breaks_{value}"))
-
-
 def quantile_bin(df: DataFrame, value: str, n: int, out: str, rank_fallback: bool = True) -> DataFrame:
-    """Add the bin 1..n of a value: right-closed, the least value in the first.
+    """Add the bin 1..n of a value: right-closed, the least value in the first; bins end at type-7 quantiles.
 
     Where breaks coincide: bins of percent ranks (rank_fallback), else as many bins as there are gaps.
     """
-    edges = F.col(f"__breaks_{value}")
-    bin_ = F.greatest(F.size(F.filter(edges, lambda b: b < F.col(value))), F.lit(1))
-    binned = df.crossJoin(F.broadcast(breaks(df, value, n)))  # one row
-    if rank_fallback:
-        binned = with_percent_rank(binned, value, "__pct")
-        by_rank = F.greatest(F.ceil(F.round(F.col("__pct") * n, 9)), F.lit(1)).cast("int")
-        bin_ = F.when(F.size(edges) < n + 1, by_rank).otherwise(bin_)
-    return binned.withColumn(out, F.when(F.col(value).isNotNull(), bin_)).drop(f"__breaks_{value}", "__pct")
+    counts = order.counted(df, value)
+    row = order.quantiles_of(counts, value, {f"b{i}": i / n for i in range(n + 1)}).first()  # n + 1 numbers
+    edges = sorted({b for b in row or () if b is not None})
+    bin_ = F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b < F.col(value))) if edges else F.lit(0), F.lit(1))
+    if rank_fallback and len(edges) < n + 1:
+        df = order.with_ranks(df, value, percent="__pct", counts=counts)
+        bin_ = F.greatest(F.ceil(F.round(F.col("__pct") * n, 9)), F.lit(1)).cast("int")
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), bin_)).drop("__pct")
 
 
 def index(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:

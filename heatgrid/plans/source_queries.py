@@ -190,7 +190,7 @@ def features_in_extent(spark, d):
 _MODELS, _PATHS = ["UKESM1-0-LL", "MRI-ESM2", "CNRM"], ["ssp245_2041-2060", "historical_1981-2010", "ssp585"]
 
 
-@query("""WITH f AS (SELECT 'tas_' || (['UKESM1-0-LL', 'MRI-ESM2', 'CNRM'])[1 + (p_partkey % 3)::INT] || '_' || (['ssp245_2041-2060', 'historical_1981-2010', 'ssp585'])[1 + p_size % 3] || '.csv' AS name,
+@query(r"""WITH f AS (SELECT 'tas_' || (['UKESM1-0-LL', 'MRI-ESM2', 'CNRM'])[1 + (p_partkey % 3)::INT] || '_' || (['ssp245_2041-2060', 'historical_1981-2010', 'ssp585'])[1 + p_size % 3] || '.csv' AS name,
   CASE WHEN p_size % 4 = 0 THEN 'stats.csv' ELSE '/x/scenario' || (p_size % 4) || (CASE WHEN p_partkey % 2 = 0 THEN '_10prc' ELSE '' END) || '_zonal_stats_mean.csv' END AS file FROM part)
 SELECT nullif(regexp_extract(name, '_([A-Za-z0-9-]+)_(ssp\d+|historical)_(\d{4}-\d{4})', 1), '') AS model, nullif(regexp_extract(name, '_([A-Za-z0-9-]+)_(ssp\d+|historical)_(\d{4}-\d{4})', 2), '') AS pathway,
   nullif(regexp_extract(name, '_([A-Za-z0-9-]+)_(ssp\d+|historical)_(\d{4}-\d{4})', 3), '') AS period, coalesce(nullif(regexp_extract(file, '(scenario\d*(?:_[A-Za-z0-9]+)*)_zonal_stats_[^/]+\.csv$', 1), ''), 'scenario') AS scenario, count(*) AS n FROM f GROUP BY 1, 2, 3, 4""")
