@@ -872,7 +872,8 @@ def trees_with_risk(spark, d):
     return trees.with_risk(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("taxon")), risk, "taxon")
 
 
-@query()
+@query(f"""WITH {B.POINTS.split(', point_zones')[0].rstrip().removesuffix(',')}, g AS (SELECT unnest(range(0, 100)) AS col), h AS (SELECT unnest(range(0, 100)) AS "row")
+SELECT "row"::INT AS "row", count(*) AS n, count(DISTINCT col) AS cols FROM points p JOIN g ON col BETWEEN floor(x - 2) AND floor(x + 2) JOIN h ON "row" BETWEEN floor(-(y + 2)) AND floor(-(y - 2)) GROUP BY 1""")
 def touched_cells(spark, d):
     own = geometry.cells_touched(_squares(spark, d), "id", Grid(0.0, 0.0, 1.0, 1.0, 100, 100))
     return own.groupBy("row").agg(F.count("*").alias("n"), F.count_distinct("col").alias("cols"))
