@@ -7,7 +7,9 @@ Three machines are compiled from a model file, each a tree of states with an arc
  the byte fallback: any other character to its UTF-8 bytes, or to the unknown id.
 An input is a machine with a place before and after each character. Composed with the normaliser it gives one path, the
 normalised text; that composed with the closure of the pieces and the fallback gives a lattice whose states are places
-and whose arcs are pieces; its shortest path is the encoding.
+and whose arcs are pieces; its shortest path is the encoding. The normaliser has exactly one output for an input, and
+composition is associative: so the lattice of that output is the composition of all of them, and no state of the
+normaliser has to be carried along.
 
  unigram model: an arc weighs minus the piece's score.
  BPE model: a state is a place and the piece that ends there; an arc weighs 0 if the two pieces beside each other are
@@ -271,22 +273,28 @@ class Transducer:
     def word(self, word: str) -> bytes:
         """Ids of a word with a space before it, where it may be cut before that space and after it.
 
-        What follows a cut is looked up apart, so that a word is kept once; with punctuation only a part is kept.
+        What follows a cut is looked up apart, so that a word is kept once; with punctuation only a part is kept. A word
+        of any length is cut in one pass.
         """
         own = self.words.get(word)
         if own is not None:
             return own
-        if cut := len(word) > 1 and word[-2:] not in self.pairs:
-            own = self.word(word[:-1]) + self.cut(word[-1])
-        else:
-            first, *rest = self.cuts(SPACE + word)
-            if cut := bool(rest):
-                own = b"".join([self.word(first[1:]) if len(first) > 1 else self.cut(first), *map(self.cut, rest)])
-            else:
-                own = self.cut_ids(first)
-        if len(word) <= 64 and self.n_kept < CACHED and (not cut or self.n_composed < CACHED // 6):
+        if len(word) > 1 and word[-2:] not in self.pairs and (own := self.words.get(word[:-1])) is not None:
+            own += self.cut(word[-1])
+            return self.keep(word, own, True)
+        first, *rest = self.cuts(SPACE + word)
+        if not rest:
+            return self.keep(word, self.cut_ids(first), False)
+        head = first[1:]
+        own = self.words.get(head) if head else self.cut(first)
+        if own is None:
+            own = self.keep(head, self.cut_ids(first), False)
+        return self.keep(word, b"".join([own, *map(self.cut, rest)]), True)
+
+    def keep(self, word: str, own: bytes, composed: bool) -> bytes:
+        if len(word) <= 64 and self.n_kept < CACHED and (not composed or self.n_composed < CACHED // 6):
             self.n_kept += 1
-            self.n_composed += cut
+            self.n_composed += composed
             self.words[word] = own
         return own
 
@@ -349,8 +357,8 @@ def _mapped(df: DataFrame, column: str, added: str, kind: T.DataType, arrow: pa.
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Add `ids` (little-endian unsigned 32-bit) of each whole text; null and empty texts have none.
 
-    Repeated rows give repeated rows, an empty table an empty one. Other columns stay; one named ids (in any case) is
-    replaced.
+    Repeated rows give repeated rows, an empty table an empty one. Very long texts are encoded whole, with or without
+    white space, in time that follows their length. Other columns stay; one named ids (in any case) is replaced.
     """
     return _mapped(docs, "text", "ids", T.BinaryType(), pa.binary(), lambda: lambda t, m=machine(path): m.encode(t or ""))
 

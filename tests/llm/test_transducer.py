@@ -148,3 +148,18 @@ def test_repeated_rows_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", b"x", "y")] * 3, "doc_id long, text string, Ids binary, DECODED string")
     done = transducer.decode_documents(transducer.encode_documents(docs, MODEL), MODEL)
     assert done.columns == ["doc_id", "text", "ids", "decoded"] and [r.decoded for r in done.collect()] == ["a b"] * 3
+
+
+@pytest.mark.parametrize("letters", ["0123456789", "的一是不了人我在有他", "😀🎉👍", "a1的😀.,é-", "的", "abcdefghij"])
+def test_long_runs_without_a_space(library, letters):
+    machine, r = transducer.Transducer(MODEL), random.Random(len(letters))
+    for n in (999, 1000, 1001, 100_000):
+        text = "".join(r.choice(letters) for _ in range(n))
+        assert ids(machine, text) == library.encode(text)
+
+
+def test_a_long_run_in_a_table(spark, library):
+    docs = spark.createDataFrame([(1, "的" * 5000), (2, "1" * 20_000)], "doc_id long, text string")
+    done = transducer.decode_documents(transducer.encode_documents(docs, MODEL), MODEL).orderBy("doc_id").collect()
+    assert [len(r.ids) // 4 for r in done] == [len(library.encode(t)) for t in ("的" * 5000, "1" * 20_000)]
+    assert [r.decoded for r in done] == ["的" * 5000, "1" * 20_000]
