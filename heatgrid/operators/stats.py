@@ -6,7 +6,7 @@ results of a few rows.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
@@ -139,18 +139,19 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Different values with their count and average rank, within `by`; no row of the table goes through the ranking."""
-    n = order.counted(df, value, by).withColumnRenamed("n", "ties")
-    return n.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before", "smaller")
+    """Different values with their count (__ties) and average rank (__rank), within `by`; no row of the table goes through the ranking."""
+    n = order.counted(df, value, by)
+    return n.select(*(by or []), value, F.col("__n").alias("__ties"), (F.col("__before") + (F.col("__n") + 1) / 2).alias("__rank"))
 
 
 def _rank_sums(df: DataFrame, group: str, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(by, group, n, rank_sum) and (by, total, tie_term: sum of t^3 - t)."""
-    own = df.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("n"))
-    ranks = average_ranks(df, value, by)
-    sums = own.join(ranks, [*by, value]).groupBy(*by, group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
-    t = F.col("ties").cast("double")
-    return sums, ranks.groupBy(*by).agg(F.sum("ties").alias("total"), F.sum(t * t * t - t).alias("tie_term"))
+    df = df.where(F.col(value).isNotNull()).select(*by, group, F.col(value).alias("__value"))
+    own = df.groupBy(*by, group, "__value").agg(F.count("*").alias("__count"))
+    ranks = average_ranks(df, "__value", by)
+    sums = own.join(ranks, [*by, "__value"]).groupBy(*by, group).agg(F.sum("__count").alias("n"), F.sum(F.col("__count") * F.col("__rank")).alias("rank_sum"))
+    t = F.col("__ties").cast("double")
+    return sums, ranks.groupBy(*by).agg(F.sum("__ties").alias("total"), F.sum(t * t * t - t).alias("tie_term"))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -178,23 +179,105 @@ def bonferroni(p: Column, pairs: Column) -> Column:
 
 
 def rank_sum(df: DataFrame, group: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Wilcoxon's W and z (continuity and tie corrected) of every pair of groups, ranked pair by pair."""
+    """Wilcoxon's W and z (continuity and tie corrected) of every pair of groups, ranked pair by pair; n_a, n_b, and whether values are tied.
+
+    Values are counted before they meet the pairs, and go to each pair of their group by an equality join.
+    """
+    by = by or []
+    a, b = f"{group}_a", f"{group}_b"
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(group).alias("__group"), F.col(value).alias("__value")).groupBy(*by, "__group", "__value").agg(F.count("*").alias("__rows"))
+    pairs = _pairs(own.select(*by, F.col("__group").alias(group)).distinct(), group, by)
+    sides = F.explode(F.array(F.struct(F.col(a).alias("group"), F.lit(1).alias("first")), F.struct(F.col(b).alias("group"), F.lit(0).alias("first")))).alias("__s")
+    sides = pairs.select(*by, a, b, sides).select(*by, a, b, F.col("__s.group").alias("__group"), F.col("__s.first").alias("__first"))
+    keys = [*by, a, b]
+    tied = order.counted(own.join(sides, [*by, "__group"]), "__value", keys, F.sum("__rows"), {"__na": F.sum(F.col("__rows") * F.col("__first"))})
+    t = F.col("__n").cast("double")
+    rank = F.col("__before") + (F.col("__n") + 1) / 2
+    s = tied.groupBy(*keys).agg(F.sum("__na").alias("n_a"), (F.sum("__n") - F.sum("__na")).alias("n_b"), F.sum(F.col("__na") * rank).alias("__r"), F.sum(t * t * t - t).alias("__ties"))
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    w = F.col("__r") - na * (na + 1) / 2
+    off = w - na * nb / 2
+    sigma = F.sqrt(na * nb / 12 * (na + nb + 1 - F.col("__ties") / ((na + nb) * (na + nb - 1))))
+    return s.select(*keys, w.alias("w"), ((off - F.signum(off) * 0.5) / sigma).alias("z"), "n_a", "n_b", (F.col("__ties") > 0).alias("tied"))
+
+
+#: From this many values in a group on, or with ties, W is taken as normal.
+EXACT_BELOW = 50
+
+
+@cache
+def rank_sum_counts(n: int, m: int) -> np.ndarray:
+    """In how many of the ways to mix n values of one group with m of another W is 0, 1 ... n m.
+
+    The largest of all values is of the first group and adds m to W, or of the second and adds nothing; as all groups up
+    to n and m are asked for on the way, tables grow group by group. In double precision: 2^53 is passed for groups of
+    about 30, where the relative error is that of a rounding a step.
+    """
+    rows = [np.ones(1) for _ in range(m + 1)]  # no value in the first group
+    for i in range(1, n + 1):
+        now = [np.ones(1)]
+        for j in range(1, m + 1):
+            own = np.zeros(i * j + 1)
+            own[j:] += rows[j]
+            own[: now[-1].size] += now[-1]
+            now.append(own)
+        rows = now
+    return rows[m]
+
+
+def exact_rank_sum_p(w: float, n: float, m: float) -> float:
+    """Two-sided p of W without ties: twice the smaller tail, 1 at most."""
+    counts = rank_sum_counts(int(min(n, m)), int(max(n, m)))
+    w = int(round(w))
+    tail = counts[w:].sum() if w > n * m / 2 else counts[: w + 1].sum()
+    return min(1.0, 2 * float(tail / counts.sum()))
+
+
+def rank_sum_p_value(results: DataFrame) -> Column:
+    """p of the rows of rank_sum: exact under EXACT_BELOW values a group without ties, else normal."""
+    exact = (F.col("n_a") < EXACT_BELOW) & (F.col("n_b") < EXACT_BELOW) & ~F.col("tied")
+    of = lambda c: F.when(exact, results[c]).cast("double")
+    return F.coalesce(_tail(exact_rank_sum_p)(of("w"), of("n_a"), of("n_b")), z_p_value(F.when(~exact, results["z"])))
+
+
+# ---- letters of groups that do not differ
+
+
+def letter_display(pairs: DataFrame, group: str, p: str = "p", by: list[str] | None = None, level: float = 0.05) -> DataFrame:
+    """(by, group, letters) of results of pairs (group_a, group_b, p): two groups share a letter just where they do not differ (p >= level, or null).
+
+    Letters start as one for all groups. A pair that differs splits each letter that both have into one without the first
+    and one without the second (insert), and letters whose groups another one has too go (absorb). Letters are named a, b
+    ... in order of their first group, after z: aa, ab ... Groups are in order of their names. The results of one `by`
+    are a row of a pair of groups, and meet in one task.
+    """
     by = by or []
-    groups = df.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("n"))
-    names = groups.select(*by, group).distinct()
-    pairs = _pairs(names.withColumn("__", F.lit(1)), group, by).select(*by, f"{group}_a", f"{group}_b")
-    on = [F.col(f"l.{c}") == F.col(f"p.{c}") for c in by] + [(F.col(f"l.{group}") == F.col(f"p.{group}_a")) | (F.col(f"l.{group}") == F.col(f"p.{group}_b"))]
-    own = groups.alias("l").join(pairs.alias("p"), reduce(lambda a, b: a & b, on)).select(*[F.col(f"p.{c}") for c in (*by, f"{group}_a", f"{group}_b")], F.col(f"l.{group}").alias("g"), F.col(f"l.{value}").alias("v"), "n")
-    keys = [*by, f"{group}_a", f"{group}_b"]
-    tied = own.groupBy(*keys, "v").agg(F.sum(F.when(F.col("g") == F.col(f"{group}_a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("ties"))
-    tied = order.running(tied, ["v"], keys, "ties").withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2)
-    t = F.col("ties").cast("double")
-    s = tied.groupBy(*keys).agg(F.sum("na").alias("n_a"), (F.sum("ties") - F.sum("na")).alias("n_b"), F.sum(F.col("na") * F.col("rank")).alias("r"), F.sum(t * t * t - t).alias("tie_term"))
-    a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    w = F.col("r") - a * (a + 1) / 2
-    off = w - a * b / 2
-    sigma = F.sqrt(a * b / 12 * (a + b + 1 - F.col("tie_term") / ((a + b) * (a + b - 1))))
-    return s.select(*keys, w.alias("w"), ((off - F.signum(off) * 0.5) / sigma).alias("z"))
+    a, b = f"{group}_a", f"{group}_b"
+    rows = F.array_sort(F.collect_list(F.struct(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.coalesce(F.col(p) < level, F.lit(False)).alias("differ"))))
+
+    @F.pandas_udf("array<struct<name:string,letters:string>>")
+    def letters(groups: pd.Series) -> pd.Series:
+        return pd.Series([[{"name": k, "letters": v} for k, v in compact_letters([(r["a"], r["b"], r["differ"]) for r in own]).items()] for own in groups])
+
+    gathered = pairs.groupBy(*by).agg(rows.alias("__rows")).select(*by, F.explode(letters("__rows")).alias("__l"))
+    return gathered.select(*by, F.col("__l.name").alias(group), F.col("__l.letters").alias("letters"))
+
+
+def compact_letters(pairs: list[tuple[str, str, bool]]) -> dict[str, str]:
+    """Letters of the groups of (a, b, whether they differ)."""
+    names = sorted({x for p in pairs for x in p[:2]})
+    columns = [frozenset(names)]
+    for x, y, differ in pairs:
+        if differ:
+            parts = [q for c in columns for q in ((c - {x}, c - {y}) if x in c and y in c else (c,))]
+            parts = sorted(dict.fromkeys(parts), key=len, reverse=True)
+            columns = []
+            for c in parts:
+                if not any(c <= other for other in columns):
+                    columns.append(c)
+    columns.sort(key=sorted)
+    name = lambda i: (name(i // 26 - 1) if i >= 26 else "") + chr(97 + i % 26)
+    return {x: "".join(name(i) for i, c in enumerate(columns) if x in c) for x in names}
 
 
 # ---- association

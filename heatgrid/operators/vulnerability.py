@@ -5,6 +5,9 @@ Ranks, quantiles and buckets come from `order`, so that no task sees all units;
 
 from __future__ import annotations
 
+import operator
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +48,33 @@ def row_sum(columns: list[str]) -> Column:
     return F.aggregate(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
 
 
-def quantile_bin(df: DataFrame, value: str, n: int, out: str, rank_fallback: bool = True) -> DataFrame:
-    """Add the bin 1..n of a value: right-closed, the least value in the first; bins end at type-7 quantiles.
+def quantile_bins(df: DataFrame, outs: dict[str, tuple[str, bool]], n: int) -> DataFrame:
+    """Add bins 1..n of values (out: value, rank_fallback): right-closed, the least value in the first; bins end at type-7 quantiles.
 
-    Where breaks coincide: bins of percent ranks (rank_fallback), else as many bins as there are gaps.
+    Where breaks coincide: bins of percent ranks (rank_fallback), else as many bins as there are gaps. All values are
+    counted in one pass, which gives n + 1 breaks each, and the largest value of each bin of percent ranks.
     """
-    counts = order.counted(df, value)
-    row = order.quantiles_of(counts, value, {f"b{i}": i / n for i in range(n + 1)}).first()  # n + 1 numbers
-    edges = sorted({b for b in row or () if b is not None})
-    bin_ = F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b < F.col(value))) if edges else F.lit(0), F.lit(1))
-    if rank_fallback and len(edges) < n + 1:
-        df = order.with_ranks(df, value, percent="__pct", counts=counts)
-        bin_ = F.greatest(F.ceil(F.round(F.col("__pct") * n, 9)), F.lit(1)).cast("int")
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), bin_)).drop("__pct")
+    values = sorted({v for v, _ in outs.values()})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"`{v}`").cast("double").alias("x")) for v in values])).alias("__s")).select(F.col("__s.name").alias("__name"), F.col("__s.x").alias("__x"))
+    bin_ = F.greatest(F.ceil(F.round(order.percent_rank() * n, 9)), F.lit(1))
+    last = [F.max(F.when(bin_ <= k, F.col("__x"))).alias(f"t{k}") for k in range(1, n)]
+    breaks = order.quantile_columns("__x", {f"b{i}": i / n for i in range(n + 1)})
+    ends = {r["__name"]: r for r in order.counted(long, "__x", ["__name"]).groupBy("__name").agg(*breaks, *last).collect()}  # a row a value, 2 n numbers
+    added = {}
+    for out, (value, rank_fallback) in outs.items():
+        row = ends.get(value)
+        edges = sorted({row[f"b{i}"] for i in range(n + 1)}) if row else []
+        if rank_fallback and row and len(edges) < n + 1:
+            edges = [row["b0"] - 1, *[row[f"t{k}"] for k in range(1, n)]]
+        own = F.col(f"`{value}`")
+        below = F.size(F.filter(F.array(*map(F.lit, edges)), partial(operator.gt, own))) if edges else F.lit(0)
+        added[out] = F.when(own.isNotNull(), F.greatest(below, F.lit(1)))
+    return df.withColumns(added)
+
+
+def quantile_bin(df: DataFrame, value: str, n: int, out: str, rank_fallback: bool = True) -> DataFrame:
+    """Add the bins of one value."""
+    return quantile_bins(df, {out: (value, rank_fallback)}, n)
 
 
 def index(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
@@ -153,6 +170,6 @@ def share_of_group(value: str, by: list[str]) -> Column:
 
 def bivariate_counts(df: DataFrame, x: str, y: str, n: int = 3) -> DataFrame:
     """Units by joint class of two values in n bins each, and their share of all."""
-    out = quantile_bin(quantile_bin(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, n, "__x", False), y, n, "__y", False)
+    out = quantile_bins(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), {"__x": (x, False), "__y": (y, False)}, n)
     counts = out.groupBy(F.concat_ws("-", "__x", "__y").alias("bi_class")).agg(F.count("*").alias("n"))
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # n * n rows

@@ -514,8 +514,7 @@ def borough_svi(spark, d):
 r AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN percent_rank() OVER (PARTITION BY m3 IS NULL ORDER BY m3) END AS p3 FROM units, b)
 SELECT id, CASE WHEN m1 IS NOT NULL THEN greatest(len([x FOR x IN b1 IF x < m1]), 1) END::INT AS q1, greatest(ceil(round(p3 * 5, 9)), 1)::INT AS q3, greatest(len([x FOR x IN b3 IF x < m3]), 1)::INT AS q3_few FROM r""")
 def svi_quintile(spark, d):
-    own = vulnerability.quantile_bin(B.units(spark, d), "m1", 5, "q1")
-    own = vulnerability.quantile_bin(vulnerability.quantile_bin(own, "m3", 5, "q3"), "m3", 5, "q3_few", False)
+    own = vulnerability.quantile_bins(B.units(spark, d), {"q1": ("m1", True), "q3": ("m3", True), "q3_few": ("m3", False)}, 5)
     return own.select("id", F.col("q1").cast("int"), F.col("q3").cast("int"), F.col("q3_few").cast("int"))
 
 
@@ -629,12 +628,28 @@ def dunn_p_values(spark, d):
     return own.select("g_a", "g_b", F.round(stats.bonferroni(stats.z_p_value(F.col("z")), F.col("pairs")), 9).alias("p"))
 
 
+@query()
+def dunn_letters(spark, d):
+    """Brands of parts that do not differ in size share a letter, within each kind."""
+    part = B.table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_type").alias("kind"), F.col("p_size").cast("double").alias("v"))
+    own = stats.dunn(part, "g", "v", ["kind"])
+    return stats.letter_display(own.withColumn("p", stats.bonferroni(stats.z_p_value(F.col("z")), F.col("pairs"))), "g", by=["kind"])
+
+
 @query(f"""WITH {B.LONG}, {_TIED}, p AS (SELECT a.g AS g_a, b.g AS g_b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g), o AS (SELECT g_a, g_b, g, v FROM x JOIN p ON g = g_a OR g = g_b),
 r AS (SELECT *, avg(rn) OVER (PARTITION BY g_a, g_b, v) AS rank, count(*) OVER (PARTITION BY g_a, g_b, v)::DOUBLE AS ties FROM (SELECT *, row_number() OVER (PARTITION BY g_a, g_b ORDER BY v) AS rn FROM o)),
 s AS (SELECT g_a, g_b, count(*) FILTER (g = g_a)::DOUBLE AS a, count(*) FILTER (g = g_b)::DOUBLE AS b, sum(rank) FILTER (g = g_a) AS r, sum(ties * ties - 1) AS tie FROM r GROUP BY 1, 2), w AS (SELECT *, r - a * (a + 1) / 2 AS w FROM s)
 SELECT g_a, g_b, w, round((w - a * b / 2 - sign(w - a * b / 2) * 0.5::DOUBLE) / sqrt(a * b / 12 * (a + b + 1 - tie / ((a + b) * (a + b - 1)))), 6) AS z FROM w""")
 def ranksum_pairs(spark, d):
-    return rounded(stats.rank_sum(_tied(spark, d), "g", "v"))
+    return rounded(stats.rank_sum(_tied(spark, d), "g", "v").select("g_a", "g_b", "w", "z"))
+
+
+@query()
+def ranksum_p_values(spark, d):
+    """Prices of parts by brand, exact where a brand has few and none are equal, and by brand and size."""
+    part = B.table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_size").alias("size"), (F.col("p_retailprice") + F.col("p_partkey") / 1e7).alias("v"))
+    own = stats.rank_sum(part, "g", "v", ["size"])
+    return own.select("size", "g_a", "g_b", "n_a", "n_b", "w", F.round(stats.rank_sum_p_value(own), 9).alias("p"))
 
 
 @query(f"""WITH {B.UNITS}, u AS (SELECT * FROM units WHERE m1 IS NOT NULL) """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n, round(corr({a}, {b}) * sqrt((count(*) - 2) / (1 - corr({a}, {b}) * corr({a}, {b}))), 5) AS t FROM u" for a, b in (("m1", "m2"), ("m1", "m4"), ("m2", "m4"))))
