@@ -16,8 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from heapq import merge
-from itertools import chain, groupby, repeat
-from operator import itemgetter
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -29,14 +28,14 @@ from heatgrid.llm.common import bounded, join_dealt, materialise, table
 
 MIN_DOCS, PRIOR, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
 #: Postings that a task holds, about 250 bytes each with their terms.
-BLOCK_POSTINGS = 300_000
+BLOCK_POSTINGS = 600_000
 #: Bytes of text a shard; a posting takes a dozen bytes of a segment and a term about 60, and there are fewer than words.
 SHARD_BYTES = 16 << 20
 #: Sums of pairs are held in squares of SQUARE x SQUARE sources, at most SQUARES of them (half a megabyte each).
 SQUARE, SQUARES = 256, 128
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
-_RUN = {"shard": pa.int32(), "lang": pa.string(), "names": pa.list_(pa.string()), "terms": pa.list_(pa.string()), "docs": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "of": pa.list_(pa.int32()), "ns": pa.list_(pa.int64())}
+_RUN = ["shard", "lang", "names", "terms", "docs", "ends", "of", "ns"]
 _RUN_SQL = "shard int, lang string, names array<string>, terms array<string>, docs array<int>, ends array<int>, of array<int>, ns array<bigint>"
 _KEPT = {"lang": pa.string(), "term": pa.string(), "sources": pa.list_(pa.string()), "ns": pa.list_(pa.int64())}
 
@@ -68,22 +67,34 @@ class Block:
         own.update(terms)
         return len(own) - before
 
-    def segments(self, lang: str, n_shards: int) -> Iterator[tuple]:
+    def segments(self, lang: str, n_shards: int) -> pa.RecordBatch:
         """The block as one run: its terms in order, cut into shards; a row a shard."""
-        names = list(self.ns)
-        postings: dict[bytes, list[int]] = {term: [] for term in self.docs}  # number of the source, occurrences, again and again
-        for i, own in enumerate(self.ns.values()):
-            for term, n in own.items():
-                postings[term] += (i, n)
+        terms = sorted(self.docs)
         start = crc32(lang.encode())
-        shards: dict[int, list[bytes]] = {}
-        for term in sorted(postings):
-            shards.setdefault(crc32(term, start) % n_shards, []).append(term)
-        for shard, terms in shards.items():
-            own = [postings[t] for t in terms]
-            flat = np.array(list(chain.from_iterable(own)), np.int64)
-            ends = np.cumsum([len(x) // 2 for x in own], dtype=np.int32)
-            yield shard, lang, names, [t.decode() for t in terms], [self.docs[t] for t in terms], ends, flat[::2].astype(np.int32), flat[1::2]
+        shard = np.fromiter((crc32(t, start) % n_shards for t in terms), np.int32, len(terms))
+        order = shard.argsort(kind="stable")  # by shard, then in order of the terms
+        place = np.empty(len(terms), np.int64)
+        place[order] = np.arange(len(terms))
+        at = dict(zip(terms, place.tolist(), strict=True))
+        names, own = list(self.ns), list(self.ns.values())
+        sizes = [len(x) for x in own]
+        of = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        term = np.fromiter(map(at.__getitem__, chain.from_iterable(own)), np.int64, sum(sizes))
+        ns = np.fromiter(chain.from_iterable(x.values() for x in own), np.int64, sum(sizes))
+        by_term = term.argsort(kind="stable")
+        ends = np.cumsum(np.bincount(term, minlength=len(terms)))
+        shards, first = np.unique(shard[order], return_index=True)
+        cuts = np.append(first, len(terms)).astype(np.int32)
+        starts = np.append(0, ends)[cuts].astype(np.int32)  # the first posting of each shard
+        inside = ends - np.repeat(starts[:-1], np.diff(cuts))
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        sorted_terms = pa.array([terms[i] for i in order.tolist()], pa.binary()).cast(pa.string())
+        docs = np.fromiter(map(self.docs.__getitem__, terms), np.int32, len(terms))[order]
+        columns = [
+            pa.array(shards), pa.array([lang] * len(shards), pa.string()), pa.array([names] * len(shards), pa.list_(pa.string())), lists(cuts, sorted_terms),
+            lists(cuts, pa.array(docs)), lists(cuts, pa.array(inside.astype(np.int32))), lists(starts, pa.array(of[by_term])), lists(starts, pa.array(ns[by_term])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _RUN)
 
 
 def posting_runs(docs: DataFrame, n_shards: int, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
@@ -91,7 +102,7 @@ def posting_runs(docs: DataFrame, n_shards: int, block_postings: int = BLOCK_POS
 
     def cut(blocks: dict[str, Block]) -> Iterator[pa.RecordBatch]:
         for lang, block in blocks.items():
-            yield _batch(list(block.segments(lang, n_shards)), _RUN)
+            yield block.segments(lang, n_shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, Block] = {}
@@ -120,14 +131,23 @@ def merged_frequencies(runs: DataFrame, n_parts: int, min_docs: int = MIN_DOCS)
     """(lang, term, sources, ns): the kept terms, each with all sources that have it and how often, from runs merged a shard at a time."""
 
     def merged(lang: str, segments: list[Iterator[tuple]]) -> Iterator[tuple]:
-        for term, entries in groupby(merge(*segments), key=itemgetter(0)):
-            entries = list(entries)
-            if sum(e[2] for e in entries) >= min_docs:
-                total: Counter = Counter()
-                for _, _, _, start, end, (names, of, ns) in entries:
-                    for i, n in zip(of[start:end].tolist(), ns[start:end].tolist(), strict=True):
-                        total[names[i]] += n
-                yield lang, term, list(total), list(total.values())
+        def row() -> tuple:
+            total: Counter = Counter()
+            for _, _, _, start, end, (names, of, ns) in entries:
+                for i, n in zip(of[start:end].tolist(), ns[start:end].tolist(), strict=True):
+                    total[names[i]] += n
+            return lang, term, list(total), list(total.values())
+
+        term, found, entries = None, 0, []
+        for entry in merge(*segments):
+            if entry[0] != term:
+                if found >= min_docs:
+                    yield row()
+                term, found, entries = entry[0], 0, []
+            found += entry[2]
+            entries.append(entry)
+        if term is not None and found >= min_docs:
+            yield row()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, segments = None, []
