@@ -1,7 +1,8 @@
 """Points and polygons as tables.
 
-Polygons are rows with rings, an array of arrays of (x, y) structs; holes are rings like any other, as inside is counted by
-crossings. A polygon meets points and cells through buckets of a square lattice, so that joins are equi-joins.
+Polygons are rows with rings, an array of arrays of (x, y) structs, of parts and holes in any order and direction: inside is
+counted by crossings, and what a ring adds to an area by how many others hold it. Polygons meet points and each other in
+squares that grow with them (`quadtree`), so that joins are equi-joins.
 """
 
 from __future__ import annotations
@@ -11,68 +12,41 @@ from math import radians
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgrid.operators import quadtree
 from heatgrid.operators.grid import Grid
-
-
-def edges(features: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """A row per edge: key, x1, y1, x2, y2; rings need not repeat their first point."""
-    ring = features.select(key, F.explode(rings).alias("r")).where(F.size("r") > 1)
-    nxt = F.concat(F.slice("r", F.lit(2), F.size("r") - 1), F.slice("r", 1, 1))
-    own = ring.select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), nxt.alias("b"))).alias("e"))
-    own = own.select(key, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
-    return own.where("x1 <> x2 OR y1 <> y2")
+from heatgrid.operators.quadtree import edges
+from heatgrid.sources.sinks import parquet, scratch
 
 
 def _span(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def _boxes(edge_table: DataFrame, key: str, pad: float = 0.0) -> DataFrame:
-    low = lambda a, b: F.min(F.least(a, b)) - pad
-    high = lambda a, b: F.max(F.greatest(a, b)) + pad
-    return edge_table.groupBy(key).agg(low("x1", "x2").alias("xmin"), high("x1", "x2").alias("xmax"), low("y1", "y2").alias("ymin"), high("y1", "y2").alias("ymax"))
-
-
-def _candidates(points: DataFrame, edge_table: DataFrame, point_key: str, key: str, size: float, pad: float = 0.0) -> DataFrame:
-    """Pairs of points and polygons whose bounding box, widened by pad, has the point."""
-    boxes = _boxes(edge_table, key, pad)
-    cells = boxes.withColumn("bx", F.explode(_span(F.col("xmin"), F.col("xmax"), size))).withColumn("by", F.explode(_span(F.col("ymin"), F.col("ymax"), size)))
-    own = points.select(point_key, F.col("x").alias("px"), F.col("y").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
-    own = own.withColumns({"bx": F.floor(F.col("px") / size), "by": F.floor(F.col("py") / size)})
-    inside = F.col("px").between(F.col("xmin"), F.col("xmax")) & F.col("py").between(F.col("ymin"), F.col("ymax"))
-    return own.join(cells, ["bx", "by"]).where(inside).select(point_key, key, "px", "py")
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, point_key: str, key: str, covers: bool = False, size: float = 10.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point_key: str, key: str, covers: bool = False, most_edges: int = quadtree.MOST_EDGES) -> DataFrame:
     """(point, polygon) pairs where the polygon has the point; points on an edge count only with covers.
 
-    Edges are dealt into bands of y, so that a point meets only those at its height, however many a polygon has.
+    Polygons are covered by squares that follow their outline; a point meets one square of each size, and the edges of
+    that square alone.
     """
-    own = edges(polygons, key)
-    pairs = _candidates(points, own, point_key, key, size).withColumn("band", F.floor(F.col("py") / size))
-    banded = own.withColumn("band", F.explode(_span(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-    px, py = F.col("px"), F.col("py")
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    along = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) == (F.col("y2") - F.col("y1")) * (px - F.col("x1"))
-    on_edge = along & px.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    found = pairs.join(banded, [key, "band"]).groupBy(point_key, key).agg(F.count_if(crosses).alias("n"), F.max(on_edge).alias("on"))
-    return found.where((F.lit(covers) & F.col("on")) | (~F.col("on") & (F.col("n") % 2 == 1))).select(point_key, key)
+    own = points.select(point_key, F.col("x").alias("px"), F.col("y").alias("py"))
+    return quadtree.matches(own, quadtree.quadtree(polygons, key, most_edges), key, covers).select(point_key, key)
 
 
-def polygons_with_points(polygons: DataFrame, points: DataFrame, key: str, point_key: str, size: float = 10.0) -> DataFrame:
+def polygons_with_points(polygons: DataFrame, points: DataFrame, key: str, point_key: str) -> DataFrame:
     """All polygons, a row for each point they cover, one with null for those without."""
-    return polygons.select(key).join(points_in_polygons(points, polygons, point_key, key, True, size), key, "left")
+    return polygons.select(key).join(points_in_polygons(points, polygons, point_key, key, True), key, "left")
 
 
 def nearest_within(points: DataFrame, polygons: DataFrame, point_key: str, key: str, limit: float, size: float = 10.0) -> DataFrame:
     """For each polygon the points nearest to its outline or inside, at most `limit` away; ties are all kept.
 
-    Edges are dealt into bands of y, widened by the limit: a point meets those at its height and those near enough.
+    Boxes, widened by the limit, stand in squares of their own size. Edges are dealt into bands of y: a point meets those
+    at its height and those near enough.
     """
     own = edges(polygons, key)
-    pairs = _candidates(points, own, point_key, key, size, limit).withColumn("band", F.floor(F.col("py") / size))
+    near = quadtree.near_points(points.select(point_key, F.col("x").alias("px"), F.col("y").alias("py")), quadtree.boxes(own, key, limit))
     banded = own.withColumn("band", F.explode(_span(F.least("y1", "y2") - limit, F.greatest("y1", "y2") + limit, size)))
-    near = pairs.join(banded, [key, "band"])
+    near = near.withColumn("band", F.floor(F.col("py") / size)).join(banded, [key, "band"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.least(F.greatest(((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     away = F.sqrt(F.pow(F.col("px") - F.col("x1") - t * dx, 2) + F.pow(F.col("py") - F.col("y1") - t * dy, 2))
@@ -97,12 +71,14 @@ def in_extent(features: DataFrame, xmin: float, ymin: float, xmax: float, ymax:
     return features.where((F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax))
 
 
-# ---- area
+# ---- rings and area
 
 
 def _ring_sum(ring: Column, term) -> Column:
-    n = F.size(ring)
-    return F.aggregate(F.transform(ring, lambda p, i: term(p, F.get(ring, (i + 1) % n))), F.lit(0.0), lambda a, x: a + x)
+    """Sum of term(p, q) over the edges of a ring, from its first point as the origin, so that large coordinates cost no digits."""
+    first = F.get(ring, F.lit(0))
+    moved = F.transform(ring, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
+    return F.get(F.transform(F.array(moved), lambda r: F.aggregate(F.transform(r, lambda p, i: term(p, F.get(r, (i + 1) % F.size(r)))), F.lit(0.0), lambda a, x: a + x)), F.lit(0))
 
 
 def ring_area(ring: Column) -> Column:
@@ -110,53 +86,108 @@ def ring_area(ring: Column) -> Column:
     return _ring_sum(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]) / 2
 
 
-def polygon_area(rings: Column) -> Column:
-    """Area of the first ring without the holes that follow."""
-    areas = F.transform(rings, lambda r: F.abs(ring_area(r)))
-    return F.aggregate(areas, F.lit(0.0), lambda a, x: a - x) + 2 * F.get(areas, F.lit(0))
-
-
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    area = ring_area(ring)
-    part = lambda axis: _ring_sum(ring, lambda p, q: (p[axis] + q[axis]) * (p["x"] * q["y"] - q["x"] * p["y"])) / (6 * area)
+    area, first = ring_area(ring), F.get(ring, F.lit(0))
+    part = lambda axis: first[axis] + _ring_sum(ring, lambda p, q: (p[axis] + q[axis]) * (p["x"] * q["y"] - q["x"] * p["y"])) / (6 * area)
     return part("x"), part("y")
 
 
-def total_area(polygons: DataFrame) -> DataFrame:
-    m2 = F.coalesce(F.sum(polygon_area(F.col("rings"))), F.lit(0.0))
-    return polygons.agg(m2.alias("m2"), (m2 / 1e6).alias("km2"))
+def _inner_point(ring: Column) -> Column:
+    """A point inside a ring: between its first two crossings with the level line halfway between its two lowest heights."""
+
+    def at(r: Column) -> Column:
+        heights = F.array_sort(F.array_distinct(F.transform(r, lambda p: p["y"])))
+        y = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
+
+        def crossing(p: Column, i: Column) -> Column:
+            q = F.get(r, (i + 1) % F.size(r))
+            return F.when((p["y"] > y) != (q["y"] > y), p["x"] + (y - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"]))
+
+        xs = F.array_sort(F.array_compact(F.transform(r, crossing)))
+        return F.struct(((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).alias("x"), y.alias("y"))
+
+    return F.get(F.transform(F.array(ring), at), F.lit(0))
+
+
+def ring_table(features: DataFrame, key: str) -> DataFrame:
+    """(key, k, r, m2, depth, outer): the rings of features that have an area, by their number, with how many other rings of the feature hold them and the smallest that does.
+
+    Rings do not cross, but they may touch and come in any order and direction. A ring is held by another that is larger
+    and has a point of its inside; of equal rings the later is held by the earlier. Rings of even depth add area, those of
+    odd depth are holes: parts, holes, islands in holes. Where a feature has several, the table is written once in the
+    shared folder, as areas, boxes and edges all come from it.
+    """
+    own = features.select(key, F.size("rings").alias("n"), F.posexplode("rings").alias("k", "r")).where(F.size("r") > 2).withColumn("m2", F.abs(ring_area(F.col("r")))).where("m2 > 0")
+    single = lambda df: df.select(key, "k", "r", "m2", F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("int").alias("outer"))
+    if features.where(F.size("rings") > 1).isEmpty():
+        return single(own)
+    alone, rings = single(own.where("n = 1")), own.where("n > 1")
+    shells = rings.select(F.col(key).alias("__of"), F.struct(F.col(key).alias("of"), "k", "m2").alias("__shell"), F.array("r").alias("rings"))
+    index = quadtree.quadtree(shells, "__shell").withColumn("__of", F.col("__shell.of"))
+    inner = rings.select(F.col(key).alias("__of"), "k", "m2", _inner_point(F.col("r")).alias("__p"))
+    inner = inner.select("__of", "k", "m2", F.col("__p.x").alias("px"), F.col("__p.y").alias("py"))
+    held = quadtree.matches(inner, index, "__shell", True, "__of")
+    held = held.where((F.col("__shell.m2") > F.col("m2")) | ((F.col("__shell.m2") == F.col("m2")) & (F.col("__shell.k") < F.col("k"))))
+    held = held.groupBy(F.col("__of").alias(key), "k").agg(F.count("*").alias("depth"), F.min(F.struct("__shell.m2", (-F.col("__shell.k")).alias("minus_k"))).alias("__least"))
+    nested = rings.join(held, [key, "k"], "left").select(key, "k", "r", "m2", F.coalesce("depth", F.lit(0)).alias("depth"), (-F.col("__least.minus_k")).cast("int").alias("outer"))
+    return parquet(alone.unionByName(nested), f"{scratch(features.sparkSession)}/rings")
+
+
+def _sign(depth: Column) -> Column:
+    return F.when(depth % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def polygon_areas(features: DataFrame, key: str) -> DataFrame:
+    """(key, m2) of all features: parts less holes; 0 without a ring that has an area."""
+    own = ring_table(features, key).groupBy(key).agg(F.sum(_sign(F.col("depth")) * F.col("m2")).alias("m2"))
+    return features.select(key).join(own, key, "left").na.fill(0.0, ["m2"])
+
+
+def polygon_centroids(features: DataFrame, key: str) -> DataFrame:
+    """(key, m2, cx, cy): area and centroid of whole features, parts, holes and islands; features without an area go."""
+    cx, cy = ring_centroid(F.col("r"))
+    own = ring_table(features, key).select(key, (_sign(F.col("depth")) * F.col("m2")).alias("a"), cx.alias("x"), cy.alias("y"))
+    mean = lambda c: F.sum(F.col("a") * F.col(c)) / F.sum("a")
+    return own.groupBy(key).agg(F.sum("a").alias("m2"), mean("x").alias("cx"), mean("y").alias("cy"))
+
 
+def total_area(polygons: DataFrame, key: str) -> DataFrame:
+    m2 = F.coalesce(F.sum("m2"), F.lit(0.0))
+    return polygon_areas(polygons, key).agg(m2.alias("m2"), (m2 / 1e6).alias("km2"))
 
-def drop_small_parts(parts: DataFrame, least_m2: float = 0.5) -> DataFrame:
-    """Parts (rings) of at least that area."""
-    return parts.where(polygon_area(F.col("rings")) >= least_m2)
 
+def parts(features: DataFrame, key: str) -> DataFrame:
+    """(key, part, rings, m2): each part of a feature with its holes, as a polygon of its own; an island in a hole is a part."""
+    own = ring_table(features, key).withColumn("part", F.when(F.col("depth") % 2 == 0, F.col("k")).otherwise(F.col("outer")))
+    ring = F.struct((F.col("depth") % 2).alias("hole"), "k", "r")
+    rings = F.transform(F.array_sort(F.collect_list(ring)), lambda x: x["r"])
+    return own.groupBy(key, "part").agg(rings.alias("rings"), F.sum(_sign(F.col("depth")) * F.col("m2")).alias("m2"))
 
 
+def drop_small_parts(features: DataFrame, key: str, least_m2: float = 0.5) -> DataFrame:
+    """The parts of features that have at least that area."""
+    return parts(features, key).where(F.col("m2") >= least_m2)
 
 
-def signed_edges(features: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """Edges with a sign: counter-clockwise ones of the first ring count in (1), so do clockwise ones of the holes that follow."""
-    ring = features.select(key, F.posexplode(rings).alias("k", "r")).where(F.size("r") > 2)
-    sign = F.signum(ring_area(F.col("r"))) * F.when(F.col("k") == 0, 1.0).otherwise(-1.0)
-    ring = ring.select(key, sign.alias("sign"), F.array(F.col("r")).alias("rings"))
-    own = edges(ring.select(F.struct(key, "sign").alias("of"), "rings"), "of")
+def signed_edges(features: DataFrame, key: str) -> DataFrame:
+    """Edges with a sign: counter-clockwise ones count in (1) in parts, clockwise ones in holes."""
+    sign = F.signum(ring_area(F.col("r"))) * _sign(F.col("depth"))
+    ring = ring_table(features, key).select(F.struct(key, sign.alias("sign")).alias("of"), F.array("r").alias("rings"))
+    own = edges(ring, "of")
     return own.select(F.col(f"of.{key}").alias(key), F.col("of.sign").alias("sign"), "x1", "y1", "x2", "y2")
 
 
 def overlay_area(features: DataFrame, zones: DataFrame, key: str, zone_key: str, size: float = 10.0) -> DataFrame:
-    """Area of each feature in each zone that it meets; both may be concave, turn either way and have holes.
+    """Area of each feature in each zone that it meets; both may have parts and holes, be concave and turn either way.
 
     A polygon is the signed sum of the areas under its edges, so two polygons share the signed sum of the areas under both
-    of an edge of each. Edges meet in bands of x, so that a feature meets only those edges of a zone that lie above or
-    below it.
+    of an edge of each. Boxes meet in squares of the larger one's size; edges meet in bands of x, so that a feature meets
+    only those edges of a zone that lie above or below it. Less than 1e-9 of the feature's area is none.
     """
     f, z = signed_edges(features, key), signed_edges(zones, zone_key)
-    boxes = lambda df, k, p: _boxes(df, k).select(k, *[F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
-    tiles = lambda df, p: df.withColumn("bx", F.explode(_span(F.col(f"{p}xmin"), F.col(f"{p}xmax"), size))).withColumn("by", F.explode(_span(F.col(f"{p}ymin"), F.col(f"{p}ymax"), size)))
-    first = (F.col("bx") == F.floor(F.greatest("fxmin", "zxmin") / size)) & (F.col("by") == F.floor(F.greatest("fymin", "zymin") / size))  # a pair once
-    pairs = tiles(boxes(f, key, "f"), "f").join(tiles(boxes(z, zone_key, "z"), "z"), ["bx", "by"]).where(first)
-    pairs = pairs.select(key, zone_key, F.least("fymin", "zymin").alias("floor"), "zxmin", "zxmax")
+    of = lambda df, k, p: quadtree.boxes(df, k).select(k, *[F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax", "box_level")])
+    pairs = quadtree.meeting_boxes(of(f, key, "a"), of(z, zone_key, "b"))
+    pairs = pairs.select(key, zone_key, F.least("aymin", "bymin").alias("floor"))
 
     def banded(df: DataFrame, k: str, p: str) -> DataFrame:
         own = df.where("x1 <> x2").select(
@@ -177,7 +208,8 @@ def overlay_area(features: DataFrame, zones: DataFrame, key: str, zone_key: str,
     meet = F.col("f0") + t * (F.col("f1") - F.col("f0"))
     mean = F.when(d0 * d1 < 0, ((low0 + meet) * t + (meet + low1) * (1 - t)) / 2).otherwise((low0 + low1) / 2)
     part = F.col("fs") * F.col("zs") * mean * (F.col("r") - F.col("l"))
-    return met.groupBy(key, zone_key).agg(F.sum(part).alias("m2")).where("m2 > 1e-9")
+    own = f.groupBy(key).agg(F.abs(F.sum(F.col("sign") * (F.col("x2") - F.col("x1")) * (F.col("y1") + F.col("y2")) / 2)).alias("__whole"))
+    return met.groupBy(key, zone_key).agg(F.sum(part).alias("m2")).join(own, key).where(F.col("m2") > 1e-9 * F.col("__whole")).drop("__whole")
 
 
 # ---- polygons and circles to cells

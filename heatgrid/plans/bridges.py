@@ -53,6 +53,29 @@ zone_cells AS (SELECT zone, "row", col FROM (SELECT e.zone, c."row", c.col, coun
   FROM cells c JOIN edges e ON true GROUP BY 1, 2, 3) WHERE n % 2 = 1)"""
 
 
+#: Rings of a zone of several parts, by places right of and below its corner: an outer ring, a hole, an island in it, a part apart and one that is too small.
+_RINGS = {
+    "outer": [(0.25, 0.3), (19.4, 0.8), (19.7, 19.45), (0.55, 19.65)], "hole": [(6, 6), (6, 12.5), (12, 12), (12, 6)], "island": [(8, 8), (10.3, 8), (10, 10), (8, 10)],
+    "apart": [(2, 22), (10, 22.5), (2.5, 32)], "small": [(15, 25), (15.6, 25), (15.6, 25.6), (15, 25.5)],
+}
+
+
+def part_zones(spark: SparkSession, d: str) -> DataFrame:
+    """25 zones of four parts; their rings come in other orders and directions from zone to zone."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5) * 20.0, F.floor(k / 5) * 40.0
+    rings = []
+    for i, ring in enumerate(_RINGS.values()):
+        own = F.array(*[F.struct((x + dx).cast("double").alias("x"), (-(y + dy)).cast("double").alias("y")) for dx, dy in ring])
+        rings.append(F.struct(((k + i) % 5).alias("place"), F.when((k + i) % 2 == 0, own).otherwise(F.reverse(own)).alias("r")))
+    return table(spark, d, "nation").select(k.alias("zone"), F.transform(F.array_sort(F.array(*rings)), lambda r: r["r"]).alias("rings"))
+
+
+_SQL_RINGS = " UNION ALL ".join(f"SELECT zone, '{name}' AS ring, [{', '.join(f'[x + {dx}, y + {dy}]' for dx, dy in ring)}]::DOUBLE[][] AS p FROM corner" for name, ring in _RINGS.items())
+PARTS = f"""corner AS (SELECT n_nationkey AS zone, (n_nationkey % 5) * 20.0 AS x, (n_nationkey // 5) * 40.0 AS y FROM nation), rings AS ({_SQL_RINGS}),
+edges AS (SELECT zone, ring, p[i][1] AS x1, -p[i][2] AS y1, p[i % len(p) + 1][1] AS x2, -p[i % len(p) + 1][2] AS y2 FROM rings, range(1, 5) AS t(i) WHERE i <= len(p))"""
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(

@@ -274,7 +274,7 @@ def zonal_deaths_by_region(spark, d):
 SELECT zone, count(*) FILTER (lc1 = 100) AS tree_cells, round(count(*) FILTER (lc1 = 100) * 1.0::DOUBLE / any_value(area) * 100, 6) AS tree_pct FROM area LEFT JOIN zone_cells USING (zone) LEFT JOIN cells USING ("row", col) GROUP BY 1""")
 def tree_cover_pct(spark, d):
     z = B.zones(spark, d)
-    areas = z.select("zone", geometry.polygon_area(F.col("rings")).alias("area"))
+    areas = geometry.polygon_areas(z, "zone").withColumnRenamed("m2", "area")
     own = geometry.cells_by_centre(z, "zone", B.GRID)
     return rounded(zonal.tree_cover(own, B.cells(spark, d).where("lc1 = 100"), areas, "zone", 1.0))
 
@@ -361,15 +361,43 @@ def exact_zonal_mean(spark, d):
 
 @query(f"""WITH {B.CELLS}, {B.ZONES} SELECT round(sum(a), 4) AS m2, round(sum(a) / 1e6, 4) AS km2 FROM (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edges GROUP BY 1)""")
 def zone_areas_total(spark, d):
-    return rounded(geometry.total_area(geometry.drop_small_parts(B.zones(spark, d))), 4)
+    return rounded(geometry.total_area(B.zones(spark, d), "zone"), 4)
 
 
 @query(f"""WITH {B.CELLS}, {B.ZONES}, g AS (SELECT zone, sum(x1 * y2 - x2 * y1) / 2 AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy FROM edges GROUP BY 1)
 SELECT zone, round(abs(a), 6) AS m2, round(sx / (6 * a), 6) AS cx, round(sy / (6 * a), 6) AS cy FROM g""")
 def zone_centroids(spark, d):
-    ring = F.get("rings", F.lit(0))
-    cx, cy = geometry.ring_centroid(ring)
-    return rounded(B.zones(spark, d).select("zone", geometry.polygon_area(F.col("rings")).alias("m2"), cx.alias("cx"), cy.alias("cy")))
+    return rounded(geometry.polygon_centroids(B.zones(spark, d), "zone"))
+
+
+@query(f"""WITH {B.PARTS}, r AS (SELECT zone, ring, sum(x1 * y2 - x2 * y1) / -2 AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / -6 AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / -6 AS sy FROM edges GROUP BY 1, 2),
+p AS (SELECT zone, CASE ring WHEN 'hole' THEN 'outer' ELSE ring END AS part, sum(a) AS m2, sum(sx) AS sx, sum(sy) AS sy FROM r GROUP BY 1, 2)
+SELECT zone, count(*) AS n_parts, round(sum(m2), 6) AS m2, round(sum(sx) / sum(m2), 6) AS cx, round(sum(sy) / sum(m2), 6) AS cy, count(*) FILTER (m2 >= 0.5) AS n_kept, round(sum(m2) FILTER (m2 >= 0.5), 6) AS m2_kept FROM p GROUP BY 1""")
+def part_areas(spark, d):
+    """Zones of several parts, with holes and islands: area, centroid, and what is left without parts under half a square metre."""
+    z = B.part_zones(spark, d)
+    n = geometry.parts(z, "zone").groupBy("zone").agg(F.count("*").alias("n_parts"))
+    kept = geometry.drop_small_parts(z, "zone").groupBy("zone").agg(F.count("*").alias("n_kept"), F.sum("m2").alias("m2_kept"))
+    return rounded(geometry.polygon_centroids(z, "zone").join(n, "zone").join(kept, "zone").select("zone", "n_parts", "m2", "cx", "cy", "n_kept", "m2_kept"))
+
+
+@query(f"""WITH {B.PARTS}, {B.POINTS}, b AS (SELECT id, use, x - 2 AS l, y + 2 AS t, 4.0::DOUBLE AS wide, 4.0::DOUBLE AS high FROM points), {_covered_sql("b", "b.id, b.use")}
+SELECT zone, use, count(*) AS n, round(sum(share * box), 6) AS m2 FROM covered WHERE share * box > 1e-6 GROUP BY 1, 2""")
+def part_overlay(spark, d):
+    own = geometry.overlay_area(_squares(spark, d), B.part_zones(spark, d), "id", "zone").where("m2 > 1e-6").join(B.points(spark, d).select("id", "use"), "id")
+    return rounded(own.groupBy("zone", "use").agg(F.count("*").alias("n"), F.sum("m2").alias("m2")))
+
+
+@query(f"""WITH {B.CELLS}, {B.PARTS}, b AS (SELECT "row", col, t0, col::DOUBLE AS l, -"row"::DOUBLE AS t, 1.0::DOUBLE AS wide, 1.0::DOUBLE AS high FROM cells), {_covered_sql("b", 'b."row", b.col, b.t0')}
+SELECT zone, round(sum(t0 * share) / sum(share), 6) AS mean, round(sum(share), 6) AS cells FROM covered WHERE share > 1e-9 GROUP BY 1""")
+def part_zonal_mean(spark, d):
+    return rounded(zonal.weighted_mean(B.cells(spark, d), zonal.coverage(B.part_zones(spark, d), "zone", B.GRID), "zone", "t0"))
+
+
+@query(f"WITH {B.PARTS}, {B.POINTS} SELECT zone, count(*) AS n, sum(id)::BIGINT AS ids FROM point_zones GROUP BY 1")
+def points_in_parts(spark, d):
+    own = geometry.points_in_polygons(B.points(spark, d), B.part_zones(spark, d), "id", "zone", most_edges=4)
+    return own.groupBy("zone").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(f"""WITH {B.POINTS.split(', point_zones')[0].rstrip().removesuffix(',')}, g AS (SELECT unnest(range(0, 100)) AS col), h AS (SELECT unnest(range(0, 100)) AS "row")

@@ -166,8 +166,8 @@ def test_points_in_polygons(spark):
     places = [(i, (i * 37 % 100) / 10 + 0.01, (i * 53 % 100) / 10 + 0.013) for i in range(200)]
     points = spark.createDataFrame(places, "p int, x double, y double")
     want = sorted((p, k) for p, x, y in places for k, r in (CONCAVE, HOLED) if inside(x, y, r))
-    for size in (1.0, 4.0, 100.0):
-        assert pairs(geometry.points_in_polygons(points, polygons, "p", "id", size=size), "p", "id") == want
+    for most in (1, 4, 100):
+        assert pairs(geometry.points_in_polygons(points, polygons, "p", "id", most_edges=most), "p", "id") == want
     border = spark.createDataFrame([(1, 3.0, 0.0), (2, 6.0, 6.0), (3, 20.0, 0.0), (4, None, 1.0)], "p int, x double, y double")
     assert pairs(geometry.points_in_polygons(border, shapes(spark, [CONCAVE]), "p", "id"), "p") == []
     assert pairs(geometry.polygons_with_points(shapes(spark, [CONCAVE, ("far", ring((90, 90), (91, 90), (91, 91)))]), border, "id", "p").na.fill(0), "id", "p") == [("c", 1), ("c", 2), ("far", 0)]
@@ -198,8 +198,8 @@ def test_areas_overlay_and_coverage(spark):
     zone = shapes(spark, [("z", ring((0, 0), (5, 0), (5, 5), (0, 5)))])
     squares = shapes(spark, [("in", ring((1, 1), (2, 1), (2, 2), (1, 2))), ("half", ring((4, 4), (6, 4), (6, 5), (4, 5))), ("out", ring((7, 7), (8, 7), (8, 8), (7, 8)))]).withColumnRenamed("id", "f")
     assert pairs(geometry.overlay_area(squares, zone, "f", "id", 2.0), "f", "m2") == [("half", 1.0), ("in", 1.0)]
-    assert geometry.total_area(shapes(spark, [HOLED])).first().m2 == 72
-    assert geometry.drop_small_parts(squares, 1.5).count() == 1
+    assert geometry.total_area(shapes(spark, [HOLED]), "id").first().m2 == 72
+    assert geometry.drop_small_parts(squares, "f", 1.5).count() == 1
     cx, cy = geometry.ring_centroid(F.get("rings", F.lit(0)))
     assert tuple(zone.select(cx, cy).first()) == (2.5, 2.5)
     part = shapes(spark, [("p", ring((0, 0), (2.5, 0), (2.5, 1), (0, 1)))])
@@ -232,6 +232,9 @@ ODD_SHAPES = {
     "hole turned": [[(0.5, 0.5), (0.3, 8.1), (8.2, 8.9), (8.5, 0.7)], [(2, 2), (6, 2.5), (5, 6), (2.2, 5.5)]],
     "star": [[(5, 9.3), (4, 6), (0.7, 6), (3.3, 4), (2.2, 0.6), (5, 2.7), (7.8, 0.6), (6.7, 4), (9.3, 6), (6, 6)]],
     "far": [[(20, 20), (21, 20), (21, 21)]],
+    "two parts": [[(0, 0), (4, 0), (4, 4), (0, 4)], [(6, 6), (6, 8), (8, 8), (8, 6)]],
+    "island first": [[(3, 3), (4, 3), (4, 4), (3, 4)], [(2, 2), (2, 6), (6, 6), (6, 2)], [(0, 0), (8, 0), (8, 8), (0, 8)], [(9, 9), (9.6, 9), (9.6, 9.6)]],
+    "touching": [[(1, 1), (5, 1), (5, 5), (1, 5)], [(5, 5), (9, 5), (9, 9), (5, 9)], [(1, 1), (3, 2), (2, 3)]],
 }
 
 
@@ -241,7 +244,7 @@ def test_overlay_and_coverage_of_odd_shapes(spark):
     for a, ra in ODD_SHAPES.items():
         for b, rb in ODD_SHAPES.items():
             assert both.get((a, b), 0.0) == pytest.approx(shared_area(ra, rb), abs=0.05), (a, b)
-    area = {r.id: r.a for r in frame.select("id", geometry.polygon_area(F.col("rings")).alias("a")).collect()}
+    area = {r.id: r.m2 for r in geometry.polygon_areas(frame, "id").collect()}
     assert all(both[k, k] == pytest.approx(area[k]) for k in ODD_SHAPES)
     covered = zonal.coverage(frame, "id", G).collect()
     for k, rings in ODD_SHAPES.items():
