@@ -1,8 +1,10 @@
 """Main text of web pages by site template removal.
 
 Every element subtree of a page is hashed, over its tags, classes and text; Spark counts on how many pages of its host
-each hash occurs; subtrees that recur on many pages of a host are its template and go. In the article only boxes between different texts are, as
-paragraphs are quoted and articles copied. Outside of the article the shape
+each hash occurs; subtrees that recur on many different pages of a host are its template and go. In the article only
+boxes between different texts are: headings and paragraphs recur and are quoted, and articles are copied. On pages without
+an article paragraphs need different surroundings too, so that a page that was fetched again and again is no template of
+itself; shares are of the different pages of a host. Outside of the article the shape
 alone (tags and classes, without text) is hashed too, as menus, adverts and footers change their words from page to page.
 Elements that say what they are (nav, footer, role=banner, class="cookie-notice" ...) are hashed and counted like all
 others, but a few pages are enough for them; by their name alone they go only on hosts with too few pages to count.
@@ -22,17 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import materialise, table, without
+from heatgrid.llm.common import join_dealt, materialise, table, without
 
 #: What hashes stand for, in their top bits, and from how many pages and which share of the host's pages they are template.
-#: OUTSIDE: of the article. TEXT: paragraphs and the like, or most of the article, as articles quote and copy each other.
-#: BOX: a lesser part of the article. LOOSE, LOOSE_BOX: the same two on pages without an article. ROTATING: the shape of such
-#: a box at its path. NAMED: the shape of elements with telling names.
-OUTSIDE, TEXT, BOX, LOOSE, LOOSE_BOX, ROTATING, NAMED = range(7)
-LEAST = {OUTSIDE: (3, 0.3), TEXT: (10, 0.9), BOX: (3, 0.3), LOOSE: (3, 0.3), LOOSE_BOX: (3, 0.3), ROTATING: (3, 0.3), NAMED: (2, 0.01)}
+#: OUTSIDE: of the article. BOX: a lesser part of the article that is no heading or paragraph. MOST: one that has most of its
+#: text, as articles are copied under other titles. LOOSE: paragraphs and the
+#: like, or most of the page, on pages without an article. LOOSE_BOX: other boxes there. ROTATING: the shape of such a box at
+#: its path. NAMED: the shape of elements with telling names.
+OUTSIDE, BOX, MOST, LOOSE, LOOSE_BOX, ROTATING, NAMED = range(7)
+LEAST = {OUTSIDE: (3, 0.3), BOX: (3, 0.3), MOST: (10, 0.9), LOOSE: (3, 0.3), LOOSE_BOX: (3, 0.3), ROTATING: (3, 0.3), NAMED: (2, 0.01)}
 #: Many pages whatever share of a large host they are; this share bounds the hashes of a host.
 MANY = (50, 0.01)
-#: Hosts of fewer pages tell nothing about named elements.
+#: Hosts of fewer different pages tell nothing about named elements.
 FEW = 10
 KIND_BIT, BITS = 60, 62
 #: Among the hashes of a host: it has pages enough for counts to decide.
@@ -221,7 +224,7 @@ def subtree_hashes(root: Node) -> dict[int, list[tuple[int, int, int]]]:
 
     Inside of the article: tags, classes and text. Outside: the same, and the shape with its path from the root. Elements
     with telling names: the shape wherever they stand. Numbers in classes and ids (comment-17) are no shape. The context
-    of a box is the longest text before and after it, one bit of BITS; so is its content where only the shape is hashed.
+    of an element is the longest text before and after it, one bit of BITS; so is its content where only the shape is hashed.
     """
     order = _walk(root)
     content: dict[int, int] = {}
@@ -267,15 +270,17 @@ def subtree_hashes(root: Node) -> dict[int, list[tuple[int, int, int]]]:
             out[id(node)] = [(h | OUTSIDE << KIND_BIT, 0, 0)]
             if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 out[id(node)].append((placed | OUTSIDE << KIND_BIT, 0, 0))
-        elif node.tag in TEXTS or 2 * length[id(node)] > total:
-            out[id(node)] = [(h | (TEXT if inside else LOOSE) << KIND_BIT, 0, 0)]
-        else:
-            end = at + count[id(node)]
-            around = f"{text_at(before[at - 1]) if at else 0} {text_at(after[end]) if end < len(order) else 0}"
-            context = 1 << xxhash.xxh64_intdigest(around) % BITS
-            out[id(node)] = [(h | (BOX if inside else LOOSE_BOX) << KIND_BIT, context, 0)]
-            if not inside:
-                out[id(node)].append((placed | ROTATING << KIND_BIT, context, 1 << h % BITS))
+            continue
+        if inside and node.tag in TEXTS:
+            continue  # the article's own, however often it recurs
+        most = 2 * length[id(node)] > total
+        text = most or node.tag in TEXTS
+        end = at + count[id(node)]
+        around = f"{text_at(before[at - 1]) if at else 0} {text_at(after[end]) if end < len(order) else 0}"
+        context = 1 << xxhash.xxh64_intdigest(around) % BITS
+        out[id(node)] = [(h | ((MOST if most else BOX) if inside else LOOSE if text else LOOSE_BOX) << KIND_BIT, context, 0)]
+        if not inside and not text:
+            out[id(node)].append((placed | ROTATING << KIND_BIT, context, 1 << h % BITS))
     return out
 
 
@@ -318,7 +323,7 @@ def host(url: str = "url") -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): for each host that has a template or FEW pages the hashes of its subtrees; pages: host, html."""
+    """(host, hashes): for each host that has a template or FEW different pages the hashes of its subtrees; pages: host, html."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,19 +341,18 @@ def templates(pages: DataFrame) -> DataFrame:
 
     found = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long, contexts long, held long")
     found = found.groupBy("host", "h").agg(F.sum("n").alias("n"), F.bit_or("contexts").alias("contexts"), F.bit_or("held").alias("held"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("pages"))  # a page that comes again is none of its own
     kind, n, total = F.shiftright("h", KIND_BIT), F.col("n"), F.col("pages")
-    of = lambda k: reduce(lambda c, x: c.when(kind == x, LEAST[x][k]), LEAST, F.when(F.lit(False), LEAST[TEXT][k]))
+    of = lambda k: reduce(lambda c, x: c.when(kind == x, LEAST[x][k]), LEAST, F.when(F.lit(False), 0))
     share = n >= F.greatest(of(0), F.ceil(total * of(1)))
     many = share | (n >= F.greatest(F.lit(MANY[0]), F.ceil(total * MANY[1])))
     # bits set: half of what as many different ones would set tells template boxes from copied articles, rotating from own texts
-    half = (1 - F.pow(F.lit(1 - 1 / BITS), n)) * BITS / 2
+    half = (1 - F.pow(F.lit(1 - 1 / BITS), F.least(n, total))) * BITS / 2
     differ = F.bit_count("contexts") >= F.greatest(F.lit(3), half)
-    nearly_all = n >= F.greatest(F.lit(LEAST[TEXT][0]), F.ceil(total * LEAST[TEXT][1]))
     is_template = (
         F.when(kind == OUTSIDE, many)
-        .when(kind == BOX, (many & differ) | nearly_all)
-        .when(kind == LOOSE_BOX, share | (many & differ))
+        .when(kind.isin(BOX, LOOSE_BOX), many & differ)
+        .when(kind.isin(MOST, LOOSE), share & differ)
         .when(kind == ROTATING, many & differ & (F.bit_count("held") <= half))
         .otherwise(share)
     )
@@ -362,15 +366,19 @@ def extract_text(pages: DataFrame, text_column: str = "text") -> DataFrame:
     """Replace html by the main text of each page (url, html): blocks joined by a newline, empty if there is none.
 
     Null html gives an empty text; pages without a host are compared with one another. Character references are decoded,
-    white space in a block (line breaks too) is one space. Repeated rows count as pages of their own. Other columns pass through; an
-    own column of the text's name is replaced.
+    white space in a block (line breaks too) is one space. A page that comes more than once, as a repeated row or under
+    another address, has its text each time, and counts as one page of its host. Very long pages are taken whole; an
+    empty table gives an empty one. Other columns pass through; an own column of the text's name is replaced.
     """
     pages = without(pages, text_column).withColumn("__host", host())
     found = materialise(templates(pages.select(F.col("__host").alias("host"), "html")), "site-templates")
     found = found.withColumnsRenamed({"host": "__site", "hashes": "__hashes"})
-    if (found.agg(F.sum(F.size("__hashes"))).first()[0] or 0) <= MAX_BROADCAST_ROWS:  # 8 bytes each; beyond it a shuffled join
-        found = F.broadcast(found)
-    joined = pages.join(found, F.col("__host") == F.col("__site"), "left").drop("__host", "__site")
+    if (found.agg(F.sum(F.size("__hashes"))).first()[0] or 0) <= MAX_BROADCAST_ROWS:  # 8 bytes each
+        joined = pages.join(F.broadcast(found), F.col("__host") == F.col("__site"), "left").drop("__host", "__site")
+    else:  # shuffled; a host that has many pages is dealt over tasks
+        rows = pages.groupBy(F.col("__host").alias("__site")).agg(F.count("*").alias("__rows"))
+        found = found.join(rows, "__site").withColumnRenamed("__site", "__host")
+        joined = join_dealt(pages, found, "__host", "__rows", pages.count(), "left").drop("__host")
     names = [c for c in joined.columns if c not in ("html", "__hashes")]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,9 +99,8 @@ def test_trees_of_random_pages_against_a_plain_parser():
 
 def plain_templates(rows):
     """Hashes counted by host in plain Python."""
-    pages, found = Counter(), {}
+    pages, found = Counter(host for host, _ in set(rows)), {}
     for host, html in rows:
-        pages[host] += 1
         for h in {x for own in html_text.subtree_hashes(html_text.parse(html)).values() for x in own and [(h, 0, 0) for h, *_ in own]}:
             own = found.setdefault((host, h[0]), [0, 0, 0])
             own[0] += 1
@@ -115,12 +114,11 @@ def plain_templates(rows):
         least, part = html_text.LEAST[kind]
         share = n >= max(least, math.ceil(total * part))
         many = share or n >= max(html_text.MANY[0], math.ceil(total * html_text.MANY[1]))
-        half = (1 - (1 - 1 / html_text.BITS) ** n) * html_text.BITS / 2
+        half = (1 - (1 - 1 / html_text.BITS) ** min(n, total)) * html_text.BITS / 2
         differ = contexts.bit_count() >= max(3, half)
         rule = {
-            html_text.OUTSIDE: many, html_text.TEXT: share, html_text.LOOSE: share, html_text.NAMED: share,
-            html_text.BOX: (many and differ) or n >= max(10, math.ceil(total * 0.9)),
-            html_text.LOOSE_BOX: share or (many and differ), html_text.ROTATING: many and differ and held.bit_count() <= half,
+            html_text.OUTSIDE: many, html_text.NAMED: share, html_text.MOST: share and differ, html_text.LOOSE: share and differ,
+            html_text.BOX: many and differ, html_text.LOOSE_BOX: many and differ, html_text.ROTATING: many and differ and held.bit_count() <= half,
         }
         if rule[kind]:
             out.setdefault(host, set()).add(h)
@@ -220,3 +218,27 @@ def test_boxes_in_different_articles_go_and_copied_articles_stay(spark):
     assert found[104] == f"T 4\n{line(4)}\nA quoted line.\nEnd 4" and found[105] == f"T 5\n{line(5)}\nEnd 5"
     assert found[405] == f"{line(5)}\nLead 5\nEnd 5"
     assert found[500] == "The same long article on many pages of the host.\nIts inset"
+
+
+def test_repeated_pages_keep_their_text(spark):
+    """However often a page was fetched, and under whatever other chrome an article stands."""
+    chrome = "<div class='q{k}'><a>go {k}</a></div>"
+    article = lambda i: f"<article><h1>Title {i}</h1><div class='body'><p>The long text of article {i}, as it stands.</p><p>More of {i}.</p></div></article>"
+    bare = lambda i: f"<div class='m'><h1>Title {i}</h1><p>The long text of page {i}, as it stands.</p><p>More of {i}.</p></div>"
+    page = lambda body, k=0: f"<body>{chrome.format(k=k)}{body}<footer>Terms</footer></body>"
+    sets = {
+        "twelve": [page(article(1))] * 12, "three": [page(bare(1))] * 3, "barely": [page(bare(1))] * 40, "mixed": [page(article(1))] * 27 + [page(article(i)) for i in (2, 3, 4)],
+        "mirror": [page(article(1), k) for k in range(15)], "crowd": [page(article(1))] * 30 + [page(article(i)) for i in range(2, 32)],
+    }
+    rows = [(n, f"http://{h}/{n}", html, 1, 2, "x") for n, (h, html) in enumerate((h, x) for h, own in sets.items() for x in own)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for n, _, html, *_ in rows:
+        for block in re.findall(r"<(?:h1|p)>(.*?)</", html):
+            assert block in found[n].split("\n"), (n, found[n])
+
+
+def test_headings_and_lines_of_every_article_stay(spark):
+    body = "<article><h1>T {i}</h1><p>Own text {i} at some length.</p><h2>Question</h2><p>Answer {i}</p><h3>References</h3><ul><li>See all</li><li>{i}</li></ul><p>CC BY 4.0</p></article>"
+    rows = [(i, "http://h/x", f"<div class='q1'><a>go {i}</a></div>" + body.format(i=i), 1, 2, "x") for i in range(40)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {i: f"T {i}\nOwn text {i} at some length.\nQuestion\nAnswer {i}\nReferences\nSee all\n{i}\nCC BY 4.0" for i in range(40)}
