@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CASE = r"scenario_([\d.]+)deg_([\d.]+)uhi"
-
-
 def _whole(number: Column) -> Column:
     return number.try_cast("double").cast("int").cast("string")
 
@@ -17,6 +14,50 @@ def _plain(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _digits(text: Column) -> Column:
+    """Whether a text is digits and dots alone, and not empty."""
+    return text.rlike(r"^[0-9.]+$")
+
+
+def _degrees(file: Column, bare: bool) -> tuple[Column, Column]:
+    """The numbers before `deg` and `uhi` of the tokens <number>deg, <number>uhi that follow each other in a name, after a token that begins with `scenario`.
+
+    bare: the token right before them is `scenario` or ends in it; else it may have a number, and words of letters and
+    digits may stand between. Null without such tokens.
+    """
+    tokens = F.split(file, "_")
+
+    def fits(_: Column, i: Column) -> Column:
+        deg, uhi = F.get(tokens, i), F.get(tokens, i + 1)
+        pair = deg.endswith("deg") & _digits(F.substring(deg, F.lit(1), F.length(deg) - 3)) & _digits(F.element_at(F.split(uhi, "uhi"), 1)) & uhi.contains("uhi")
+        before = F.slice(tokens, F.lit(1), i)
+        if bare:
+            return pair & F.element_at(before, -1).endswith("scenario")
+        heads = F.transform(before, lambda t: F.substring_index(t, "scenario", -1).rlike("^[0-9]*$") & t.contains("scenario"))
+        words = F.transform(before, lambda t: t.rlike("^[A-Za-z0-9]+$"))
+        last = F.size(heads) - F.array_position(F.reverse(heads), True)  # place of the last head, from 0
+        return pair & F.array_contains(heads, True) & ~F.array_contains(F.slice(words, (last + 2).cast("int"), F.size(words)), False)
+
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(1))), lambda i: F.coalesce(fits(i, i), F.lit(False)))
+    first = F.when(F.size(tokens) > 2, F.get(at, F.lit(0)))
+    return F.substring_index(F.get(tokens, first), "deg", 1), F.substring_index(F.get(tokens, first + 1), "uhi", 1)
+
+
+def _named_degrees(file: Column) -> tuple[Column, Column]:
+    """The first number right before a `deg_` that a number right before a `uhi` follows, and that one, in any case; fractions stay."""
+    number = lambda text: F.nullif(F.regexp_extract(text, r"(\d+([.]\d+)?)$", 1), F.lit(""))
+    parts = F.split(F.lower(file), "deg_")
+
+    def pair(part: Column, i: Column) -> Column:
+        later = F.split(F.array_join(F.slice(parts, i + 2, F.size(parts)), "deg_"), "uhi")
+        ended = F.filter(F.transform(F.slice(later, F.lit(1), F.size(later) - 1), number), lambda n: n.isNotNull())
+        return F.struct(number(part).alias("deg"), F.get(ended, F.lit(0)).alias("uhi"))
+
+    whole = F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), pair), lambda p: p["deg"].isNotNull() & p["uhi"].isNotNull())
+    first = F.get(whole, F.lit(0))
+    return first["deg"], first["uhi"]
+
+
 def short_name(path: Column, base: str, form: str = "strict") -> Column:
     """`<folder under base>_<deg>_<uhi>` out of a result file's path; null where the path is not of the form.
 
@@ -26,24 +67,40 @@ def short_name(path: Column, base: str, form: str = "strict") -> Column:
     folder outside of the base.
     """
     base = base.rstrip("/")
-    file, parent = F.regexp_extract(path, "([^/]+)$", 1), F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
-    folder = F.nullif(F.regexp_extract(path, f"^{base}/([^/]+)/", 1), F.lit(""))
+    parts = F.split(path, "/")
+    file = F.element_at(parts, -1)
+    parent = F.when(path.isNotNull(), F.when(file != "", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))).otherwise(""))
+    under = F.when(path.startswith(base + "/"), F.split(F.substring(path, F.lit(len(base) + 2), F.length(path)), "/"))
+    folders = F.slice(under, 1, F.greatest(F.size(under) - 1, F.lit(0)))
+    folder = F.nullif(F.get(folders, F.lit(0)), F.lit(""))
     if form == "named":
-        case, number = r"(?i)(\d+(?:\.\d+)?)deg_.*?(\d+(?:\.\d+)?)uhi", _plain
-        named = F.nullif(F.regexp_extract(path, f"^{base}/(?:[^/]+/)*?([^/]*(?i:scenario)[^/]*)/", 1), F.lit(""))
+        number, (deg, uhi) = _plain, _named_degrees(file)
+        named = F.get(F.filter(folders, lambda f: F.lower(f).contains("scenario")), F.lit(0))
         folder = F.coalesce(named, folder, parent)
     else:
-        case, number = _CASE if form != "suffix" else r"scenario\d*(?:_[A-Za-z0-9]+)*_([\d.]+)deg_([\d.]+)uhi", _whole
+        number, (deg, uhi) = _whole, _degrees(file, form != "suffix")
         folder = F.coalesce(folder, parent) if form == "lenient" else folder
-    deg, uhi = (F.nullif(F.regexp_extract(file, case, i), F.lit("")) for i in (1, 2))
     name = F.when(folder.isNotNull() & deg.isNotNull() & uhi.isNotNull(), F.concat_ws("_", folder, number(deg), number(uhi)))
     return F.coalesce(name, folder) if form == "lenient" else name
 
 
 def zonal_scenario(name: Column) -> Column:
-    """The scenario block of names such as scenario4_10prc_zonal_stats_mean.csv; `scenario` where there is none."""
-    found = F.regexp_extract(name, r"(scenario\d*(?:_[A-Za-z0-9]+)*)_zonal_stats_[^/\\\\]+\.csv$", 1)
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit("scenario"))
+    """The scenario block of names such as scenario4_10prc_zonal_stats_mean.csv; `scenario` where there is none.
+
+    It is a word `scenario` with a number or none, and the words of letters and digits from there to _zonal_stats_.
+    """
+    file = F.element_at(F.split(name, r"[/\\]"), -1)
+    tail = F.substring_index(file, "_zonal_stats_", -1)
+    words = F.split(F.substring(file, F.lit(1), F.length(file) - F.length(tail) - len("_zonal_stats_")), "_")
+
+    def block(word: Column, i: Column) -> Column:
+        number, rest = F.substring_index(word, "scenario", -1), F.slice(words, i + 2, F.size(words))
+        fits = word.contains("scenario") & number.rlike("^[0-9]*$") & ~F.exists(rest, lambda w: ~w.rlike("^[A-Za-z0-9]+$"))
+        return F.when(fits, F.array_join(F.concat(F.array(F.concat(F.lit("scenario"), number)), rest), "_"))
+
+    found = F.get(F.array_compact(F.transform(words, block)), F.lit(0))
+    named = file.contains("_zonal_stats_") & tail.endswith(".csv") & (F.length(tail) > 4)
+    return F.coalesce(F.when(named, found), F.lit("scenario"))
 
 
 def scenario_of_file(path: Column) -> Column:

@@ -6,6 +6,10 @@ dimension of fixed size that is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +55,39 @@ def random_draws(causes: DataFrame, n: int, seed: int = 2025) -> DataFrame:
 
 
 def draw_totals(cells: DataFrame, draws: DataFrame) -> DataFrame:
-    """City excess per cause and draw.
+    """City excess per cause and draw of draws (cause, draw, beta), a small dimension; cells without a change or adjusted deaths add none.
 
-    Adjusted deaths are summed by temperature change before they meet the draws: the change is all a draw depends on.
+    A task sums its cells' deaths by temperature change, batch by batch, and multiplies changes and draws as matrices; it
+    hands on one row a cause, with the sums of all draws. No cells give no rows.
     """
-    cells = delta_t(cells).withColumn("adjusted", H.adjusted_deaths(F.col("deaths"), F.col("pop0"), F.col("pop1")))
-    by_delta = cells.groupBy("delta").agg(F.sum("adjusted").alias("adjusted"))
-    excess = F.col("adjusted") * H.attributable_fraction(F.col("beta"), F.col("delta"))
-    return by_delta.crossJoin(F.broadcast(draws)).groupBy("cause", "draw").agg(F.coalesce(F.sum(excess), F.lit(0.0)).alias("excess"))
+    betas: dict[str, list[tuple[int, float]]] = {}
+    for r in draws.select("cause", "draw", "beta").collect():  # causes x draws
+        betas.setdefault(r["cause"], []).append((r["draw"], r["beta"]))
+    slopes = {cause: np.array([b for _, b in own], float) for cause, own in betas.items()}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = {cause: np.zeros(len(beta)) for cause, beta in slopes.items()}, False
+        for batch in batches:
+            seen |= len(batch) > 0
+            delta, adjusted = (np.array(c.to_numpy(zero_copy_only=False), float) for c in batch.columns)
+            known = ~(np.isnan(delta) | np.isnan(adjusted))
+            changes, of = np.unique(delta[known], return_inverse=True)
+            deaths = np.bincount(of, adjusted[known], len(changes))
+            for at in range(0, len(changes), 2000):
+                for cause, beta in slopes.items():
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        af = -np.expm1(-np.outer(changes[at : at + 2000], beta))
+                    af[~np.isfinite(af)] = 0.0
+                    total[cause] += deaths[at : at + 2000] @ af
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["cause", "sums"])
+
+    own = delta_t(cells).select(F.col("delta").cast("double"), H.adjusted_deaths(F.col("deaths"), F.col("pop0"), F.col("pop1")).cast("double").alias("adjusted"))
+    parts = own.mapInArrow(sums, "cause string, sums array<double>").groupBy("cause").agg(F.collect_list("sums").alias("parts"))  # a row a task
+    whole = F.aggregate("parts", F.array_repeat(F.lit(0.0), F.size(F.get("parts", F.lit(0)))), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    numbers = cells.sparkSession.createDataFrame([(cause, [n for n, _ in own]) for cause, own in betas.items()], "cause string, numbers array<int>")
+    out = parts.select("cause", whole.alias("excess")).join(F.broadcast(numbers), "cause")
+    return out.select("cause", F.explode(F.arrays_zip(F.col("numbers").alias("draw"), "excess")).alias("d")).select("cause", "d.draw", "d.excess")
 
 
 def draw_summary(totals: DataFrame) -> DataFrame:
