@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from heatgrid.functions import classify, climate, dates, text
 from heatgrid.functions import health as H
-from heatgrid.operators import geometry, grid, health, landcover, observations, profile, scenario, stats, trees, vulnerability, zonal
+from heatgrid.operators import geometry, grid, health, landcover, observations, profile, scenario, stats, tiles, trees, vulnerability, zonal
 from heatgrid.operators.grid import Grid
 from heatgrid.plans import bridges as B
 from heatgrid.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
@@ -210,6 +211,36 @@ def bilinear_align(spark, d):
     return rounded(grid.bilinear(own.select("row", "col", F.col("t1").alias("value")), B.GRID, FINE, own.select("row", "col")), 10)
 
 
+# ---- grids in tiles: the same results as cell by cell
+
+TILE = 64
+
+
+@query(SQL["bilinear_align"])
+def bilinear_tiles(spark, d):
+    own = B.cells(spark, d)
+    fine = tiles.resample(tiles.to_tiles(own.select("row", "col", F.col("t1").alias("value")), ["value"], TILE), "value", B.GRID, FINE, "bilinear", TILE)
+    wanted = tiles.aligned(fine, tiles.to_tiles(own, ["t0"], TILE), FINE, FINE)  # the cells that are asked for
+    kept = tiles.algebra(wanted, ["value", "t0"], lambda x: {"value": np.where(np.isnan(x["t0"]), np.nan, x["value"])}, ["value"], TILE)
+    return rounded(tiles.to_cells(kept, ["value"], TILE), 10)
+
+
+@query(SQL["count_preserving_resample"])
+def count_preserving_tiles(spark, d):
+    own = tiles.to_tiles(B.cells(spark, d).select("row", "col", F.col("pop0").alias("value")), ["value"], TILE)
+    return rounded(tiles.to_cells(tiles.resample_counts(own, "value", B.GRID, COARSE, TILE), ["value"], TILE))
+
+
+@query(f"""WITH {B.CELLS}, {B.POINTS}, m AS (SELECT p.id, count(t1) AS n, sum(t1) AS s FROM points p JOIN cells c ON c."row" BETWEEN floor(-p.y - 6) AND floor(-p.y + 6) AND c.col BETWEEN floor(p.x - 6) AND floor(p.x + 6)
+WHERE pow(c.col + 0.5::DOUBLE - p.x, 2) + pow(-(c."row" + 0.5::DOUBLE) - p.y, 2) <= 25 GROUP BY 1)
+SELECT p.id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN round(s, 5) END AS sum, CASE WHEN n > 0 THEN round(s / n, 6) END AS mean FROM points p LEFT JOIN m USING (id)""")
+def disc_means(spark, d):
+    """Temperature within 5 cells of each point."""
+    own = tiles.to_tiles(B.cells(spark, d), ["t1"], TILE)
+    found = tiles.disc_sums(B.points(spark, d), own, "t1", "id", 5.0, B.GRID, TILE)
+    return found.select("id", "n", F.round("sum", 5).alias("sum"), F.round("mean", 6).alias("mean"))
+
+
 @query("""WITH g AS (SELECT o_orderstatus AS layer, max(o_orderkey // 100)::INT - min(o_orderkey // 100)::INT + 1 AS nrows, max(o_orderkey % 100)::INT + 1 AS ncols FROM orders GROUP BY 1)
 SELECT layer, nrows, ncols, nrows::BIGINT * ncols AS n_cells FROM g ORDER BY n_cells DESC, layer LIMIT 1""")
 def reference_grid(spark, d):

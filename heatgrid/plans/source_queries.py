@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from heatgrid.functions import classify, text
 from heatgrid.functions import health as H
-from heatgrid.operators import geometry, grid, health, order, profile, stats, zonal
+from heatgrid.operators import geometry, grid, health, order, profile, stats, tiles, zonal
 from heatgrid.plans import bridges as B
-from heatgrid.plans.registry import query, rounded
+from heatgrid.plans.registry import SQL, query, rounded
 from heatgrid.sources import readers, sinks
 
 
@@ -74,6 +74,15 @@ def aligned_layers(spark, d):
     return health.delta_t(grid.aligned(a, b, B.GRID, B.GRID)).withColumn("delta", F.round("delta", 9))
 
 
+@query(SQL["aligned_layers"])
+def aligned_tiles(spark, d):
+    """The same layers in tiles: a join a tile, the difference on whole arrays."""
+    folder = _layers(spark, d)
+    a, b = (tiles.to_tiles(readers.cells(spark, folder, [n], -9999.0).select("row", "col", F.col("value").alias(n)), [n]) for n in ("t0", "t1"))
+    both = tiles.algebra(tiles.aligned(a, b, B.GRID, B.GRID), ["t0", "t1"], lambda x: {**x, "delta": x["t1"] - x["t0"]}, ["t0", "t1", "delta"])
+    return tiles.to_cells(both, ["t0", "t1", "delta"]).withColumn("delta", F.round("delta", 9))
+
+
 @query("""SELECT 'scenario' || (CASE o_custkey % 4 WHEN 0 THEN 510 WHEN 1 THEN 520 ELSE 41 END) AS scenario, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders
 WHERE o_custkey % 4 IN (0, 1) AND NOT (o_orderkey % 3 = 2) GROUP BY 1""")
 def files_by_tokens(spark, d):
