@@ -101,8 +101,3 @@ def draw_summary(totals: DataFrame) -> DataFrame:
 def draw_matrix(totals: DataFrame, names: list[str]) -> DataFrame:
     """A row per draw, a column per cause."""
     return totals.groupBy("draw").pivot("cause", names).agg(F.first("excess"))
-
-
-def quantile_columns(x: Column, shares: dict[str, float]) -> list[Column]:
-    """Exact percentiles with linear interpolation, named."""
-    return [F.percentile(x, p).alias(name) for name, p in shares.items()]

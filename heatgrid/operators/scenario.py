@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,6 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     return order.quantiles(df, value, shares, keys)
 
 
-def approximate_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """The same by bounded sketches, for groups whose different values do not fit one task."""
-    return df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(k) for k, p in shares.items()])
-
-
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, p80, p90, interquartile range, and the upper whisker's end of each group."""
     out = quantiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p80": 0.8, "p90": 0.9})
@@ -86,8 +83,16 @@ def long(df: DataFrame, keys: list[str], columns: list[str], name: str = "name",
     return df.unpivot(keys, columns, name, value)
 
 
+#: Combinations of keys at most.
+MAX_COMBINATIONS = 10_000_000
+
+
 def completed(df: DataFrame, keys: list[str], fills: dict) -> DataFrame:
-    """All combinations of the keys' values; missing rows get the fills. The keys' values must be few."""
+    """All combinations of the keys' values; missing rows get the fills. Keys whose values make more than MAX_COMBINATIONS are refused."""
+    counts = df.agg(*[F.count_distinct(F.struct(k)).alias(k) for k in keys]).first()
+    n = prod(counts[k] for k in keys)
+    if n > MAX_COMBINATIONS:
+        raise ValueError(f"{n} combinations of {keys}; {MAX_COMBINATIONS} at most")
     grid = df.select(keys[0]).distinct()
     for k in keys[1:]:
         grid = grid.crossJoin(df.select(k).distinct())

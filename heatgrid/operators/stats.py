@@ -335,7 +335,7 @@ def spline_curves(long: DataFrame, k: int | list[int] = 10, points: int = 100, b
     spark, sizes = long.sparkSession, [k] if isinstance(k, int) else k
     own = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ends = own.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
-    own = own.join(F.broadcast(ends), by)
+    own = own.join(ends, by)  # a row a metric
     curves, fits = [], []
     for size in sizes:
         b = own.select(by, "lo", "hi", "y", *[c.alias(f"b{i}") for i, c in enumerate(_basis(F.col("x"), F.col("lo"), F.col("hi"), size))])

@@ -231,14 +231,13 @@ def count_preserving_tiles(spark, d):
     return rounded(tiles.to_cells(tiles.resample_counts(own, "value", B.GRID, COARSE, TILE), ["value"], TILE))
 
 
-@query(f"""WITH {B.CELLS}, {B.POINTS}, m AS (SELECT p.id, count(t1) AS n, sum(t1) AS s FROM points p JOIN cells c ON c."row" BETWEEN floor(-p.y - 6) AND floor(-p.y + 6) AND c.col BETWEEN floor(p.x - 6) AND floor(p.x + 6)
+@query(f"""WITH {B.CELLS}, {B.POINTS}, m AS (SELECT p.id, count(t1) AS n, sum(round(t1 * 1e7)) AS s FROM points p JOIN cells c ON c."row" BETWEEN floor(-p.y - 6) AND floor(-p.y + 6) AND c.col BETWEEN floor(p.x - 6) AND floor(p.x + 6)
 WHERE pow(c.col + 0.5::DOUBLE - p.x, 2) + pow(-(c."row" + 0.5::DOUBLE) - p.y, 2) <= 25 GROUP BY 1)
-SELECT p.id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN round(s, 5) END AS sum, CASE WHEN n > 0 THEN round(s / n, 6) END AS mean FROM points p LEFT JOIN m USING (id)""")
+SELECT p.id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN s END AS sum, CASE WHEN n > 0 THEN s / n END AS mean FROM points p LEFT JOIN m USING (id)""")
 def disc_means(spark, d):
-    """Temperature within 5 cells of each point."""
-    own = tiles.to_tiles(B.cells(spark, d), ["t1"], TILE)
-    found = tiles.disc_sums(B.points(spark, d), own, "t1", "id", 5.0, B.GRID, TILE)
-    return found.select("id", "n", F.round("sum", 5).alias("sum"), F.round("mean", 6).alias("mean"))
+    """Temperature, in whole ten millionths so that sums are exact, within 5 cells of each point."""
+    own = tiles.to_tiles(B.cells(spark, d).select("row", "col", F.round(F.col("t1") * 1e7).alias("t1")), ["t1"], TILE)
+    return tiles.disc_sums(B.points(spark, d), own, "t1", "id", 5.0, B.GRID, TILE)
 
 
 @query("""WITH g AS (SELECT o_orderstatus AS layer, max(o_orderkey // 100)::INT - min(o_orderkey // 100)::INT + 1 AS nrows, max(o_orderkey % 100)::INT + 1 AS ncols FROM orders GROUP BY 1)
