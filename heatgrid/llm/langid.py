@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 from heatgrid.llm.common import table, without
 
 DIM = 1 << 15
-#: Bounds of the fitting sample: different rows a language, rows in all (but 20 a language at least), and languages: those
-#: with the most rows are learned.
-ROWS_A_LANG, ROWS_IN_ALL, MAX_LANGS = 1000, 8000, 256
+#: Bounds of the fitting sample: different rows a language, and rows in all; but LEAST_A_LANG a language up to LEAST_IN_ALL,
+#: and two a language in any case.
+ROWS_A_LANG, ROWS_IN_ALL, LEAST_A_LANG, LEAST_IN_ALL = 1000, 8000, 20, 40_000
+#: Weights of a model. All languages are learned; of more than 256 the weights of several buckets are one, down to
+#: LEAST_DIM buckets, and labels that would need fewer are no languages and refused.
+WEIGHTS, LEAST_DIM = DIM * 256, 256
 UNKNOWN = "und"
 #: Documents whose best language is less likely than this are rejected; it is kept low, as short texts are seldom sure.
 MIN_SCORE = 1 / 3
@@ -66,6 +69,10 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    @property
+    def dim(self) -> int:
+        return len(self.weights)
+
     def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at, tf = found
         v = tf * self.idf[at]
@@ -77,7 +84,7 @@ class Model:
         if found is None:
             return UNKNOWN, 0.0
         at, v = self.vector(found)
-        p = _softmax((v @ self.weights[at] + self.bias) / self.temperature)
+        p = _softmax((v @ self.weights[at % self.dim] + self.bias) / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
@@ -114,10 +121,12 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
     of different hashes of a language follows which share of them is wanted, so only a little more than the sample is ranked.
     """
     h = F.xxhash64("doc_id", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h, 0.02).alias("different")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h, 0.02).alias("different")).limit(WEIGHTS // LEAST_DIM + 1).collect()
     if not counts:
         return []
-    rows_a_lang = min(rows_a_lang, max(20, ROWS_IN_ALL // len(counts)))
+    if len(counts) > WEIGHTS // LEAST_DIM:
+        raise ValueError(f"over {WEIGHTS // LEAST_DIM} different labels: they are no languages")
+    rows_a_lang = min(rows_a_lang, max(2, ROWS_IN_ALL // len(counts), min(LEAST_A_LANG, LEAST_IN_ALL // len(counts))))
     # a fifth more than wanted, as hashes scatter
     bounds = {lang: min((1 << 63) - 1, int((2 * min(1.0, (1.2 * rows_a_lang + 20) / max(1, n)) - 1) * (1 << 63))) for lang, _, n in counts}
     limit = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])
@@ -136,9 +145,17 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
     return [(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.tf, np.float32)) for r in sorted(rows, key=lambda r: (r.h, r.lang))]
 
 
-def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (DIM x classes) and bias from (class, buckets, unit vector) rows, one FTRL-proximal step a row."""
-    z, n = np.zeros((DIM + 1, n_classes)), np.zeros((DIM + 1, n_classes))
+def _folded(at: np.ndarray, v: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values where only `dim` buckets have weights of their own."""
+    if dim == DIM:
+        return at, v
+    own, place = np.unique(at % dim, return_inverse=True)
+    return own, np.bincount(place, v, len(own))
+
+
+def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (dim x classes) and bias from (class, buckets, unit vector) rows, one FTRL-proximal step a row."""
+    z, n = np.zeros((dim + 1, n_classes)), np.zeros((dim + 1, n_classes))
 
     def weights(at) -> np.ndarray:
         own = z[at]
@@ -147,7 +164,7 @@ def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, be
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             y, at, v = rows[i]
-            at, v = np.r_[at, DIM], np.r_[v, 1.0]
+            at, v = np.r_[at, dim], np.r_[v, 1.0]
             w = weights(at)
             p = _softmax(v @ w)
             p[y] -= 1
@@ -155,8 +172,8 @@ def fit_ftrl(rows: list, n_classes: int, epochs: int = 3, alpha: float = 0.5, be
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
-    w = weights(np.arange(DIM + 1))
-    return w[:DIM], w[DIM]
+    w = weights(np.arange(dim + 1))
+    return w[:dim], w[dim]
 
 
 def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
@@ -181,8 +198,8 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
     """Fit on `labelled` (doc_id, text, lang): rows without a language are left out. Without rows: a model that says und.
 
     Null and repeated ids are no matter; rows that repeat wholly are learned from once, but count as often as they come in
-    the document frequencies. Rows whose text is null or has no letter teach nothing. Of more than MAX_LANGS languages
-    those with the most rows are learned. Extra columns are not read.
+    the document frequencies. Rows whose text is null or has no letter teach nothing. All languages are learned, however
+    many (WEIGHTS). Extra columns are not read.
     """
     labelled = labelled.where("lang IS NOT NULL").select("doc_id", "text", "lang")
     total, df = document_frequencies(labelled)
@@ -191,10 +208,12 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
     model = Model(langs, np.log((1 + total) / (1 + df)) + 1, np.zeros((DIM, len(langs))), np.zeros(len(langs)))
     if not rows:
         return model
-    data = [(langs.index(lang), *model.vector((at, tf.astype(np.float64)))) for lang, at, tf in rows]
+    dim = min(DIM, 1 << (WEIGHTS // len(langs)).bit_length() - 1)
+    number = {lang: i for i, lang in enumerate(langs)}
+    data = [(number[lang], *_folded(*model.vector((at, tf.astype(np.float64))), dim)) for lang, at, tf in rows]
     held = data[::5] if len(data) >= 50 else data
     fitted = [d for i, d in enumerate(data) if i % 5] if len(data) >= 50 else data
-    model.weights, model.bias = fit_ftrl(fitted, len(langs))
+    model.weights, model.bias = fit_ftrl(fitted, len(langs), dim=dim)
     logits = np.array([v @ model.weights[at] + model.bias for _, at, v in held])
     model.temperature = fit_temperature(logits, np.array([y for y, *_ in held]))
     return model
@@ -208,7 +227,7 @@ def identify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", scor
     through.
     """
     docs = without(docs, lang_column, score_column)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHTS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,9 @@ MIN_PIVOTS, MAX_PIVOTS = 32, 8192
 SAMPLE_A_PIVOT, APART = 4, 0.6
 #: Rows of a list that is not dealt into chunks, and of a block of lists.
 LIST_ROWS, BLOCK_ROWS = 1500, 50_000
+#: Bytes of a block's vectors, and of the pivots and of the sample they are picked from, in double precision: the wider
+#: vectors are, the fewer of them.
+BLOCK_BYTES, PIVOT_BYTES, SAMPLE_BYTES = 26_000_000, 64_000_000, 64_000_000
 
 
 def n_nearest(n_pivots: int) -> int:
@@ -65,13 +68,19 @@ def _packed(columns: list[str], kind: str):
     return run
 
 
+def _row_bytes(vectors: DataFrame, kind: str) -> int:
+    """Of the widest vector in double precision."""
+    return max(8, (vectors.agg(F.max(F.length("vector"))).first()[0] or 0) * 8 // int(kind[-1]))
+
+
 def choose_pivots(vectors: DataFrame, total: int, kind: str) -> np.ndarray:
     """Unit pivots, picked one after the other from a bounded sample (those of the smallest hash), far from each other.
 
     Where too few are far apart, as when all vectors are alike, nearer ones fill up to MIN_PIVOTS, in the same order.
     """
-    n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, ceil(2 * sqrt(total)))))
-    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_A_PIVOT * n).collect()
+    width = _row_bytes(vectors, kind)
+    n = int(min(MAX_PIVOTS, max(MIN_PIVOTS, ceil(2 * sqrt(total))), max(MIN_PIVOTS, PIVOT_BYTES // width)))
+    rows = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(min(SAMPLE_A_PIVOT * n, max(n, SAMPLE_BYTES // width))).collect()
     sample = _unit([bytes(r[0]) for r in rows], kind)
     chosen: list[int] = []
     for i, v in enumerate(sample):
@@ -97,11 +106,11 @@ def _list_links(x, lists, weights, nodes, part, key, n_pivots, threshold):
         ok &= part[:, None] != part[None, :]  # two chunks of a list: only pairs across
     if not ok.any():
         return []
-    # earlier lists of the same pair: another shared pivot below b
-    has = np.zeros((len(x), n_pivots), np.float32)
-    np.put_along_axis(has, lists, 1, axis=1)
-    has = has[:, :b]
-    has[:, a] = 0
+    # earlier lists of the same pair: another shared pivot below b; of the pivots that these vectors have, as they are near each other
+    used, at = np.unique(lists, return_inverse=True)
+    has = np.zeros((len(x), len(used)), np.float32)
+    np.put_along_axis(has, at.reshape(lists.shape), 1, axis=1)
+    has = has[:, (used < b) & (used != a)]
     ok &= has @ has.T == 0
     out = [(nodes[i], None, n) for i, n in enumerate(ok @ weights) if n]
     left = ok.any(1)
@@ -203,9 +212,11 @@ def links(vectors: DataFrame, pivots: np.ndarray, threshold: float, kind: str, l
     """(u, v, n) of distinct vectors (node, weight, vector): edges u - v that join all linked ones, and rows without v that
     add n (weights of vectors linked) to the links of u.
 
-    Lists of more than list_rows vectors are dealt into chunks, and their pairs of chunks over tasks.
+    Lists of more than list_rows vectors are dealt into chunks, and their pairs of chunks over tasks. Blocks have block_rows
+    vectors or BLOCK_BYTES of them, whichever is less.
     """
     n_pivots = len(pivots)
+    block_rows = max(2, min(block_rows, BLOCK_BYTES // _row_bytes(vectors, kind)))
     context = vectors.sparkSession.sparkContext
     k = min(n_nearest(n_pivots), n_pivots)
     sent = context.broadcast(pivots)  # MAX_PIVOTS vectors at most

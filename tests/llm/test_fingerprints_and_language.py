@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import struct
 
@@ -187,3 +188,42 @@ def test_features_of_short_and_long_texts_agree():
     short, long = (dict(zip(*map(list, langid.features(t)), strict=True)) for t in (text, text * 2000))
     same = set(short) & set(long)
     assert len(same) >= len(short) - 2 and all(abs(long[b] - short[b] - np.log(2000)) < 0.25 for b in same)  # the ends of the text count apart
+
+
+def made_up_languages(n, rows, seed=4):
+    """(doc_id, text, lang): each language has its own words of three syllables."""
+    r = random.Random(seed)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiouyäöüø"]
+    out = []
+    for k in range(n):
+        words = ["".join(r.sample(syllables, 3)) for _ in range(15)]
+        out += [(k * rows + i, " ".join(r.choices(words, k=40)), f"l{k:04d}") for i in range(rows)]
+    return out
+
+
+def test_all_of_three_hundred_languages_are_learned(spark):
+    own = made_up_languages(300, 12)
+    model = langid.train(spark.createDataFrame([x for x in own if x[0] % 4], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and model.dim * 300 <= langid.WEIGHTS and model.dim < langid.DIM
+    held = [x for x in own if x[0] % 4 == 0]
+    right = [x[2] for x in held if model.predict(x[1])[0] == x[2]]
+    assert len(right) > 0.97 * len(held) and len(set(right)) > 290
+
+
+def test_labels_that_are_no_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WEIGHTS", langid.LEAST_DIM * 5)
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(spark.createDataFrame(made_up_languages(6, 1), "doc_id long, text string, lang string"))
+
+
+def test_what_the_pipeline_rejects(spark):
+    """A language that none has learned and letters at random go; short clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(1)
+    foreign = ["これは日本語で書かれた文章です。学習した言語ではありません。", "Это предложение написано по-русски, и модель не знает этого языка."]
+    noise = ["".join(r.choice("qxzjkwvyq") + r.choice("ĸđŋħŧ") for _ in range(60)) for _ in range(3)]
+    clean = [x.text for x in docs.where("lang = 'en' AND length(text) BETWEEN 30 AND 200").orderBy("doc_id").limit(40).collect()]
+    extra = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(foreign + noise)], docs.schema)
+    found = langid.keep_identified(docs.union(extra)).select("doc_id", "text").collect()
+    assert not [x for x in found if x.doc_id >= 10**9]
+    assert len(clean) > 10 and set(clean) <= {x.text for x in found}
