@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """The paths that materialise() writes inside of a with-block, in order, for who knows when they are no longer asked for."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        made = _WRITTEN.pop()
+        if _WRITTEN:
+            _WRITTEN[-1].extend(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables from the shared folder, through Spark's own file system."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until the caller removes it: results of operators read such tables, so that they can go when the
+    results have been written (intermediates, remove).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

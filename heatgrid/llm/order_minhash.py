@@ -11,7 +11,7 @@ All of it happens inside a row, on sorted arrays of longs that pack (hash, posit
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil, isqrt
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,15 +121,12 @@ def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_", rows_a
     buckets = min(MAX_BUCKETS, max(1, ceil(n / rows_a_bucket)))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set((docs.agg(F.percentile_approx("__key", shares, max(10_000, 4 * buckets))).first()[0] or []) if shares and n else []))
-    wide = isqrt(len(cuts)) + 1
-    blocks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    if blocks:
-        below = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("__key")))
-        block = F.greatest(below(F.array(*[F.lit(b[0]) for b in blocks])) - 1, F.lit(0))
-        bucket = block * wide + below(F.get(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), block))
-    else:
-        bucket = F.lit(0)
-    docs = docs.withColumn("__bucket", bucket)
+    # how many cuts are not above a key, by halves in one array that is sent once
+    steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)] or [F.lit(0)])
+    fits = lambda at: (at <= F.size("__cuts")) & (F.get(F.col("__cuts"), at - 1) <= F.col("__key"))
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((step > 0) & fits(at + step), at + step).otherwise(at))
+    sent = docs.sparkSession.createDataFrame([(cuts,)], "__cuts array<bigint>")  # one row of MAX_BUCKETS numbers at most
+    docs = docs.crossJoin(F.broadcast(sent)).withColumn("__bucket", bucket).drop("__cuts")
     firsts = sorted(docs.groupBy("__bucket").agg(F.min("__key")).collect())  # a row a bucket
     hosts = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
     guests = docs.sparkSession.createDataFrame(hosts, "__first long, __host int")

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of its stages."""
 
+import os
 import zlib
 
 import numpy as np
@@ -61,3 +62,13 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, D).columns == docs.columns, name
         assert stage(spark, docs.limit(0), D).count() == 0
     assert corpus_pipeline.pack(spark, docs.limit(0), D).count() == 0
+
+
+def test_a_run_leaves_its_result_alone(spark, sf_dir):
+    """What stages write on their way, and all stages but the last, are removed when the next one is written."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    tables = lambda: {x for x in os.listdir(folder) if any(f.endswith(".parquet") for f in os.listdir(os.path.join(folder, x)))}
+    before = tables()
+    docs = corpus_pipeline.run(spark, sf_dir)
+    assert [x.rsplit("-", 1)[0] for x in tables() - before] == ["stage-best_fit_packing"]
+    assert docs.count() > 0
