@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatgrid.llm import langid, line_dedup, packing, simhash
-from heatgrid.llm.common import materialise, table
+from heatgrid.llm.common import intermediates, materialise, remove, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with intermediates() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage wrote on its way, and what it read, is not asked for again
+        remove(spark, before + made[:-1])
+        before = made[-1:]
     return docs

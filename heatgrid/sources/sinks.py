@@ -36,11 +36,25 @@ def run_configuration(df: DataFrame, about: dict[str, str], path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, but on one machine only."""
+    """A new folder that all executors share: under spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, but on one machine only.
+
+    It stays until clear_scratch, as results read what is in it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/heatgrid-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{base.rstrip('/')}/heatgrid-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that operators wrote on their way in this process; for when their results have been written."""
+    while _SCRATCH:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
