@@ -73,8 +73,9 @@ def counted(df: DataFrame, value: str, by: list[str] | None = None, n: Column |
     """The different known values of each group: (by, value, __n, __before, __smaller, __total, __different), and aggregates of their rows (also).
 
     How often they come, how many rows and how many values of the group are smaller, and how many rows and different
-    values it has. Numbers and dates are dealt over ranges between approximate quantiles, which the same plan computes:
-    nothing is written, and no job runs before the result is asked for. Other values are ranged by a sort.
+    values it has; rows that stand for several come with their sum as n. The counts are written once in the shared folder,
+    so that the table is read once for them however often they are asked for. Numbers and dates are dealt over ranges
+    between approximate quantiles of the counts, other values are ranged by a sort.
     """
     by = by or []
     also = also or {}
@@ -87,6 +88,7 @@ def counted(df: DataFrame, value: str, by: list[str] | None = None, n: Column |
     else:
         ranges = min(MAX_RANGES, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         number = F.col(value).cast("timestamp").cast("double") if kind == "date" else F.col(value).cast("double")
+        counts = parquet(counts, f"{scratch(df.sparkSession)}/counts")
         if ranges > 1:
             cuts = counts.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("__cuts"))
             own = counts.crossJoin(F.broadcast(cuts))  # one row
@@ -136,8 +138,9 @@ def with_ranks(df: DataFrame, value: str, by: list[str] | None = None, percent:
     by = by or []
     _refuse_taken(df, percent, dense_desc)
     own = counted(df, value, by).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__value"), percent_rank().alias("__percent"), (F.col("__different") - F.col("__smaller")).cast("int").alias("__dense"), F.ceil(F.col("__n") / HOT_ROWS).cast("int").alias("__salts"))
+    own = parquet(own, f"{scratch(df.sparkSession)}/ranks")
     keys = ["__value", *[f"__r_{c}" for c in by]]
-    hot = own.where(F.col("__salts") > 1).select(*[F.col(k).alias(f"{k}_hot") for k in keys], F.col("__salts").alias("__dealt"))
+    added = {name: F.col(c) for name, c in ((percent, "__percent"), (dense_desc, "__dense")) if name}
 
     def on(suffix: str) -> Column:
         same = F.col(value) == F.col(f"__value{suffix}")
@@ -145,10 +148,12 @@ def with_ranks(df: DataFrame, value: str, by: list[str] | None = None, percent:
             same &= F.col(c).eqNullSafe(F.col(f"__r_{c}{suffix}"))
         return same
 
+    hot = own.where(F.col("__salts") > 1).select(*[F.col(k).alias(f"{k}_hot") for k in keys], F.col("__salts").alias("__dealt"))
+    if hot.isEmpty():
+        return df.join(own, on(""), "left").withColumns(added).select(*df.columns, *added)
     dealt = df.join(F.broadcast(hot), on("_hot"), "left")
     dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]), F.coalesce("__dealt", F.lit(1))).cast("int")).drop(*[f"{k}_hot" for k in keys], "__dealt")
     own = own.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
-    added = {name: F.col(c) for name, c in ((percent, "__percent"), (dense_desc, "__dense")) if name}
     return dealt.join(own, on("") & (F.col("__salt") == F.col("__copy")), "left").withColumns(added).select(*df.columns, *added)
 
 

@@ -60,16 +60,6 @@ def test_taken_names_are_refused(spark):
             call()
 
 
-def test_counting_runs_no_job_before_it_is_asked(spark):
-    df = spark.range(1000).select((F.col("id") % 37).cast("double").alias("v"))
-    tracker, group = spark.sparkContext.statusTracker(), "ranks-build"
-    spark.sparkContext.setJobGroup(group, "building a plan alone")
-    order.quantiles(df, "v", {"p": 0.5})
-    order.with_ranks(df, "v", percent="p")
-    assert list(tracker.getJobIdsForGroup(group)) == []
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-
-
 @pytest.mark.parametrize("kind", ["double", "int", "string", "date", "decimal(10,2)"])
 def test_kinds_of_values(spark, kind):
     r = random.Random(4)
