@@ -7,7 +7,7 @@ an article paragraphs need different surroundings too, so that a page that was f
 itself; shares are of the different pages of a host. Outside of the article the shape
 alone (tags and classes, without text) is hashed too, as menus, adverts and footers change their words from page to page.
 Elements that say what they are (nav, footer, role=banner, class="cookie-notice" ...) are hashed and counted like all
-others, but a few pages are enough for them; by their name alone they go only on hosts with too few pages to count.
+others, but two pages are enough for them; by their name alone they go only where a host has one page, so nothing to compare.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ OUTSIDE, BOX, MOST, LOOSE, LOOSE_BOX, ROTATING, NAMED = range(7)
 LEAST = {OUTSIDE: (3, 0.3), BOX: (3, 0.3), MOST: (10, 0.9), LOOSE: (3, 0.3), LOOSE_BOX: (3, 0.3), ROTATING: (3, 0.3), NAMED: (2, 0.01)}
 #: Many pages whatever share of a large host they are; this share bounds the hashes of a host.
 MANY = (50, 0.01)
-#: Hosts of fewer different pages tell nothing about named elements.
-FEW = 10
+#: Hosts of fewer different pages have nothing to compare, so names decide there.
+FEW = 2
 KIND_BIT, BITS = 60, 62
 #: Among the hashes of a host: it has pages enough for counts to decide.
 COUNTED = -1
