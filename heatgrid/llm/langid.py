@@ -27,8 +27,8 @@ ROWS_A_LANG, ROWS_IN_ALL, LEAST_A_LANG, LEAST_IN_ALL = 1000, 8000, 20, 40_000
 #: LEAST_DIM buckets, and labels that would need fewer are no languages and refused.
 WEIGHTS, LEAST_DIM = DIM * 256, 256
 UNKNOWN = "und"
-#: Documents whose best language is less likely than this are rejected; it is kept low, as short texts are seldom sure.
-MIN_SCORE = 1 / 3
+#: Share of the rightly identified held-back rows whose scores are set aside as the least sure ones.
+LEAST_SURE = 0.001
 
 _FOLD: list[np.ndarray] = []
 
@@ -68,6 +68,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    min_score: float = 0.0
 
     @property
     def dim(self) -> int:
@@ -194,6 +195,20 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def least_score(right: np.ndarray, n_langs: int) -> float:
+    """The score under which a document's language is in doubt: half-way in log odds from chance to the least sure of `right`.
+
+    `right` has the scores of held-back rows whose language was found; without any, chance is where it begins. It moves with the number of
+    languages and with how sure the model is. A single language is never in doubt.
+    """
+    chance = 1 / n_langs
+    if n_langs == 1 or not len(right):
+        return 0.0 if n_langs == 1 else chance
+    low = min(max(float(np.quantile(right, LEAST_SURE)), chance), 1 - 1e-6)
+    odds = np.sqrt(chance / (1 - chance) * low / (1 - low))
+    return float(odds / (1 + odds))
+
+
 def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
     """Fit on `labelled` (doc_id, text, lang): rows without a language are left out. Without rows: a model that says und.
 
@@ -215,7 +230,14 @@ def train(labelled: DataFrame, rows_a_lang: int = ROWS_A_LANG) -> Model:
     fitted = [d for i, d in enumerate(data) if i % 5] if len(data) >= 50 else data
     model.weights, model.bias = fit_ftrl(fitted, len(langs), dim=dim)
     logits = np.array([v @ model.weights[at] + model.bias for _, at, v in held])
-    model.temperature = fit_temperature(logits, np.array([y for y, *_ in held]))
+    classes = np.array([y for y, *_ in held])
+    model.temperature = fit_temperature(logits, classes)
+    if held is not data:
+        p = _softmax(logits / model.temperature)
+        right = p.argmax(1) == classes
+        model.min_score = least_score(p.max(1)[right], len(langs))
+    else:  # scores of rows that were learned from tell nothing
+        model.min_score = least_score(np.zeros(0), len(langs))
     return model
 
 
@@ -246,9 +268,11 @@ def train_on_documents(docs: DataFrame) -> Model:
     return train(docs.where(~held_out()))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Drop the documents without a letter and those whose language stays in doubt; the columns stay as they are."""
-    found = identify(docs, train_on_documents(docs), "__lang_pred", "__score")
+def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """Drop the documents without a letter and those whose language stays in doubt (least_score); the columns stay as they are."""
+    model = train_on_documents(docs)
+    min_score = model.min_score if min_score is None else min_score
+    found = identify(docs, model, "__lang_pred", "__score")
     return found.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
 
 

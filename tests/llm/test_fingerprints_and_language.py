@@ -216,11 +216,24 @@ def test_labels_that_are_no_languages_are_refused(spark, monkeypatch):
         langid.train(spark.createDataFrame(made_up_languages(6, 1), "doc_id long, text string, lang string"))
 
 
+def test_the_least_score_lies_between_chance_and_the_least_sure(spark):
+    log_odds = lambda p: np.log(p / (1 - p))
+    for k in (2, 4, 300):
+        for low in (0.55, 0.9, 0.999):
+            right = np.r_[np.full(2000, 0.9995), np.full(20, low)]
+            got = langid.least_score(right, k)
+            assert 1 / k < got < low and abs(2 * log_odds(got) - log_odds(1 / k) - log_odds(low)) < 1e-9
+    assert langid.least_score(np.array([1.0]), 4) < 1 and langid.least_score(np.array([]), 4) == 0.25
+    assert langid.least_score(np.array([1.0]), 1) == 0.0  # a single language is never in doubt
+    few = langid.train(spark.createDataFrame([(1, "ein Satz", "de"), (2, "a phrase", "en")], "doc_id long, text string, lang string"))
+    assert few.min_score == 0.5
+
+
 def test_what_the_pipeline_rejects(spark):
     """A language that none has learned and letters at random go; short clean texts stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = random.Random(1)
-    foreign = ["これは日本語で書かれた文章です。学習した言語ではありません。", "Это предложение написано по-русски, и модель не знает этого языка."]
+    foreign = ["lorem ipsum", "aaaaaaaa", "Ovo je kratka recenica na hrvatskom jeziku koja nije naucena", "これは日本語で書かれた文章です。学習した言語ではありません。", "Это предложение написано по-русски, и модель не знает этого языка."]
     noise = ["".join(r.choice("qxzjkwvyq") + r.choice("ĸđŋħŧ") for _ in range(60)) for _ in range(3)]
     clean = [x.text for x in docs.where("lang = 'en' AND length(text) BETWEEN 30 AND 200").orderBy("doc_id").limit(40).collect()]
     extra = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(foreign + noise)], docs.schema)

@@ -26,7 +26,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     model = langid.train_on_documents(docs)
     found = {r[0]: model.predict(r[1]) for r in rows}
-    kept = sorted((r[:2] for r in rows if found[r[0]][0] != "und" and found[r[0]][1] >= langid.MIN_SCORE))
+    kept = sorted((r[:2] for r in rows if found[r[0]][0] != "und" and found[r[0]][1] >= model.min_score))
     assert len(rows) - len(kept) >= 3
 
     key = lambda line: line.encode().strip().lower()
