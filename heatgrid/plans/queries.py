@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -438,7 +440,29 @@ def rasterise_mean(spark, d):
     return rounded(own, 9)
 
 
-@query()
+def _d(x: float) -> str:
+    return f"({x!r})::DOUBLE"
+
+
+def _national_grid_sql() -> str:
+    """Geocentric coordinates, the seven-parameter shift, and the series of the transverse Mercator projection, a step a table."""
+    (a, b), (a1, b1), s = geometry.WGS84, geometry.AIRY, geometry.SHIFT
+    e2, f2, n = 1 - b * b / (a * a), 1 - b1 * b1 / (a1 * a1), (a1 - b1) / (a1 + b1)
+    rx, ry, rz = (_d(math.radians(s[k] / 3600)) for k in ("rx", "ry", "rz"))
+    scale, k, lat0 = _d(1 + s["ppm"] * 1e-6), _d(a1 * geometry.SCALE), _d(math.radians(geometry.LAT0))
+    arc = [_d(x) for x in (1 + n + 5 / 4 * n**2 + 5 / 4 * n**3, 3 * n + 3 * n**2 + 21 / 8 * n**3, 15 / 8 * n**2 + 15 / 8 * n**3, 35 / 24 * n**3)]
+    return f"""p AS (SELECT id, radians(x / 50 - 2) AS lam, radians(50.5 - y / 50) AS phi FROM points WHERE x / 50 - 2 > -2 AND x / 50 - 2 < 2 AND 50.5 - y / 50 > 50 AND 50.5 - y / 50 < 53),
+c AS (SELECT *, {_d(a)} / sqrt(1 - {_d(e2)} * sin(phi) * sin(phi)) AS nu FROM p), g AS (SELECT id, nu * cos(phi) * cos(lam) AS x, nu * cos(phi) * sin(lam) AS y, nu * {_d(1 - e2)} * sin(phi) AS z FROM c),
+t AS (SELECT id, {_d(s["tx"])} + {scale} * x - {rz} * y + {ry} * z AS x, {_d(s["ty"])} + {rz} * x + {scale} * y - {rx} * z AS y, {_d(s["tz"])} - {ry} * x + {rx} * y + {scale} * z AS z FROM g),
+h AS (SELECT id, z, sqrt(x * x + y * y) AS r, atan2(y, x) - {_d(math.radians(geometry.LON0))} AS dl, atan2(z * {_d(a1)}, r * {_d(b1)}) AS th FROM t),
+f AS (SELECT id, dl, atan2(z + {_d(f2 / (1 - f2) * b1)} * pow(sin(th), 3), r - {_d(f2 * a1)} * pow(cos(th), 3)) AS phi FROM h),
+v AS (SELECT *, sin(phi) AS s, cos(phi) AS c, tan(phi) * tan(phi) AS t2, {k} / sqrt(1 - {_d(f2)} * s * s) AS nu, {k} * {_d(1 - f2)} / pow(1 - {_d(f2)} * s * s, 1.5) AS rho, nu / rho - 1 AS eta, phi - {lat0} AS d, phi + {lat0} AS u FROM f),
+m AS (SELECT *, {_d(b1 * geometry.SCALE)} * ({arc[0]} * d - {arc[1]} * sin(d) * cos(u) + {arc[2]} * sin(2 * d) * cos(2 * u) - {arc[3]} * sin(3 * d) * cos(3 * u)) AS arc FROM v)
+SELECT id, round({_d(geometry.EAST0)} + nu * c * dl + nu / 6 * pow(c * dl, 3) * (nu / rho - t2) + nu / 120 * pow(c * dl, 5) * (5 - 18 * t2 + t2 * t2 + 14 * eta - 58 * t2 * eta), 2) AS east,
+round({_d(geometry.NORTH0)} + arc + nu / 2 * s * c * dl * dl + nu / 24 * s * pow(c, 3) * (5 - t2 + 9 * eta) * pow(dl, 4) + nu / 720 * s * pow(c, 5) * (61 - 58 * t2 + t2 * t2) * pow(dl, 6), 2) AS north FROM m"""
+
+
+@query(f"WITH {B.CELLS}, {B.ZONES}, {B.POINTS}, {_national_grid_sql()}")
 def national_grid(spark, d):
     p = B.points(spark, d).select("id", (F.col("x") / 50 - 2).alias("lon"), (50.5 - F.col("y") / 50).alias("lat"))
     east, north = geometry.to_national_grid(F.col("lon"), F.col("lat"))
@@ -738,7 +762,9 @@ def gamma_fit(spark, d):
     return rounded(stats.gamma_regression(B.units(spark, d).select("m2", "m3", F.col("population").alias("y")), ["m2", "m3"], "y"))
 
 
-@query()
+@query(f"""WITH {B.UNITS}, s AS (SELECT min(m4) AS lo, max(m4) AS hi, stddev_samp(m4) AS sd, count(m4)::DOUBLE AS n, quantile_cont(m4, 0.75) - quantile_cont(m4, 0.25) AS iqr FROM units),
+p AS (SELECT lo, n, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS h, (hi - lo) / 511 AS step FROM s), b AS (SELECT floor((m4 - lo) / (h / 20)) AS bin, count(*) AS c, avg(m4) AS m FROM units, p WHERE m4 IS NOT NULL GROUP BY 1)
+SELECT round(lo + i * step, 6) AS x, round(sum(c * exp(-pow((lo + i * step - m) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) AS density FROM b, p, range(512) r(i) WHERE abs(lo + i * step - m) <= 6 * h GROUP BY i, lo, step, n, h""")
 def density_curve(spark, d):
     return rounded(stats.density(B.units(spark, d), "m4"))
 
