@@ -63,18 +63,19 @@ def interval_nearest(events: DataFrame, intervals: DataFrame, key: str, at: str,
     Dates are taken as days; events and intervals without a key, a date or both ends go. An interval is made up of blocks
     of days, two of a size at most, and a block keeps the latest start of all intervals that have it. A day looks up its
     block of each size, and the latest start of all is the nearest. So rows follow events and intervals, however many of a
-    key there are and however much they overlap; events and intervals meet by key and that start alone.
+    key there are and however much they overlap; events and intervals meet by key and that start alone. Blocks are several
+    for each interval, which Spark's estimates do not know, so these joins are by sort and never by a broadcast.
     """
     held = intervals.select(F.col(key).alias("__key"), _day(start).alias("__start"), _day(end).alias("__end")).where("__key IS NOT NULL AND __start <= __end")
     latest = held.select("__key", "__start", F.explode(_blocks(F.col("__start"), F.col("__end") + 1)).alias("__b")).groupBy("__key", "__b").agg(F.max("__start").alias("__latest"))
     days = events.select(F.col(key).alias("__key"), _day(at).alias("__day")).distinct()
     sizes = latest.select(F.col("__b.size").alias("__size")).distinct()  # _BLOCKS rows at most
     asked = days.crossJoin(F.broadcast(sizes)).withColumn("__b", F.struct(F.col("__size").alias("size"), F.floor(F.col("__day") / F.pow(F.lit(2.0), F.col("__size"))).alias("number")))
-    found = asked.join(latest, ["__key", "__b"]).groupBy("__key", "__day").agg(F.max("__latest").alias("__start"))
+    found = asked.join(latest.hint("merge"), ["__key", "__b"]).groupBy("__key", "__day").agg(F.max("__latest").alias("__start"))
     own = events.withColumn("__day", _day(at))
-    own = own.join(found, (F.col(key) == F.col("__key")) & (own["__day"] == found["__day"])).drop(found["__day"]).drop("__key")
+    own = own.join(found.hint("merge"), (F.col(key) == F.col("__key")) & (own["__day"] == found["__day"])).drop(found["__day"]).drop("__key")
     ends = intervals.withColumns({"__begins": _day(start), "__ends": _day(end)})
-    met = own.join(ends.withColumnRenamed(key, "__of"), (F.col(key) == F.col("__of")) & (F.col("__start") == F.col("__begins"))).where("__day <= __ends")
+    met = own.join(ends.withColumnRenamed(key, "__of").hint("merge"), (F.col(key) == F.col("__of")) & (F.col("__start") == F.col("__begins"))).where("__day <= __ends")
     rest = [c for c in events.columns if c != key] + [c for c in intervals.columns if c != key]
     return met.select(key, *rest, (F.col("__day") - F.col("__start")).cast("int").alias("days"))
 

@@ -63,6 +63,16 @@ def test_one_key_with_all_events_and_intervals(spark):
     assert got.where("days = 0").groupBy("event").count().count() == n
 
 
+def test_intervals_are_not_broadcast(spark):
+    """An interval has several blocks, which estimates of a table's size do not know: only the sizes of blocks are broadcast."""
+    events = spark.range(50).selectExpr("id % 5 AS k", "date_add(DATE'2000-01-01', CAST(id AS INT)) AS at")
+    intervals = spark.range(50).selectExpr("id % 5 AS k", "date_add(DATE'1999-12-01', CAST(id AS INT)) AS start", "date_add(DATE'2001-01-01', CAST(id AS INT)) AS stop")
+    got = observations.interval_nearest(events, intervals, "k", "at", "start", "stop")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
+    assert got.count() == 50
+
+
 def test_draw_sums_equal_the_formula(spark):
     r = random.Random(3)
     rows = [(18.0 + r.random(), r.choice([None, 18.0 + 5 * r.random(), 20.0]), r.choice([0.0, 10.0, None, 50.0]), r.choice([12.0, None]), r.choice([0.5, 1.0, None])) for _ in range(5000)]
