@@ -6,15 +6,19 @@ results of a few rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, reduce
 from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heatgrid.operators import order
+from heatgrid.sources.sinks import parquet, scratch
 
 # ---- tails of distributions, for result rows
 
@@ -178,27 +182,78 @@ def bonferroni(p: Column, pairs: Column) -> Column:
     return F.least(p * pairs, F.lit(1.0))
 
 
+#: Rows of one `by` that are ranked together in a task; equal values stay together.
+RANKED_AT_ONCE = 200_000
+
+
+def _chunk_pairs(group: np.ndarray, place: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(a, b, twice, ties) for each group b of a chunk and all groups a before it: twice W, and what their common values add to the ties.
+
+    Rows are different values (by their place) of groups (by their number) with their counts.
+    """
+    by_group = np.lexsort((place, group))
+    group, n, value = group[by_group], n[by_group], np.unique(place[by_group], return_inverse=True)[1]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    for i in range(1, len(starts)):
+        at, end = starts[i], starts[i + 1] if i + 1 < len(starts) else len(group)
+        here = np.zeros(value.max() + 1, np.int64)
+        here[value[at:end]] = n[at:end]
+        below, equal = (np.cumsum(here) - here)[value[:at]], here[value[:at]]
+        own = n[:at]
+        both = 3.0 * own * equal * (own + equal)  # (a + b)^3 - a^3 - b^3
+        yield group[starts[:i]], int(group[at]), np.add.reduceat(own * (2 * below + equal), starts[:i]), np.add.reduceat(both, starts[:i])
+
+
 def rank_sum(df: DataFrame, group: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Wilcoxon's W and z (continuity and tie corrected) of every pair of groups, ranked pair by pair; n_a, n_b, and whether values are tied.
 
-    Values are counted before they meet the pairs, and go to each pair of their group by an equality join.
+    W is how often a value of the first group is above one of the second, ties half. The values of a `by` are dealt in
+    their order over chunks: a chunk's own pairs are summed by one task, those of values of different chunks follow from
+    the groups' counts. So rows follow the different values of the groups, however many pairs their groups are in.
     """
     by = by or []
+    part = by or ["__all"]
     a, b = f"{group}_a", f"{group}_b"
-    own = df.where(F.col(value).isNotNull()).select(*by, F.col(group).alias("__group"), F.col(value).alias("__value")).groupBy(*by, "__group", "__value").agg(F.count("*").alias("__rows"))
-    pairs = _pairs(own.select(*by, F.col("__group").alias(group)).distinct(), group, by)
-    sides = F.explode(F.array(F.struct(F.col(a).alias("group"), F.lit(1).alias("first")), F.struct(F.col(b).alias("group"), F.lit(0).alias("first")))).alias("__s")
-    sides = pairs.select(*by, a, b, sides).select(*by, a, b, F.col("__s.group").alias("__group"), F.col("__s.first").alias("__first"))
-    keys = [*by, a, b]
-    tied = order.counted(own.join(sides, [*by, "__group"]), "__value", keys, F.sum("__rows"), {"__na": F.sum(F.col("__rows") * F.col("__first"))})
+    rows = df if by else df.withColumn("__all", F.lit(0))
+    rows = rows.select(*part, F.col(group).alias("__group"), F.col(value).alias("__value")).dropna(subset=[f"`{c}`" for c in (*by, "__group")]).where(F.col("__value").isNotNull())
+    own = rows.groupBy(*part, "__group", "__value").agg(F.count("*").alias("__n"))
     t = F.col("__n").cast("double")
-    rank = F.col("__before") + (F.col("__n") + 1) / 2
-    s = tied.groupBy(*keys).agg(F.sum("__na").alias("n_a"), (F.sum("__n") - F.sum("__na")).alias("n_b"), F.sum(F.col("__na") * rank).alias("__r"), F.sum(t * t * t - t).alias("__ties"))
+    groups = own.groupBy(*part, "__group").agg(F.sum("__n").alias("n"), F.sum(t * t * t - t).alias("ties"))
+    groups = parquet(groups.withColumn("__g", F.row_number().over(Window.partitionBy(*part).orderBy("__group"))), f"{scratch(df.sparkSession)}/groups")
+    places = order.counted(own, "__value", part, F.sum("__n")).select(*part, "__value", F.col("__before").alias("__place"))
+    placed = own.join(places, [*part, "__value"]).join(groups.select(*part, "__group", "__g"), [*part, "__group"])
+    placed = parquet(placed.select(*part, F.floor(F.col("__place") / RANKED_AT_ONCE).alias("__chunk"), "__g", "__place", "__n"), f"{scratch(df.sparkSession)}/placed")
+
+    fields = [placed.schema[c] for c in part]
+    schema = T.StructType([*fields, T.StructField("__a", T.IntegerType()), T.StructField("__b", T.IntegerType()), T.StructField("__twice", T.LongType()), T.StructField("__ties", T.DoubleType())])
+
+    def inside(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = pa.Table.from_batches(batches)
+        for first, second, twice, ties in _chunk_pairs(*(chunk.column(c).to_numpy() for c in ("__g", "__place", "__n"))):
+            some = (twice > 0) | (ties > 0)
+            size = int(some.sum())
+            if size:
+                pairs = [pa.array(first[some], pa.int32()), pa.array(np.full(size, second), pa.int32()), pa.array(twice[some], pa.int64()), pa.array(ties[some])]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(k, size) for k in key[: len(part)]], *pairs], schema.names)
+
+    within = placed.groupBy(*part, "__chunk").applyInArrow(inside, schema)
+    here = placed.groupBy(*part, "__chunk", "__g").agg(F.sum("__n").alias("__here"))
+    cells = here.select(*part, "__chunk").distinct().join(groups.select(*part, "__g"), part).join(here, [*part, "__chunk", "__g"], "left").na.fill(0, ["__here"])
+    earlier = Window.partitionBy(*part, "__g").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__earlier", F.sum("__here").over(earlier))
+    first = cells.where("__here > 0").select(*part, "__chunk", F.col("__g").alias("__a"), "__here")
+    second = cells.where("__earlier > 0").select(*part, "__chunk", F.col("__g").alias("__b"), "__earlier")
+    between = first.join(second, [*part, "__chunk"]).where("__a < __b").select(*part, "__a", "__b", (2 * F.col("__here") * F.col("__earlier")).alias("__twice"), F.lit(0.0).alias("__ties"))
+    sums = within.union(between).groupBy(*part, "__a", "__b").agg(F.sum("__twice").alias("__twice"), F.sum("__ties").alias("__common"))
+
+    side = lambda name, s: groups.select(*part, F.col("__group").alias(name), F.col("__g").alias(f"__{s}"), F.col("n").alias(f"n_{s}"), F.col("ties").alias(f"__ties_{s}"))
+    s = side(a, "a").join(side(b, "b"), part).where("__a < __b").join(sums, [*part, "__a", "__b"], "left")
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    w = F.col("__r") - na * (na + 1) / 2
+    ties = F.col("__ties_a") + F.col("__ties_b") + F.coalesce("__common", F.lit(0.0))
+    w = F.coalesce("__twice", F.lit(0)) / 2
     off = w - na * nb / 2
-    sigma = F.sqrt(na * nb / 12 * (na + nb + 1 - F.col("__ties") / ((na + nb) * (na + nb - 1))))
-    return s.select(*keys, w.alias("w"), ((off - F.signum(off) * 0.5) / sigma).alias("z"), "n_a", "n_b", (F.col("__ties") > 0).alias("tied"))
+    sigma = F.sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1))))
+    return s.select(*by, a, b, w.alias("w"), ((off - F.signum(off) * 0.5) / sigma).alias("z"), "n_a", "n_b", (ties > 0).alias("tied"))
 
 
 #: From this many values in a group on, or with ties, W is taken as normal.

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -138,6 +139,48 @@ def test_rank_sum_has_no_nested_loop(spark):
     assert not any("OR" in x or "__group" in x for x in loops)  # but for the one row of range ends, without a condition
 
 
+@pytest.mark.parametrize("at_once", [5, 40, 200_000])
+def test_rank_sum_against_all_pairs_of_values(spark, monkeypatch, at_once):
+    """Chunks of few rows, values that many share, nulls, not-a-numbers, groups apart."""
+    monkeypatch.setattr(stats, "RANKED_AT_ONCE", at_once)
+    r = random.Random(at_once)
+    draw = lambda g: None if r.random() < 0.05 else float("nan") if r.random() < 0.05 else r.choice([r.randint(0, 9), r.random() * 9, 4]) + (100.0 if g == "high" else 0.0)
+    rows = [(h, g, draw(g)) for h in ("x", "y", None) for g in ("a", "b", "c", "high", None) for _ in range(r.randint(5, 40))] + [("z", "only", 1.0)]
+    df = spark.createDataFrame(rows, "h string, g string, v double")
+    rank = lambda v: math.inf if math.isnan(v) else v
+    for by in (["h"], []):
+        got = {(x[0] if by else None, x.g_a, x.g_b): x for x in stats.rank_sum(df, "g", "v", by).collect()}
+        want = 0
+        for h in ("x", "y", "z") if by else (None,):
+            of = {}
+            for k, g, v in rows:
+                if g is not None and v is not None and (not by or k == h):
+                    of.setdefault(g, []).append(rank(v))
+            for a, b in combinations(sorted(of), 2):
+                want += 1
+                x, y, own = of[a], of[b], got[h, a, b]
+                w = sum((p > q) + (p == q) / 2 for p in x for q in y)
+                n, ties = len(x) + len(y), sum(c**3 - c for c in Counter(x + y).values())
+                sigma = math.sqrt(len(x) * len(y) / 12 * (n + 1 - ties / (n * (n - 1))))
+                off = w - len(x) * len(y) / 2
+                assert (own.w, own.n_a, own.n_b, own.tied) == (w, len(x), len(y), ties > 0)
+                assert own.z == pytest.approx((off - math.copysign(0.5, off) * (off != 0)) / sigma)
+        assert len(got) == want
+
+
+def test_rank_sum_does_not_repeat_values_for_pairs(spark, tmp_path):
+    """Thirty groups are in 435 pairs: what is written and read on the way are the values once."""
+    df = spark.range(3000).selectExpr("id % 30 AS g", "CAST(id * 7919 % 3001 AS DOUBLE) AS v")
+    written = []
+    keep = stats.order.parquet
+    stats.order.parquet = lambda df, path: (written.append(keep(df, path)), written[-1])[1]
+    try:
+        assert stats.rank_sum(df, "g", "v").count() == 435
+    finally:
+        stats.order.parquet = keep
+    assert max(x.count() for x in written) <= 3000
+
+
 # ---- letters
 
 
