@@ -215,8 +215,8 @@ def overlay_area(features: DataFrame, zones: DataFrame, key: str, zone_key: str,
 # ---- polygons and circles to cells
 
 
-def cells_by_centre(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
-    """(row, col, key) of the cells whose centre lies in a polygon, by scan lines: rows are cut by edges, crossings paired."""
+def _runs_by_centre(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, key, c0, c1): runs of cells whose centre lies in a polygon, by scan lines: rows are cut by edges, crossings paired. Runs of a polygon do not overlap."""
     own = edges(polygons, key)
     top, bottom = F.greatest("y1", "y2"), F.least("y1", "y2")
     first, last = F.ceil((grid.y0 - top) / grid.dy - 0.5), F.floor((grid.y0 - bottom) / grid.dy - 0.5)
@@ -225,27 +225,49 @@ def cells_by_centre(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
     rows = rows.where((F.col("y1") > y) != (F.col("y2") > y)).where(F.col("row").between(0, grid.nrows - 1))
     rows = rows.withColumn("x", F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
     ordered = Window.partitionBy(key, "row").orderBy("x")
-    pairs = rows.withColumns({"n": F.row_number().over(ordered), "to": F.lead("x").over(ordered)}).where("n % 2 = 1")
+    pairs = rows.select(key, "row", "x").withColumns({"n": F.row_number().over(ordered), "to": F.lead("x").over(ordered)}).where("n % 2 = 1")
     a, b = F.ceil((F.col("x") - grid.x0) / grid.dx - 0.5), F.ceil((F.col("to") - grid.x0) / grid.dx - 0.5) - 1
     a, b = F.greatest(a, F.lit(0)), F.least(b, F.lit(grid.ncols - 1))
-    return pairs.where(a <= b).select(F.col("row").cast("int").alias("row"), F.explode(F.sequence(a.cast("int"), b.cast("int"))).alias("col"), key).distinct()
+    return pairs.where(a <= b).select(F.col("row").cast("int").alias("row"), key, a.cast("int").alias("c0"), b.cast("int").alias("c1"))
 
 
-def cells_touched(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
-    """(row, col, key) of all cells that a polygon touches: those by centre and those its edges run through."""
+def _in_runs(runs: DataFrame, *columns: str) -> DataFrame:
+    """(row, col, columns): the cells of runs."""
+    return runs.select("row", F.explode(F.sequence("c0", "c1")).alias("col"), *columns)
+
+
+def cells_by_centre(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, col, key) of the cells whose centre lies in a polygon."""
+    return _in_runs(_runs_by_centre(polygons, key, grid), key)
+
+
+def _runs_touched(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, key, c0, c1): runs of the cells that a polygon touches, those by centre and those its edges run through. Runs of a polygon do not overlap.
+
+    In each row of a polygon runs are put in order, and each begins after all that the ones before it reach, so that cells
+    are told apart before there is a row for each.
+    """
     own = edges(polygons, key)
     v1, v2 = (grid.y0 - F.col("y1")) / grid.dy, (grid.y0 - F.col("y2")) / grid.dy
     u1, u2 = (F.col("x1") - grid.x0) / grid.dx, (F.col("x2") - grid.x0) / grid.dx
     own = own.select(key, u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"))
-    own = own.withColumn("row", F.explode(F.sequence(F.floor(F.least("v1", "v2")), F.floor(F.greatest("v1", "v2")))))
+    first, last = F.greatest(F.floor(F.least("v1", "v2")), F.lit(0)), F.least(F.floor(F.greatest("v1", "v2")), F.lit(grid.nrows - 1))
+    own = own.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     at = lambda v: F.col("u1") + (v - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1"))
     inside = lambda v: F.least(F.greatest(v, F.least("v1", "v2")), F.greatest("v1", "v2"))
     flat = F.col("v1") == F.col("v2")
     a = F.when(flat, F.col("u1")).otherwise(at(inside(F.col("row").cast("double"))))
     b = F.when(flat, F.col("u2")).otherwise(at(inside(F.col("row") + 1.0)))
-    crossed = own.select(F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.floor(F.least(a, b)).cast("int"), F.floor(F.greatest(a, b)).cast("int"))).alias("col"), key)
-    crossed = crossed.where(F.col("row").between(0, grid.nrows - 1) & F.col("col").between(0, grid.ncols - 1))
-    return cells_by_centre(polygons, key, grid).union(crossed).distinct()
+    c0, c1 = F.greatest(F.floor(F.least(a, b)), F.lit(0)), F.least(F.floor(F.greatest(a, b)), F.lit(grid.ncols - 1))
+    crossed = own.select(F.col("row").cast("int").alias("row"), key, c0.cast("int").alias("c0"), c1.cast("int").alias("c1")).where("c0 <= c1")
+    before = Window.partitionBy(key, "row").orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1)
+    runs = _runs_by_centre(polygons, key, grid).union(crossed).withColumn("reached", F.max("c1").over(before))
+    return runs.select("row", key, F.greatest(F.col("c0"), F.col("reached") + 1).alias("c0"), "c1").where("c0 <= c1")
+
+
+def cells_touched(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, col, key) of all cells that a polygon touches: those by centre and those its edges run through."""
+    return _in_runs(_runs_touched(polygons, key, grid), key)
 
 
 def later_wins(cells: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -194,6 +195,37 @@ def test_cells_of_polygons(spark):
     assert set(pairs(geometry.cells_in_circles(circle, 2.0, G), "row", "col")) == {(r, c) for r in range(10) for c in range(10) if (c + 0.5 - 5) ** 2 + (10 - r - 0.5 - 5) ** 2 <= 4}
 
 
+def test_touched_cells_come_once_and_are_told_apart_in_runs(spark):
+    """Stars that leave the grid on all sides, with many edges in a cell and cells of several runs; no aggregate over cells."""
+    r = random.Random(8)
+    stars = []
+    for k in range(12):
+        cx, cy, n = r.uniform(-1, 11), r.uniform(-1, 11), r.choice([3, 7, 40])
+        stars.append((k, [[(cx + d * math.cos(6.283 * i / n), cy + d * math.sin(6.283 * i / n)) for i, d in enumerate(r.uniform(0.2, 6) for _ in range(n))]]))
+    polygons = spark.createDataFrame([(k, rings) for k, rings in stars], "id int, rings array<array<struct<x:double,y:double>>>")
+    own = geometry.cells_touched(polygons, "id", G)
+    assert "Aggregate" not in own._jdf.queryExecution().executedPlan().toString()
+    got = pairs(own, "row", "col", "id")
+    want = {(row, c, k) for k, rings in stars for row in range(10) for c in range(10) if inside(c + 0.5, 10 - row - 0.5, rings)}
+    for k, (points,) in stars:
+        for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
+            # the cells between the places where an edge crosses lines of the grid
+            cuts = [0.0, 1.0] + [(v - a) / (b - a) for a, b in ((x1, x2), (y1, y2)) for v in range(math.ceil(min(a, b)), math.floor(max(a, b)) + 1)]
+            for t, u in zip(sorted(cuts), sorted(cuts)[1:], strict=False):
+                col, row = math.floor(x1 + (t + u) / 2 * (x2 - x1)), math.floor(10 - y1 - (t + u) / 2 * (y2 - y1))
+                if u - t > 1e-12 and 0 <= row < 10 and 0 <= col < 10:
+                    want.add((row, col, k))
+    assert len(got) == len(set(got)) and set(got) == want
+    centre = pairs(geometry.cells_by_centre(polygons, "id", G), "row", "col", "id")
+    assert len(centre) == len(set(centre)) and set(centre) < want
+    polygons = polygons.withColumn("v", F.col("id") * 1.5)
+    means = {(x.row, x.col): x.v for x in geometry.rasterise_mean(polygons, "id", G, ["v"]).collect()}
+    at = {}
+    for row, c, k in want:
+        at.setdefault((row, c), []).append(k * 1.5)
+    assert means.keys() == at.keys() and all(means[c] == pytest.approx(sum(v) / len(v)) for c, v in at.items())
+
+
 def test_areas_overlay_and_coverage(spark):
     zone = shapes(spark, [("z", ring((0, 0), (5, 0), (5, 5), (0, 5)))])
     squares = shapes(spark, [("in", ring((1, 1), (2, 1), (2, 2), (1, 2))), ("half", ring((4, 4), (6, 4), (6, 5), (4, 5))), ("out", ring((7, 7), (8, 7), (8, 8), (7, 8)))]).withColumnRenamed("id", "f")
