@@ -308,8 +308,9 @@ def cells_covered(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
 
 
 def rasterise_mean(polygons: DataFrame, key: str, grid: Grid, values: list[str]) -> DataFrame:
-    """Per cell the means of attributes over all polygons that touch it."""
-    return cells_touched(polygons, key, grid).join(polygons.select(key, *values), key).groupBy("row", "col").agg(*[F.avg(v).alias(v) for v in values])
+    """Per cell the means of attributes over all polygons that touch it; runs of cells take the attributes, and the cells are summed as they come."""
+    runs = _runs_touched(polygons, key, grid).join(polygons.select(key, *values).hint("merge"), key)
+    return _in_runs(runs, *values).groupBy("row", "col").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def cells_in_circles(points: DataFrame, radius: float, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
