@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _whole(number: Column) -> Column:
     return number.try_cast("double").cast("int").cast("string")
 
@@ -25,22 +31,24 @@ def _degrees(file: Column, bare: bool) -> tuple[Column, Column]:
     bare: the token right before them is `scenario` or ends in it; else it may have a number, and words of letters and
     digits may stand between. Null without such tokens.
     """
-    tokens = F.split(file, "_")
-
-    def fits(_: Column, i: Column) -> Column:
-        deg, uhi = F.get(tokens, i), F.get(tokens, i + 1)
-        pair = deg.endswith("deg") & _digits(F.substring(deg, F.lit(1), F.length(deg) - 3)) & _digits(F.element_at(F.split(uhi, "uhi"), 1)) & uhi.contains("uhi")
-        before = F.slice(tokens, F.lit(1), i)
-        if bare:
-            return pair & F.element_at(before, -1).endswith("scenario")
-        heads = F.transform(before, lambda t: F.substring_index(t, "scenario", -1).rlike("^[0-9]*$") & t.contains("scenario"))
-        words = F.transform(before, lambda t: t.rlike("^[A-Za-z0-9]+$"))
-        last = F.size(heads) - F.array_position(F.reverse(heads), True)  # place of the last head, from 0
-        return pair & F.array_contains(heads, True) & ~F.array_contains(F.slice(words, (last + 2).cast("int"), F.size(words)), False)
-
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(1))), lambda i: F.coalesce(fits(i, i), F.lit(False)))
-    first = F.when(F.size(tokens) > 2, F.get(at, F.lit(0)))
-    return F.substring_index(F.get(tokens, first), "deg", 1), F.substring_index(F.get(tokens, first + 1), "uhi", 1)
+    def found(tokens: Column) -> Column:
+        def fits(i: Column) -> Column:
+            deg, uhi = F.get(tokens, i), F.get(tokens, i + 1)
+            pair = deg.endswith("deg") & _digits(F.substring(deg, F.lit(1), F.length(deg) - 3)) & _digits(F.element_at(F.split(uhi, "uhi"), 1)) & uhi.contains("uhi")
+            before = F.slice(tokens, F.lit(1), i)
+            if bare:
+                return pair & F.element_at(before, -1).endswith("scenario")
+            heads = F.transform(before, lambda t: F.substring_index(t, "scenario", -1).rlike("^[0-9]*$") & t.contains("scenario"))
+            words = F.transform(before, lambda t: t.rlike("^[A-Za-z0-9]+$"))
+            last = F.size(heads) - F.array_position(F.reverse(heads), True)  # place of the last head, from 0
+            return pair & F.array_contains(heads, True) & ~F.array_contains(F.slice(words, (last + 2).cast("int"), F.size(words)), False)
+
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(1))), lambda i: F.coalesce(fits(i), F.lit(False)))
+        first = F.when(F.size(tokens) > 2, F.get(at, F.lit(0)))
+        return _bound(first, lambda i: F.struct(F.substring_index(F.get(tokens, i), "deg", 1).alias("deg"), F.substring_index(F.get(tokens, i + 1), "uhi", 1).alias("uhi")))
+
+    own = _bound(F.split(file, "_"), found)
+    return own["deg"], own["uhi"]
 
 
 def _named_degrees(file: Column) -> tuple[Column, Column]:

@@ -229,10 +229,12 @@ def _short_sql() -> str:
 
 @query(_short_sql())
 def short_name_forms(spark, d):
+    """Paths come again and again, so they are counted first and their forms found once for each different one."""
     path = F.get(F.array(*map(F.lit, _SHORT)), (F.col("p_partkey") % len(_SHORT)).cast("int"))
     forms = ("strict", "suffix", "named", "lenient")
-    own = B.table(spark, d, "part").select(path.alias("path")).select(*[text.short_name(F.col("path"), "/runs", f).alias(f) for f in forms])
-    return own.groupBy(*forms).agg(F.count("*").alias("n"))
+    paths = B.table(spark, d, "part").groupBy(path.alias("path")).agg(F.count("*").alias("n"))
+    own = paths.select("n", *[text.short_name(F.col("path"), "/runs", f).alias(f) for f in forms])
+    return own.groupBy(*forms).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {B.CELLS} SELECT CASE WHEN lc0 BETWEEN 1 AND 10 THEN lc0 ELSE 0 END AS code, count(*) AS n, count(CASE WHEN canopy BETWEEN 1 AND 30 THEN canopy END) AS canopy_known FROM cells GROUP BY 1""")

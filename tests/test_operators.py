@@ -537,3 +537,11 @@ def test_preambles_of_files_in_several_splits(spark, tmp_path):
         assert rows.rdd.getNumPartitions() > 2 and sorted(r.id for r in rows.collect()) == sorted(2 * list(range(2000)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_short_names_are_found_once_for_each_path(spark, sf_dir):
+    """Paths are counted before their forms are found, and again by form."""
+    own = queries.QUERIES["short_name_forms"](spark, sf_dir)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
+    assert sum(r.n for r in own.collect()) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
