@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,17 @@ MAX_BROADCAST_ROWS = 200_000
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of texts that a task of Python holds as objects at once.
+ROWS_AT_ONCE = 500
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most `rows` rows: a batch has up to 10,000 texts, which take several times their bytes as objects."""
+    for whole in batches:
+        for at in range(0, len(whole), rows):
+            yield whole.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark (any store Spark can reach)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

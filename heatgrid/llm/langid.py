@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import table, without
+from heatgrid.llm.common import portions, table, without
 
 DIM = 1 << 15
 #: Bounds of the fitting sample: different rows a language, and rows in all; but LEAST_A_LANG a language up to LEAST_IN_ALL,
@@ -100,7 +100,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(DIM, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for text in batch.column(0).to_pylist():
                 if found := features(text):
                     total += 1
@@ -135,7 +135,7 @@ def _sample(labelled: DataFrame, rows_a_lang: int) -> list:
     chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows_a_lang).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             own = [(lang, h, found) for lang, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (found := features(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2][0].astype(np.int32).tobytes() for x in own], pa.binary()), pa.array([x[2][1].astype(np.float32).tobytes() for x in own], pa.binary())],
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", scor
     sent = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHTS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, lang_column, score_column])
 

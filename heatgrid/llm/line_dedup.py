@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import HOT_ROWS, MAX_HOT, materialise, table, without
+from heatgrid.llm.common import HOT_ROWS, MAX_HOT, materialise, portions, table, without
 
 SHARD_KEYS = 65_536
 GAMMA = 2.0
@@ -110,7 +110,7 @@ def key_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(h, fp, n): each distinct key of at least min_chars code points and the number of rows of `docs` it is in."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             own: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 own.update({k for k in line_keys(text) if len(k) >= min_chars})

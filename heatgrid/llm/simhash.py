@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import bounded, join_dealt, materialise, table, without
+from heatgrid.llm.common import bounded, join_dealt, materialise, portions, table, without
 from heatgrid.llm.graph import connected_components
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
@@ -102,7 +102,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     docs = without(docs, "fingerprint")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             fps = np.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "fingerprint"])
 
